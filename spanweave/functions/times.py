@@ -30,12 +30,13 @@ def shift(ts: Column | str, by_ms: int | Column) -> Column:
 
 def gap_ms(earlier: Column | str, later: Column | str) -> Column:
     """Whole milliseconds from ``earlier`` to ``later``."""
-    return F.timestamp_diff("MILLISECOND", _col(earlier), _col(later))
+    return millis(later) - millis(earlier)
 
 
 def gap_seconds(earlier: Column | str, later: Column | str) -> Column:
     """Whole seconds from ``earlier`` to ``later``, cut off towards zero."""
-    return F.timestamp_diff("SECOND", _col(earlier), _col(later))
+    gap = gap_ms(earlier, later)
+    return ((gap - gap % 1000) / 1000).cast("long")
 
 
 def gap_interval(earlier: Column | str, later: Column | str) -> Column:
@@ -45,4 +46,4 @@ def gap_interval(earlier: Column | str, later: Column | str) -> Column:
 
 def clamped_gap_ms(earlier: Column | str, later: Column | str) -> Column:
     """``gap_ms``, with negative gaps raised to zero."""
-    return F.greatest(gap_ms(earlier, later), F.lit(0).cast("long"))
+    return F.greatest(gap_ms(earlier, later), F.lit(0))

@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,24 +96,21 @@ def with_previous(
     ``seed`` (columns ``key`` and ``carried``, one row per key) stands for rows that come
     before all of these, see ``carry_after``. ``policy=None`` skips the hot-key pass.
     """
-    tagged = rows.withColumn("_carry", carry)
     hot = find_hot_keys(rows, key, policy) if policy is not None else None
     if not hot:
-        return _one_window(tagged, key, order, latest, seed).drop("_carry")
-    cold, heavy = hot.split(tagged)
+        return _one_window(rows, key, order, carry, latest, seed)
+    cold, heavy = hot.split(rows)
     runs = max(2, math.ceil(hot.rows / policy.rows_per_task))
-    result = _one_window(cold, key, order, latest, seed).unionByName(
-        _window_per_run(heavy, key, order, latest, seed, runs)
+    return _one_window(cold, key, order, carry, latest, seed).unionByName(
+        _window_per_run(heavy, key, order, carry, latest, seed, runs)
     )
-    return result.drop("_carry")
 
 
 def carry_after(
     rows: DataFrame, key: str, order: list[str], carry: Column, *, latest: bool, seed: DataFrame | None = None
 ) -> DataFrame:
     """What the next batch of rows receives as its ``seed``: one row per key."""
-    tagged = rows.withColumn("_carry", carry)
-    ends = tagged.groupBy(key).agg(_summary(order, latest).alias("carried"))
+    ends = rows.groupBy(key).agg(_summary(carry, order, latest).alias("carried"))
     if seed is None:
         return ends
     both = ends.withColumn("_age", F.lit(1)).unionByName(seed.withColumn("_age", F.lit(0)))
@@ -121,21 +118,23 @@ def carry_after(
     return both.groupBy(key).agg(merged.alias("carried"))
 
 
-def _summary(order: list[str], latest: bool) -> Column:
-    return F.max_by("_carry", F.struct(*order)) if latest else F.max("_carry")
+def _summary(carry: Column, order: list[str], latest: bool) -> Column:
+    return F.max_by(carry, F.struct(*order)) if latest else F.max(carry)
 
 
-def _look_back(latest: bool, window) -> Column:
+def _look_back(carry: Column, latest: bool, window: WindowSpec) -> Column:
     if latest:
-        return F.lag("_carry").over(window)
-    return F.max("_carry").over(window.rowsBetween(Window.unboundedPreceding, -1))
+        return F.lag(carry).over(window)
+    return F.max(carry).over(window.rowsBetween(Window.unboundedPreceding, -1))
 
 
-def _one_window(tagged: DataFrame, key: str, order: list[str], latest: bool, seed: DataFrame | None) -> DataFrame:
+def _one_window(
+    rows: DataFrame, key: str, order: list[str], carry: Column, latest: bool, seed: DataFrame | None
+) -> DataFrame:
     if seed is None:
-        return tagged.withColumn("prev", _look_back(latest, Window.partitionBy(key).orderBy(*order)))
+        return rows.withColumn("prev", _look_back(carry, latest, Window.partitionBy(key).orderBy(*order)))
     firsts = seed.select(key, F.col("carried").alias("_carry"))
-    return _with_firsts(tagged, firsts, [key], order, latest)
+    return _with_firsts(rows.withColumn("_carry", carry), firsts, [key], order, latest)
 
 
 def _with_firsts(tagged: DataFrame, firsts: DataFrame, group: list[str], order: list[str], latest: bool) -> DataFrame:
@@ -143,22 +142,30 @@ def _with_firsts(tagged: DataFrame, firsts: DataFrame, group: list[str], order:
         firsts.withColumn("_first", F.lit(True)), allowMissingColumns=True
     )
     window = Window.partitionBy(*group).orderBy(F.col("_first").desc(), *order)
-    return both.withColumn("prev", _look_back(latest, window)).where(~F.col("_first")).drop("_first")
+    found = both.withColumn("prev", _look_back(F.col("_carry"), latest, window))
+    return found.where(~F.col("_first")).drop("_first", "_carry")
 
 
 def _window_per_run(
-    heavy: DataFrame, key: str, order: list[str], latest: bool, seed: DataFrame | None, runs: int
+    heavy: DataFrame,
+    key: str,
+    order: list[str],
+    carry: Column,
+    latest: bool,
+    seed: DataFrame | None,
+    runs: int,
 ) -> DataFrame:
     shared_root(heavy.sparkSession)  # checkpoint() needs the folder to be set
     # _seq also tells exact copies apart, so that a group of copies can be cut, too.
     pinned = (
-        heavy.withColumn("_seq", F.monotonically_increasing_id())
+        heavy.withColumn("_carry", carry)
+        .withColumn("_seq", F.monotonically_increasing_id())
         .repartitionByRange(runs, key, *order, "_seq")
         .withColumn("_run", F.spark_partition_id())
         .checkpoint()
     )
     order = [*order, "_seq"]
-    ends = pinned.groupBy(key, "_run").agg(_summary(order, latest).alias("carried"))
+    ends = pinned.groupBy(key, "_run").agg(_summary(F.col("_carry"), order, latest).alias("carried"))
     if seed is not None:
         ends = ends.unionByName(seed.select(key, F.lit(-1).alias("_run"), "carried"))
     earlier = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)

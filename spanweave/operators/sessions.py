@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions.predicates import is_end, is_start
+from spanweave.functions.times import gap_ms
 from spanweave.operators.keyed import DEFAULT_POLICY, HotKeyPolicy, with_previous
 from spanweave.schemas import END, START
 
@@ -59,7 +60,7 @@ def pair_spans(
     rows = with_previous(rows, key, ["ts", "row_id"], carry, latest=True, policy=policy)
     rows = rows.where(is_end() & is_start("prev.event_type"))
     if max_open_ms is not None:
-        rows = rows.where(F.timestamp_diff("MILLISECOND", F.col("prev.ts"), F.col("ts")) <= max_open_ms)
+        rows = rows.where(gap_ms("prev.ts", "ts") <= max_open_ms)
     return rows.select(
         key,
         *(F.col(f"prev.{c}").alias(c) for c in from_start),

@@ -55,8 +55,19 @@ TOWER_EVENTS = _schema(
     ("row_id", _LONG),
 )
 
-# Result layouts.
 _NTZ = T.TimestampNTZType()
+
+# The table that calls and towers are derived from.
+EVENTS = _schema(
+    ("event_id", _LONG),
+    ("ts", _NTZ),
+    ("user_id", _LONG),
+    ("event_type", _TEXT),
+    ("value", T.DoubleType()),
+    ("props", _TEXT),
+)
+
+# Result layouts.
 OVERLAP_BY_ID = _schema(
     ("call_id", _LONG),
     ("tower", _TEXT),

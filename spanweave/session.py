@@ -19,6 +19,10 @@ _SETTINGS = {
     # transformWithState keeps its state in RocksDB (on disk, not on the heap).
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # A stream-stream join keeps one RocksDB per partition instead of four.
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+    # Checkpoint files rely on the checksums of the file system; own ones double their number.
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
     # Session windows combine inside a partition before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }

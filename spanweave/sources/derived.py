@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from spanweave.functions.times import shift
 from spanweave.operators.sessions import span_to_events
+from spanweave.schemas import EVENTS
 
 _MAX_VISITS = 4
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/events.parquet")
+    return spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet")
 
 
 def calls_from_events(events: DataFrame) -> DataFrame:

@@ -52,8 +52,9 @@ def stage_feed(
 
     The file source takes files by modification time, so the slices are written one after
     the other, each by one job with as many files as its size asks for. ``close_after_ms``
-    adds one row to the last slice, that long after all others and without a key: a stream
-    closes its last windows only when a later event moves the watermark on.
+    adds one row with the key -1 to the last slice, that long after all others: a stream
+    closes its last windows only when a later event moves the watermark on. (Not a null key:
+    a join on the key drops null keys right after the source, unseen by the watermark.)
     """
     spark = rows.sparkSession
     at = millis(order[0])
@@ -78,7 +79,8 @@ def stage_feed(
 
 
 def _closing_row(rows: DataFrame, time: str, at: Column) -> DataFrame:
+    given = {time: at, "unique_id": F.lit(-1)}
     one = rows.sparkSession.range(1)
     return one.select(
-        *((at if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields)
+        *(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields)
     )

@@ -77,5 +77,9 @@ class BatchMetrics(StreamingQueryListener):
         """Events arrive a little after the query ends; wait for the last one."""
         return self._ended.setdefault(str(query.runId), threading.Event()).wait(timeout_s)
 
+    def wait_for_all(self, timeout_s: float = 30) -> bool:
+        """As ``wait_for_end``, for every query seen so far."""
+        return all(ended.wait(timeout_s) for ended in list(self._ended.values()))
+
     def metrics_df(self) -> DataFrame:
         return self._spark.createDataFrame(list(self._rows), METRICS)
