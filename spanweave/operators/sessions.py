@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions.predicates import is_end, is_start
 from spanweave.functions.times import gap_ms
-from spanweave.operators.keyed import DEFAULT_POLICY, HotKeyPolicy, with_previous
+from spanweave.operators.keyed import DEFAULT_POLICY, HotKeyPolicy, carry_after, with_previous
 from spanweave.schemas import END, START
 
+# Columns that a call takes from its END event and a tower visit from its START event.
+CALL_FIELDS = ("caller", "callee", "imei")
+TOWER_FIELDS = ("tower",)
+
+_ORDER = ["ts", "row_id"]
+
 
 def span_to_events(spans: DataFrame) -> DataFrame:
     """Two rows per span: ``event_type``, ``ts`` and a doubled ``row_id`` replace the times.
@@ -45,6 +51,7 @@ def pair_spans(
     from_start: tuple[str, ...] = (),
     from_end: tuple[str, ...] = (),
     max_open_ms: int | None = None,
+    seed: DataFrame | None = None,
     policy: HotKeyPolicy | None = DEFAULT_POLICY,
 ) -> DataFrame:
     """Each END whose preceding event of the same key is a START, as a span.
@@ -52,12 +59,12 @@ def pair_spans(
     A second START replaces the first, an END without a START is ignored, repeat visits stay
     apart. ``from_start`` and ``from_end`` name columns taken from either event.
     ``max_open_ms`` leaves out longer spans (as the streaming form, which forgets them).
+    ``seed`` holds the events left open by earlier rows, see ``open_spans``.
     """
     rows = events.where(is_start() | is_end()).select(
         key, "event_type", "ts", "row_id", *dict.fromkeys((*from_start, *from_end))
     )
-    carry = F.struct("event_type", "ts", *from_start)
-    rows = with_previous(rows, key, ["ts", "row_id"], carry, latest=True, policy=policy)
+    rows = with_previous(rows, key, _ORDER, _last_event(from_start), latest=True, seed=seed, policy=policy)
     rows = rows.where(is_end() & is_start("prev.event_type"))
     if max_open_ms is not None:
         rows = rows.where(gap_ms("prev.ts", "ts") <= max_open_ms)
@@ -70,11 +77,28 @@ def pair_spans(
     )
 
 
+def open_spans(
+    events: DataFrame,
+    *,
+    key: str = "unique_id",
+    from_start: tuple[str, ...] = (),
+    seed: DataFrame | None = None,
+) -> DataFrame:
+    """The keys whose last event is a START, as a ``seed`` for the events that follow."""
+    rows = events.where(is_start() | is_end())
+    ends = carry_after(rows, key, _ORDER, _last_event(from_start), latest=True, seed=seed)
+    return ends.where(is_start("carried.event_type"))
+
+
+def _last_event(from_start: tuple[str, ...]) -> Column:
+    return F.struct("event_type", "ts", *from_start)
+
+
 def pair_calls(events: DataFrame, **options) -> DataFrame:
     """Call spans from call events; caller, callee and imei come from the END event."""
-    return pair_spans(events, from_end=("caller", "callee", "imei"), **options)
+    return pair_spans(events, from_end=CALL_FIELDS, **options)
 
 
 def pair_towers(events: DataFrame, **options) -> DataFrame:
     """Tower spans from tower events, one open visit per call; the START names the tower."""
-    return pair_spans(events, from_start=("tower",), **options)
+    return pair_spans(events, from_start=TOWER_FIELDS, **options)

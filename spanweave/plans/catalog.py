@@ -28,6 +28,9 @@ BOUND_MS = 10_000
 SPREAD_MS = 2 * 86_400_000
 SPREAD = f"{SPREAD_MS} milliseconds"
 
+# Micro-batches in which a replayed table arrives.
+SLICES = 8
+
 _CATALOG: dict[str, Query] = {}
 
 
@@ -216,8 +219,12 @@ def refresh_calls(spark, folder):
 # --- streams ------------------------------------------------------------------------
 
 
+def _buckets(spark) -> int:
+    return 32 * spark.sparkContext.defaultParallelism
+
+
 def _feed(rows: DataFrame, order: list[str], **options) -> Feed:
-    return stage_feed(rows, order, **options)
+    return stage_feed(rows, order, slices=SLICES, **options)
 
 
 def _calls_feed(spark, folder, **options) -> DataFrame:
@@ -269,10 +276,19 @@ def stream_q2_sessions(spark, folder):
         bound_ms=BOUND_MS,
         delay=SPREAD,
         max_open_ms=SPREAD_MS,
+        buckets=_buckets(spark),
     )
     return run_to_table(_session_names(pairs))
 
 
+@_query
+def stream_q2_sessions_carried(spark, folder):
+    """Both event streams paired batch by batch, then one join over the stored spans."""
+    calls = carried.run_carried(_call_events_feed(spark, folder), carried.pair_step(from_end=sessions.CALL_FIELDS))
+    towers = carried.run_carried(_tower_events_feed(spark, folder), carried.pair_step(from_start=sessions.TOWER_FIELDS))
+    return _session_names(overlap.bounded_overlap(calls, towers, bound_ms=BOUND_MS))
+
+
 @_query
 def stream_q2_minmax(spark, folder):
     pairs = streams.overlap_of_rebuilt(
@@ -294,24 +310,30 @@ def stream_q2_minmax_updates(spark, folder):
     return _by_call_id(overlap.partial_overlap(calls, towers, tolerance_ms=TOLERANCE_MS, policy=None))
 
 
+def _gaps_of_calls(spark, folder, **options) -> DataFrame:
+    feed = _calls_feed(spark, folder)
+    return run_to_table(streams.gaps_from_calls(feed, delay=SPREAD, buckets=_buckets(spark), **options))
+
+
 @_query
 def stream_q10_running_max(spark, folder):
-    return run_to_table(streams.gaps_from_calls(_calls_feed(spark, folder), delay=SPREAD))
+    return _gaps_of_calls(spark, folder)
 
 
 @_query
 def stream_q10_lag(spark, folder):
-    return run_to_table(streams.gaps_from_calls(_calls_feed(spark, folder), delay=SPREAD, latest=True))
+    return _gaps_of_calls(spark, folder, latest=True)
 
 
 @_query
-def stream_q10_last_end(spark, folder):
-    return run_to_table(streams.gaps_from_events(_call_events_feed(spark, folder), delay=SPREAD))
+def stream_q10_within_day(spark, folder):
+    return _gaps_of_calls(spark, folder, ttl_ms=86_400_000)
 
 
 @_query
-def stream_q10_within_day(spark, folder):
-    return run_to_table(streams.gaps_from_calls(_calls_feed(spark, folder), delay=SPREAD, ttl_ms=86_400_000))
+def stream_q10_last_end(spark, folder):
+    feed = _call_events_feed(spark, folder)
+    return run_to_table(streams.gaps_from_events(feed, delay=SPREAD, buckets=_buckets(spark)))
 
 
 @_query
@@ -331,16 +353,26 @@ def stream_q10_last_end_carried(spark, folder):
 
 @_query
 def stream_pair_calls(spark, folder):
-    return run_to_table(
-        streams.pair_calls(_call_events_feed(spark, folder), delay=SPREAD, max_open_ms=SPREAD_MS)
-    )
+    feed = _call_events_feed(spark, folder)
+    spans = streams.pair_calls(feed, delay=SPREAD, max_open_ms=SPREAD_MS, buckets=_buckets(spark))
+    return run_to_table(spans)
 
 
 @_query
 def stream_pair_towers(spark, folder):
-    return run_to_table(
-        streams.pair_towers(_tower_events_feed(spark, folder), delay=SPREAD, max_open_ms=SPREAD_MS)
-    )
+    feed = _tower_events_feed(spark, folder)
+    spans = streams.pair_towers(feed, delay=SPREAD, max_open_ms=SPREAD_MS, buckets=_buckets(spark))
+    return run_to_table(spans)
+
+
+@_query
+def stream_pair_calls_carried(spark, folder):
+    return carried.run_carried(_call_events_feed(spark, folder), carried.pair_step(from_end=sessions.CALL_FIELDS))
+
+
+@_query
+def stream_pair_towers_carried(spark, folder):
+    return carried.run_carried(_tower_events_feed(spark, folder), carried.pair_step(from_start=sessions.TOWER_FIELDS))
 
 
 @_query

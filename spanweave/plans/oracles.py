@@ -154,6 +154,7 @@ _QUERIES = {
     "stream_q2_bounded": _OVERLAP_BOUNDED,
     "stream_q2_tolerant": _OVERLAP_TOLERANT,
     "stream_q2_sessions": _OVERLAP_SESSIONS,
+    "stream_q2_sessions_carried": _OVERLAP_SESSIONS,
     "stream_q2_minmax": _OVERLAP_MINMAX,
     "stream_q2_minmax_updates": _OVERLAP_MINMAX,
     "stream_q10_running_max": _GAP_MAX,
@@ -165,6 +166,8 @@ _QUERIES = {
     "stream_q10_last_end_carried": _GAP_LAST_END,
     "stream_pair_calls": _CALL_PAIRS,
     "stream_pair_towers": _TOWER_PAIRS,
+    "stream_pair_calls_carried": _CALL_PAIRS,
+    "stream_pair_towers_carried": _TOWER_PAIRS,
     "stream_csv_roundtrip": _CALLS,
 }
 

@@ -38,7 +38,7 @@ def read_signal(
     streaming: bool = False,
     header: bool = False,
     files_per_batch: int | None = 1,
-    bytes_per_batch: str | None = None,
+    bytes_per_batch: int | None = None,
     computed_times: bool = False,
     timestamp_format: str = schemas.TIMESTAMP_FORMAT,
 ) -> DataFrame:
@@ -67,7 +67,7 @@ def read_signal(
         .option("timestampFormat", timestamp_format)
     )
     if streaming and bytes_per_batch:
-        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+        reader = reader.option("maxBytesPerTrigger", int(bytes_per_batch))
     elif streaming and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     rows = reader.csv(path)

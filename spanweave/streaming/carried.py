@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions.predicates import is_connected
+from spanweave.functions.times import millis
 from spanweave.operators import gaps, sessions
 from spanweave.operators.keyed import DEFAULT_POLICY, HotKeyPolicy, carry_after
 from spanweave.schemas import to_zone_free
@@ -51,40 +52,80 @@ def run_carried(
     return spark.read.parquet(f"{folder}/result").drop("batch")
 
 
-def running_max_step(ttl_ms: int | None = None, policy: HotKeyPolicy | None = DEFAULT_POLICY) -> Step:
+# With ``ttl_ms`` (or ``max_open_ms``) a step reports nothing longer and carries nothing on
+# that lies further back from the newest row, so that the carry does not grow for ever.
+# ``disorder_ms`` says how far rows of a later batch may lie before rows of an earlier one.
+
+
+def running_max_step(
+    ttl_ms: int | None = None, disorder_ms: int = 0, policy: HotKeyPolicy | None = DEFAULT_POLICY
+) -> Step:
     """Step for gaps to the latest end so far of connected calls."""
 
     def step(calls: DataFrame, carry: DataFrame | None):
         rows = calls.where(is_connected())
         out = gaps.gap_running_max(rows, ttl_ms=ttl_ms, seed=carry, policy=policy)
-        return out, carry_after(rows, "caller", gaps.BY_START, F.col("end_ts"), latest=False, seed=carry)
+        ends = carry_after(rows, "caller", gaps.BY_START, F.col("end_ts"), latest=False, seed=carry)
+        return out, _recent(ends, "carried", rows, "start_ts", ttl_ms, disorder_ms)
 
     return step
 
 
-def lag_step(ttl_ms: int | None = None, policy: HotKeyPolicy | None = DEFAULT_POLICY) -> Step:
+def lag_step(ttl_ms: int | None = None, disorder_ms: int = 0, policy: HotKeyPolicy | None = DEFAULT_POLICY) -> Step:
     """Step for gaps to the end of the previous connected call."""
 
     def step(calls: DataFrame, carry: DataFrame | None):
         rows = calls.where(is_connected())
-        out = gaps.gap_lag(rows, ttl_ms=ttl_ms, seed=carry, policy=policy)
-        return out.drop("gap_duration"), carry_after(
-            rows, "caller", gaps.BY_START, F.col("end_ts"), latest=True, seed=carry
-        )
+        out = gaps.gap_lag(rows, ttl_ms=ttl_ms, seed=carry, policy=policy).drop("gap_duration")
+        ends = carry_after(rows, "caller", gaps.BY_START, F.col("end_ts"), latest=True, seed=carry)
+        return out, _recent(ends, "carried", rows, "start_ts", ttl_ms, disorder_ms)
 
     return step
 
 
-def last_end_step(ttl_ms: int | None = None, policy: HotKeyPolicy | None = DEFAULT_POLICY) -> Step:
+def last_end_step(
+    ttl_ms: int | None = None, disorder_ms: int = 0, policy: HotKeyPolicy | None = DEFAULT_POLICY
+) -> Step:
     """Step for gaps from the last END event."""
 
     def step(events: DataFrame, carry: DataFrame | None):
         out = gaps.gap_events_last_end(events, ttl_ms=ttl_ms, seed=carry, policy=policy)
-        return out, carry_after(events, "caller", gaps.BY_EVENT, gaps.last_end_carry(), latest=False, seed=carry)
+        ends = carry_after(events, "caller", gaps.BY_EVENT, gaps.last_end_carry(), latest=False, seed=carry)
+        return out, _recent(ends, "carried", events, "ts", ttl_ms, disorder_ms)
 
     return step
 
 
+def pair_step(
+    from_start: tuple[str, ...] = (),
+    from_end: tuple[str, ...] = (),
+    max_open_ms: int | None = None,
+    disorder_ms: int = 0,
+    policy: HotKeyPolicy | None = DEFAULT_POLICY,
+) -> Step:
+    """Step that pairs events into spans; only open spans are carried on."""
+
+    def step(events: DataFrame, carry: DataFrame | None):
+        out = sessions.pair_spans(
+            events, from_start=from_start, from_end=from_end, max_open_ms=max_open_ms, seed=carry, policy=policy
+        )
+        opened = sessions.open_spans(events, from_start=from_start, seed=carry)
+        return out, _recent(opened, "carried.ts", events, "ts", max_open_ms, disorder_ms)
+
+    return step
+
+
+def _recent(
+    carry: DataFrame, when: str, rows: DataFrame, time: str, keep_ms: int | None, disorder_ms: int
+) -> DataFrame:
+    if keep_ms is None:
+        return carry
+    newest = rows.agg(F.max(millis(time))).first()[0]
+    if newest is None:
+        return carry
+    return carry.where(millis(when) >= newest - keep_ms - disorder_ms)
+
+
 def rebuild_partials(stream: DataFrame, keys: list[str], *, folder: str | None = None) -> DataFrame:
     """First and last event per key over a stream whose results may change until it ends.
 

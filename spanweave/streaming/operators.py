@@ -2,6 +2,9 @@
 
 Inputs have TIMESTAMP times. Watermark delays must cover how far rows can be out of order;
 rows that come later are dropped, and counted in the metrics of the query.
+
+``buckets`` is the number of groups into which keyed state is divided. Choose several times
+the number of state partitions, and keep it for as long as a checkpoint is used.
 """
 
 from __future__ import annotations
@@ -14,13 +17,22 @@ from spanweave.functions.times import millis
 from spanweave.operators.overlap import bounded_overlap
 from spanweave.streaming.processors import GapProcessor, PairProcessor
 
+BUCKETS = 1024
 
 def gaps_from_calls(
-    calls: DataFrame, *, delay: str, latest: bool = False, ttl_ms: int | None = None, connected_only: bool = True
+    calls: DataFrame,
+    *,
+    delay: str,
+    latest: bool = False,
+    ttl_ms: int | None = None,
+    connected_only: bool = True,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Gaps to the latest end so far, or with ``latest`` to the end of the previous call."""
     rows = calls.where(is_connected()) if connected_only else calls
+    rows = rows.where(F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull())
     rows = rows.withWatermark("end_ts", delay).select(
+        _bucket("caller", buckets),
         "caller",
         "end_ts",
         millis("start_ts").alias("at_ms"),
@@ -32,12 +44,18 @@ def gaps_from_calls(
 
 
 def gaps_from_events(
-    events: DataFrame, *, delay: str, ttl_ms: int | None = None, connected_only: bool = False
+    events: DataFrame,
+    *,
+    delay: str,
+    ttl_ms: int | None = None,
+    connected_only: bool = False,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Gaps from the last END event to each START."""
     rows = events.where(is_connected()) if connected_only else events
     at = millis("ts")
-    rows = rows.withWatermark("ts", delay).select(
+    rows = rows.where(F.col("ts").isNotNull()).withWatermark("ts", delay).select(
+        _bucket("caller", buckets),
         "caller",
         "ts",
         at.alias("at_ms"),
@@ -48,15 +66,19 @@ def gaps_from_events(
     return _gaps(rows, GapProcessor(latest=True, ttl_ms=ttl_ms))
 
 
-def pair_calls(events: DataFrame, *, delay: str, max_open_ms: int | None = None) -> DataFrame:
+def pair_calls(
+    events: DataFrame, *, delay: str, max_open_ms: int | None = None, buckets: int = BUCKETS
+) -> DataFrame:
     """Call spans from call events, as soon as their END arrives."""
     carried = {"caller": "string", "callee": "string", "imei": "long"}
-    return _pairs(events, delay, PairProcessor({}, carried, max_open_ms))
+    return _pairs(events, delay, buckets, PairProcessor({}, carried, max_open_ms))
 
 
-def pair_towers(events: DataFrame, *, delay: str, max_open_ms: int | None = None) -> DataFrame:
+def pair_towers(
+    events: DataFrame, *, delay: str, max_open_ms: int | None = None, buckets: int = BUCKETS
+) -> DataFrame:
     """Tower spans from tower events, one open visit per call."""
-    return _pairs(events, delay, PairProcessor({"tower": "string"}, {}, max_open_ms))
+    return _pairs(events, delay, buckets, PairProcessor({"tower": "string"}, {}, max_open_ms))
 
 
 def overlap_of_sessions(
@@ -66,14 +88,15 @@ def overlap_of_sessions(
     bound_ms: int,
     delay: str,
     max_open_ms: int | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Pair both event streams into spans, then join the spans on their ends.
 
     The paired ``end_ts`` carries the watermark on, so the join can drop old rows.
     """
     return bounded_overlap(
-        pair_calls(call_events, delay=delay, max_open_ms=max_open_ms),
-        pair_towers(tower_events, delay=delay, max_open_ms=max_open_ms),
+        pair_calls(call_events, delay=delay, max_open_ms=max_open_ms, buckets=buckets),
+        pair_towers(tower_events, delay=delay, max_open_ms=max_open_ms, buckets=buckets),
         bound_ms=bound_ms,
     )
 
@@ -114,7 +137,7 @@ def _rebuilt(events: DataFrame, keys: list[str], delay: str, max_span: str, name
 
 
 def _gaps(rows: DataFrame, processor: GapProcessor) -> DataFrame:
-    out = rows.groupBy("caller").transformWithState(
+    out = rows.groupBy("bucket").transformWithState(
         processor, processor.output_schema, outputMode="append", timeMode="eventTime"
     )
     return out.select(
@@ -125,12 +148,18 @@ def _gaps(rows: DataFrame, processor: GapProcessor) -> DataFrame:
     )
 
 
-def _pairs(events: DataFrame, delay: str, processor: PairProcessor) -> DataFrame:
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _pairs(events: DataFrame, delay: str, buckets: int, processor: PairProcessor) -> DataFrame:
     carried = [*processor.start_fields, *processor.end_fields]
-    rows = events.withWatermark("ts", delay).select(
+    rows = events.where(F.col("unique_id").isNotNull() & F.col("ts").isNotNull())
+    rows = rows.withWatermark("ts", delay).select(
+        _bucket("unique_id", buckets),
         "unique_id", "event_type", "ts", millis("ts").alias("ts_ms"), "row_id", *carried
     )
-    out = rows.groupBy("unique_id").transformWithState(
+    out = rows.groupBy("bucket").transformWithState(
         processor,
         processor.output_schema,
         outputMode="append",

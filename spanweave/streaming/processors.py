@@ -1,10 +1,14 @@
 """Keyed state for streams: one processor for gaps, one for pairing events into spans.
 
-Both work on whole milliseconds, so no time zone is involved in Python. Inside a micro-batch
-a processor sorts the rows of a key; the size of a micro-batch is bounded by the source
-(``maxFilesPerTrigger`` or ``maxBytesPerTrigger``), and with it what one task may hold.
-Where one key fills a large part of every batch, use ``spanweave.streaming.carried``, which
-has the same results and splits hot keys.
+A processor works on a bucket of keys rather than on one key: Spark calls it, and ships its
+output, once per group, and with a group per key that would cost more than the work itself.
+The state of a bucket is a map with one entry per key, read and written entry by entry.
+
+All times are whole milliseconds, so no time zone is involved in Python. A processor sorts
+the rows of its bucket within a micro-batch; the size of a micro-batch is bounded by the
+source (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``), and with it what one task may
+hold. Where one key fills a large part of every batch, use ``spanweave.streaming.carried``,
+which has the same results and splits hot keys.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import groupby
 from typing import Any
 
 from pyspark import cloudpickle
@@ -21,35 +26,50 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 # Ship the classes themselves, so that executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Fixed values of the events (kept here, too: this module travels alone).
+START = 0
+END = 1
+
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 class _Expiring(StatefulProcessor):
-    """State with one event-time timer per key.
+    """A map from key to (time, ...) whose entries are forgotten ``keep_ms`` after their time.
 
-    A timer that fires early (the state has moved on since) is set again for the new limit,
-    so that setting it costs one call per timeout rather than one per row.
+    A bucket has one event-time timer at most. When it fires, the entries that are due are
+    removed and the timer is set for the next one.
     """
 
-    state_schema: str
+    key_schema: str
+    value_schema: str
     keep_ms: int | None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("state", self.state_schema)
+        self._kept = handle.getMapState("kept", self.key_schema, self.value_schema)
+        self._due = handle.getValueState("due", "due_ms long")
+
+    def _arm(self, oldest_ms: int, timers) -> None:
+        # A timer may not lie before the watermark.
+        due = max(oldest_ms + self.keep_ms, timers.getCurrentWatermarkInMs()) + 1
+        self._handle.registerTimer(due)
+        self._due.update((due,))
 
-    def _arm(self, since_ms: int, timers) -> None:
-        if self.keep_ms is not None:
-            # A timer may not lie before the watermark.
-            self._handle.registerTimer(max(since_ms + self.keep_ms, timers.getCurrentWatermarkInMs()) + 1)
+    def _arm_once(self, since: list[int], timers) -> None:
+        if self.keep_ms is not None and since and not self._due.exists():
+            self._arm(min(since), timers)
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self._state.exists():
-            since = self._state.get()[0]
-            if since + self.keep_ms <= timerValues.getCurrentWatermarkInMs():
-                self._state.clear()
-            else:
-                self._arm(since, timerValues)
+        limit = timerValues.getCurrentWatermarkInMs() - self.keep_ms
+        entries = [(tuple(name), value[0]) for name, value in self._kept.iterator()]
+        for name, since in entries:
+            if since <= limit:
+                self._kept.removeKey(name)
+        left = [since for _, since in entries if since > limit]
+        if left:
+            self._arm(min(left), timerValues)
+        else:
+            self._due.clear()
         return iter(())
 
     def close(self) -> None:
@@ -57,14 +77,15 @@ class _Expiring(StatefulProcessor):
 
 
 class GapProcessor(_Expiring):
-    """Gap from the remembered end of a key to each later start.
+    """Gap from the remembered end of a caller to each later start.
 
-    Input rows: ``at_ms, tie`` (order), ``start_ms`` and ``end_ms``, of which one may be null.
-    ``latest=False`` remembers the greatest end, ``latest=True`` the most recent one.
-    ``ttl_ms`` forgets an end that lies so far back and never reports a longer gap.
+    Input rows: ``caller``, ``at_ms, tie`` (order), ``start_ms`` and ``end_ms``, of which one
+    may be null. ``latest=False`` remembers the greatest end, ``latest=True`` the most recent
+    one. ``ttl_ms`` forgets an end that lies so far back and never reports a longer gap.
     """
 
-    state_schema = "last_ms long"
+    key_schema = "caller string"
+    value_schema = "last_ms long"
     output_schema = "caller string, prev_end_ms long, next_start_ms long, gap_ms long"
 
     def __init__(self, latest: bool, ttl_ms: int | None = None):
@@ -72,64 +93,71 @@ class GapProcessor(_Expiring):
         self.keep_ms = ttl_ms
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self._state.get()[0] if self._state.exists() else None
-        last = known
-        for row in sorted(rows, key=lambda r: (r.at_ms, r.tie)):
-            if row.start_ms is not None and last is not None:
-                gap = row.start_ms - last
-                if gap > 0 and (self.keep_ms is None or gap <= self.keep_ms):
-                    yield Row(caller=key[0], prev_end_ms=last, next_start_ms=row.start_ms, gap_ms=gap)
-            if row.end_ms is not None and (last is None or self.latest or row.end_ms > last):
-                last = row.end_ms
-        if last is not None and last != known:
-            self._state.update((last,))
-            if known is None:
-                self._arm(last, timerValues)
+        ordered = sorted(rows, key=lambda r: (r.caller is not None, r.caller, r.at_ms, r.tie))
+        stored = []
+        for caller, calls in groupby(ordered, key=lambda r: r.caller):
+            state = self._kept.getValue((caller,))
+            known = last = state[0] if state is not None else None
+            for row in calls:
+                if row.start_ms is not None and last is not None:
+                    gap = row.start_ms - last
+                    if gap > 0 and (self.keep_ms is None or gap <= self.keep_ms):
+                        yield Row(caller=caller, prev_end_ms=last, next_start_ms=row.start_ms, gap_ms=gap)
+                if row.end_ms is not None and (last is None or self.latest or row.end_ms > last):
+                    last = row.end_ms
+            if last != known:
+                self._kept.updateValue((caller,), (last,))
+                stored.append(last)
+        self._arm_once(stored, timerValues)
 
 
 class PairProcessor(_Expiring):
-    """A span for each END whose preceding event of the key is a START.
+    """A span for each END whose preceding event of the same id is a START.
 
-    Input rows: ``ts_ms, row_id`` (order), ``event_type`` and the columns to carry.
-    ``start_fields`` are taken from the START and kept in the state, ``end_fields`` from the
-    END. ``keep_ms`` forgets an open START after that time and leaves out longer spans.
-    The output column ``end_ts`` is the event time, for operators that follow.
+    Input rows: ``unique_id``, ``ts_ms, row_id`` (order), ``event_type`` and the columns to
+    carry. ``start_fields`` are taken from the START and kept in the state, ``end_fields``
+    from the END. ``keep_ms`` forgets an open START after that time and leaves out longer
+    spans. The output column ``end_ts`` is the event time, for operators that follow.
     """
 
-    def __init__(
-        self,
-        start_fields: dict[str, str],
-        end_fields: dict[str, str],
-        keep_ms: int | None = None,
-    ):
+    key_schema = "unique_id long"
+
+    def __init__(self, start_fields: dict[str, str], end_fields: dict[str, str], keep_ms: int | None = None):
         self.start_fields = tuple(start_fields)
         self.end_fields = tuple(end_fields)
         self.keep_ms = keep_ms
-        self.state_schema = ", ".join(["start_ms long", *(f"{n} {t}" for n, t in start_fields.items())])
+        self.value_schema = ", ".join(["start_ms long", *(f"{n} {t}" for n, t in start_fields.items())])
         carried = {**start_fields, **end_fields}
         self.output_schema = ", ".join(
             ["unique_id long", "start_ms long", "end_ts timestamp", *(f"{n} {t}" for n, t in carried.items())]
         )
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = tuple(self._state.get()) if self._state.exists() else None
-        opened = known
-        for row in sorted(rows, key=lambda r: (r.ts_ms, r.row_id)):
-            if row.event_type == 0:
-                opened = (row.ts_ms, *(row[f] for f in self.start_fields))
-            elif row.event_type == 1 and opened is not None:
-                if self.keep_ms is None or row.ts_ms - opened[0] <= self.keep_ms:
-                    yield Row(
-                        unique_id=key[0],
-                        start_ms=opened[0],
-                        end_ts=_EPOCH + timedelta(milliseconds=row.ts_ms),
-                        **dict(zip(self.start_fields, opened[1:])),
-                        **{f: row[f] for f in self.end_fields},
-                    )
-                opened = None
-        if opened is None:
-            if known is not None:
-                self._state.clear()
-        elif opened != known:
-            self._state.update(opened)
-            self._arm(opened[0], timerValues)
+        ordered = sorted(rows, key=lambda r: (r.unique_id, r.ts_ms, r.row_id))
+        stored = []
+        any_open = self._kept.exists()  # saves a round trip to the JVM per id where nothing is open
+        for uid, events in groupby(ordered, key=lambda r: r.unique_id):
+            known = opened = self._kept.getValue((uid,)) if any_open else None
+            for row in events:
+                if row.event_type == START:
+                    opened = (row.ts_ms, *(row[f] for f in self.start_fields))
+                elif row.event_type == END and opened is not None:
+                    if self.keep_ms is None or row.ts_ms - opened[0] <= self.keep_ms:
+                        yield self._span(uid, opened, row)
+                    opened = None
+            if opened is None:
+                if known is not None:
+                    self._kept.removeKey((uid,))
+            elif opened is not known:
+                self._kept.updateValue((uid,), opened)
+                stored.append(opened[0])
+        self._arm_once(stored, timerValues)
+
+    def _span(self, uid: int, opened: tuple, end: Row) -> Row:
+        return Row(
+            unique_id=uid,
+            start_ms=opened[0],
+            end_ts=_EPOCH + timedelta(milliseconds=end.ts_ms),
+            **dict(zip(self.start_fields, opened[1:])),
+            **{f: end[f] for f in self.end_fields},
+        )

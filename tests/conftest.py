@@ -15,7 +15,7 @@ EPOCH = dt.datetime(2024, 1, 1)
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master("local[4]")
         .appName("spanweave-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
@@ -23,7 +23,7 @@ def spark():
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setLogLevel("OFF")
     yield prepare_session(session)
     session.stop()
 

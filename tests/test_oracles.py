@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from spanweave.plans import catalog as module
 from spanweave.plans.catalog import catalog
 from spanweave.plans.oracles import oracles
 from tests.conftest import DATA
@@ -22,6 +23,12 @@ def duck():
     return con
 
 
+@pytest.fixture(autouse=True)
+def few_slices(monkeypatch):
+    """Three micro-batches rather than eight, to save time."""
+    monkeypatch.setattr(module, "SLICES", 3)
+
+
 def _rows(frame):
     frame = frame[sorted(frame.columns)]
     for name in frame.columns:
