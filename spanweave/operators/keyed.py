@@ -5,7 +5,7 @@ key. Usually this is one window: one shuffle and one sort by key. A window puts
 key into one task, so keys that hold too many rows take another path:
 
 1. the rows of hot keys are range-partitioned on (key, order), which cuts a hot key into
-   runs of about equal size, and pinned by ``checkpoint()`` so that the cuts stay the same;
+   runs of about equal size, and written to a table so that the cuts stay the same;
 2. each run is summarised to one row, and the summaries of a key (as many as it has runs)
    are folded into what each run receives from the runs before it;
 3. that value joins its run as one extra first row, and the window runs per (key, run).
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanweave.session import shared_root
+from spanweave.session import new_folder
 
 
 @dataclass(frozen=True)
@@ -155,15 +155,16 @@ def _window_per_run(
     seed: DataFrame | None,
     runs: int,
 ) -> DataFrame:
-    shared_root(heavy.sparkSession)  # checkpoint() needs the folder to be set
     # _seq also tells exact copies apart, so that a group of copies can be cut, too.
-    pinned = (
+    cut = (
         heavy.withColumn("_carry", carry)
         .withColumn("_seq", F.monotonically_increasing_id())
         .repartitionByRange(runs, key, *order, "_seq")
         .withColumn("_run", F.spark_partition_id())
-        .checkpoint()
     )
+    path = new_folder(heavy.sparkSession, "runs")
+    cut.write.parquet(path)
+    pinned = heavy.sparkSession.read.schema(cut.schema).parquet(path)
     order = [*order, "_seq"]
     ends = pinned.groupBy(key, "_run").agg(_summary(F.col("_carry"), order, latest).alias("carried"))
     if seed is not None:

@@ -28,7 +28,7 @@ BOUND_MS = 10_000
 SPREAD_MS = 2 * 86_400_000
 SPREAD = f"{SPREAD_MS} milliseconds"
 
-# Micro-batches in which a replayed table arrives.
+# Micro-batches in which a replayed table arrives, at least.
 SLICES = 8
 
 _CATALOG: dict[str, Query] = {}
@@ -129,6 +129,18 @@ def q10_gap_lag(spark, folder):
     return gaps.in_time_order(gaps.gap_lag(derived.calls(spark, folder)).drop("gap_duration"))
 
 
+@_query
+def q10_gap_seconds(spark, folder):
+    """The gap to the previous call in whole seconds, by start."""
+    found = gaps.gap_lag(derived.calls(spark, folder)).select(
+        "caller",
+        F.col("prev_end_ts").alias("prev_end_timestamp"),
+        F.col("start_ts").alias("next_start_timestamp"),
+        F.col("gap_seconds").alias("time_gap_seconds"),
+    )
+    return gaps.in_time_order(conform(found, schemas.GAP_SECONDS), "next_start_timestamp", by_caller=False)
+
+
 @_query
 def q10_gap_sql(spark, folder):
     """The same question as SQL text over a registered view."""
@@ -208,12 +220,10 @@ def reconcile_lag_vs_runmax(spark, folder):
 
 @_query
 def refresh_calls(spark, folder):
-    """Calls written as CSV files, loaded into a table that replaces its earlier content."""
-    csv, table = new_folder(spark, "csv"), new_folder(spark, "table")
+    """Calls written as CSV files and loaded into a table."""
+    csv = new_folder(spark, "csv")
     signals.write_signal(derived.calls(spark, folder), csv)
-    loaded = to_zone_free(signals.read_calls(spark, csv))
-    tables.refresh_table(loaded.limit(0), table)
-    return tables.refresh_table(loaded, table)
+    return tables.refresh_table(to_zone_free(signals.read_calls(spark, csv)), new_folder(spark, "table"))
 
 
 # --- streams ------------------------------------------------------------------------

@@ -91,6 +91,9 @@ SELECT caller, unique_id, start_ts, end_ts, prev_end AS prev_end_ts,
        epoch_ms(start_ts) - epoch_ms(prev_end) AS gap_ms,
        (epoch_ms(start_ts) - epoch_ms(prev_end)) // 1000 AS gap_seconds
 FROM lag_gaps"""
+_GAP_SECONDS = """
+SELECT caller, prev_end AS prev_end_timestamp, start_ts AS next_start_timestamp,
+       (epoch_ms(start_ts) - epoch_ms(prev_end)) // 1000 AS time_gap_seconds FROM lag_gaps"""
 _GAP_LAG_SHORT = """
 SELECT caller, prev_end, start_ts AS next_start, epoch_ms(start_ts) - epoch_ms(prev_end) AS gap_ms FROM lag_gaps"""
 _GAP_MAX = "SELECT * FROM max_gaps"
@@ -136,6 +139,7 @@ _QUERIES = {
     "q2_overlap_events_sessions": _OVERLAP_SESSIONS,
     "q10_gap_lag": _GAP_LAG,
     "q10_gap_sql": _GAP_LAG,
+    "q10_gap_seconds": _GAP_SECONDS,
     "q10_gap_running_max": _GAP_MAX,
     "q10_gap_within_day": _GAP_MAX_DAY,
     "q10_gap_events_adjacent": _GAP_ADJACENT,

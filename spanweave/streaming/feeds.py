@@ -15,6 +15,8 @@ from spanweave.session import new_folder
 from spanweave.sources.signals import read_signal, write_signal
 
 _ROWS_PER_FILE = 2_000_000
+_ROWS_PER_SLICE = 50_000_000
+_SLICE = T.StructField("_slice", T.IntegerType())
 
 
 @dataclass(frozen=True)
@@ -48,27 +50,36 @@ def stage_feed(
     header: bool = False,
     close_after_ms: int | None = None,
 ) -> Feed:
-    """Write ``rows`` as ``slices`` consecutive time ranges of ``order[0]``.
+    """Write ``rows`` as consecutive slices in the given order, whose first column is a time.
 
-    The file source takes files by modification time, so the slices are written one after
-    the other, each by one job with as many files as its size asks for. ``close_after_ms``
-    adds one row with the key -1 to the last slice, that long after all others: a stream
-    closes its last windows only when a later event moves the watermark on. (Not a null key:
-    a join on the key drops null keys right after the source, unseen by the watermark.)
+    There are ``slices`` of about equal size, or more for large tables, so that a micro-batch
+    never holds more than about 50 million rows. One pass sorts the table into slices. The
+    file source takes files by modification time, so a second pass writes the slices one
+    after the other, each from its own partition and with as many files as its size asks for.
+
+    ``close_after_ms`` adds one row with the key -1 to the last slice, that long after all
+    others: a stream closes its last windows only when a later event moves the watermark on.
+    (Not a null key: a join on the key drops null keys right after the source, unseen by the
+    watermark.)
     """
     spark = rows.sparkSession
-    at = millis(order[0])
-    facts = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    path = new_folder(spark, "feed")
+    facts = rows.agg(F.max(millis(order[0])).alias("last"), F.count(F.lit(1)).alias("n")).first()
     if not facts["n"]:
         raise ValueError("a feed needs at least one row")
-    width = (facts["hi"] - facts["lo"]) // slices + 1
+    slices = max(slices, math.ceil(facts["n"] / _ROWS_PER_SLICE))
     files = max(1, math.ceil(facts["n"] / slices / _ROWS_PER_FILE))
+    sorted_at, path = new_folder(spark, "sorted"), new_folder(spark, "feed")
+    (
+        rows.repartitionByRange(slices * files, *order)
+        .withColumn("_slice", F.expr(f"spark_partition_id() div {files}").cast("int"))
+        .write.partitionBy("_slice")
+        .parquet(sorted_at)
+    )
+    ordered = spark.read.schema(T.StructType([*rows.schema.fields, _SLICE])).parquet(sorted_at)
     for i in range(slices):
-        lo = facts["lo"] + i * width
-        part = rows.where((at >= lo) & (at < lo + width))
+        part = ordered.where(F.col("_slice") == i).drop("_slice")
         if close_after_ms is not None and i == slices - 1:
-            end = F.timestamp_millis(F.lit(facts["hi"] + close_after_ms))
+            end = F.timestamp_millis(F.lit(facts["last"] + close_after_ms))
             part = part.unionByName(_closing_row(rows, order[0], end))
         part = part.repartition(files).sortWithinPartitions(*order)
         if csv:

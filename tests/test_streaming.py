@@ -12,7 +12,7 @@ from spanweave.plans.catalog import SPREAD
 from spanweave.schemas import to_instants
 from spanweave.session import new_folder
 from spanweave.sources import derived, signals
-from spanweave.streaming import carried
+from spanweave.streaming import carried, feeds
 from spanweave.streaming import operators as streams
 from spanweave.streaming.feeds import stage_feed
 from spanweave.streaming.metrics import BatchMetrics
@@ -236,6 +236,18 @@ def test_feed_keeps_every_row_in_time_order(spark):
     assert len(starts) == 4 and starts == sorted(starts)
 
 
+def test_large_feeds_get_more_slices_and_files(spark, monkeypatch):
+    monkeypatch.setattr(feeds, "_ROWS_PER_SLICE", 200)
+    monkeypatch.setattr(feeds, "_ROWS_PER_FILE", 50)
+    calls = derived.calls(spark, DATA)
+    feed = stage_feed(calls, gaps.BY_START, slices=2)
+    back = spark.read.schema(feed.schema).parquet(feed.path)
+    assert reconcile(calls, back).count() == 0
+    assert (feed.files_per_slice, len(back.inputFiles())) == (4, 20)
+    out = run_to_table(streams.gaps_from_calls(feed.read(spark), delay=SPREAD, buckets=8))
+    assert reconcile(gaps.gap_running_max(calls), out).count() == 0
+
+
 def test_batch_and_stream_overlap_agree_on_edges(spark, tmp_path):
     calls = calls_df(spark, [(1, 10, 20), (2, 10, 10), (3, 0, 100)])
     towers = towers_df(spark, [(1, "a", 5, 20), (1, "b", 15, 30), (1, "c", 15, 31), (2, "d", 9, 11), (3, "e", 50, 101)])
