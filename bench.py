@@ -40,11 +40,8 @@ BATCH = [
 STREAMS = [
     "stream_q2_bounded",
     "stream_q2_sessions",
-    "stream_q2_minmax",
     "stream_q10_running_max",
     "stream_q10_running_max_carried",
-    "stream_q10_last_end",
-    "stream_pair_calls",
 ]
 
 
