@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import balance, packing
+from spanweave.llm import balance, oddsketch, packing
 from spanweave.llm.tables import read
 
 
@@ -22,6 +22,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, _tokenizer(), with_ids=False)
 
 
+def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = oddsketch.near_duplicates(docs, k=3, threshold=0.85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
     mixed = balance.mix_sources(docs, carry=["doc_id"])
@@ -29,7 +35,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op10_mixing)}
+    return {f.__name__: f for f in (op4_packing, op9_odd_sketches, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
