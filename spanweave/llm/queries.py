@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import balance, oddsketch, outliers, packing
+from spanweave.llm import balance, license_scan, oddsketch, outliers, packing
 from spanweave.llm.tables import read
 
 
@@ -17,6 +17,11 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return license_scan.scan(docs).withColumnRenamed("id", "doc_id").drop("spans")
+
+
 def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return outliers.judge(docs, carry=["doc_id"])
@@ -40,7 +45,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_robust_outliers, op4_packing, op9_odd_sketches, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op4_packing, op9_odd_sketches, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
