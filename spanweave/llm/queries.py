@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import balance, license_scan, oddsketch, outliers, packing
+from spanweave.llm import balance, license_scan, oddsketch, outliers, packing, spotsigs
 from spanweave.llm.tables import read
 
 
@@ -32,6 +32,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, _tokenizer(), with_ids=False)
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return spotsigs.against_next(docs).withColumnRenamed("id", "doc_id")
+
+
 def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     found = oddsketch.near_duplicates(docs, k=3, threshold=0.85)
@@ -45,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op4_packing, op9_odd_sketches, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op4_packing, op8_spotsigs, op9_odd_sketches, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
