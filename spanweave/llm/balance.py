@@ -35,7 +35,7 @@ from spanweave.llm.tables import BROADCAST_ROWS, join_small, keep, numbered
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 2_000
 NEWTON_STEPS = 40
 
 
