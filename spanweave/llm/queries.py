@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import balance, license_scan, oddsketch, outliers, packing, spotsigs
+from spanweave.llm import balance, license_scan, oddsketch, outliers, packing, spotsigs, toxicity
 from spanweave.llm.tables import read
 
 
@@ -32,6 +32,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, _tokenizer(), with_ids=False)
 
 
+def _dealt(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic").where(_dealt(5) != 0)
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", (F.coalesce(_dealt(5), F.lit(-1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return spotsigs.against_next(docs).withColumnRenamed("id", "doc_id")
@@ -50,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op4_packing, op8_spotsigs, op9_odd_sketches, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op4_packing, op6_toxicity, op8_spotsigs, op9_odd_sketches, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

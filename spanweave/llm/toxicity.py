@@ -12,7 +12,7 @@ Training: labels mark whole documents. Sentences of toxic documents are searched
 the strings that tell them from clean sentences (a greedy cover of the toxic
 documents); sentences that hold one are positive, sentences of clean documents negative, and
 the negatives that the machine finds hardest are added in rounds. The sample is bounded: at most
-``SAMPLE`` labelled rows of each class, of at most ``SAMPLE_CHARS`` characters, in the order of a hash.
+``SAMPLE`` toxic and ``SAMPLE_CLEAN`` other labelled rows, of at most ``SAMPLE_CHARS`` characters, in the order of a hash.
 
 Scoring: every word of a whole text, with marks inside words removed, digits as gaps, long words in
 overlapping windows and single letters set apart by spaces joined. The largest decision of
@@ -26,6 +26,7 @@ score is 0; further columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -41,8 +42,11 @@ WIDTH = 9
 STEP = 3
 LANDMARKS = 200
 SAMPLE = 1500
+SAMPLE_CLEAN = 3000
+ROUNDS = 6
 SAMPLE_CHARS = 20_000
 REMEMBERED = 500_000
+_decided: dict[int, dict[str, tuple[float, str]]] = {}
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _MARKS = re.compile(r"[^\w]|_")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -147,17 +151,30 @@ def _telling(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     for d in clean:
         clean_df.update(_parts(d) & df.keys())
     good = {p for p, n in df.items() if clean_df[p] * len(toxic) * 20 <= n * len(clean)}
-    left, chosen = [_parts(d) & good for d in toxic], []
+    # Each string of each toxic document that holds a good part shall hold a chosen one.
+    left = Counter(s for d in toxic for s in d)
+    left = {s: (n, _parts({s}) & good) for s, n in left.items()}
+    left = {s: x for s, x in left.items() if x[1]}
+    chosen: list[str] = []
     while left:
-        df = Counter(p for d in left for p in d)
-        part = max(df, key=lambda p: (df[p] - 3 * clean_df[p], len(p), p), default="")
-        if df[part] < least:
+        gain: Counter[str] = Counter()
+        for n, parts in left.values():
+            for p in parts:
+                gain[p] += n
+        part = max(gain, key=lambda p: (gain[p] - 3 * clean_df[p], len(p), p))
+        if gain[part] < 2 * least:
             break
         chosen.append(part)
-        left = [d for d in left if part not in d]
+        left = {s: x for s, x in left.items() if part not in x[1]}
     return chosen
 
 
+def _unlike(docs: list[set[str]]) -> list[set[str]]:
+    """Without documents that are nearly copies of earlier ones, which would count twice."""
+    one = {tuple(min(zlib.crc32(s.encode(), salt) for s in d) for salt in (1, 2, 3)): d for d in reversed(docs) if d}
+    return list(one.values())
+
+
 def _disturbed(some: list[str], rng: np.random.Generator, times: int) -> list[str]:
     """Copies with one character put in or made a gap, inside the string."""
     out = []
@@ -189,7 +206,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     rows = sorted(set(rows))
     # Sentences are cut first, so that no string reaches over two of them.
     docs = [({s for part in _SENTENCE.split(t) for w in set(words_of(part)) for s in strings(w)}, y) for t, y in rows]
-    toxic, clean = [d for d, y in docs if y], [d for d, y in docs if not y]
+    toxic, clean = _unlike([d for d, y in docs if y]), [d for d, y in docs if not y]
     told = _telling(toxic, clean) if toxic and clean else []
     if not told:
         return None
@@ -198,30 +215,33 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     seen = Counter(s for d in toxic for s in d if any(p in s for p in told))
     positive = sorted(seen, key=lambda s: (-seen[s], s))[: 20 * LANDMARKS]
     pool = sorted({s for d in clean for s in d})
-    closest = Landmarks(told).products(pool).max(axis=1)
-    ranked = np.argsort(-closest, kind="stable")
-    n_hard = LANDMARKS // 4
-    chosen_landmarks = told + positive[: LANDMARKS // 2] + [pool[n] for n in ranked[:n_hard]] + [pool[n] for n in rng.permutation(len(pool))[:n_hard]]
-    marks = Landmarks(list(dict.fromkeys(chosen_landmarks))[: LANDMARKS + len(told)])
-    kernel = marks.products(list(dict.fromkeys(chosen_landmarks))[: LANDMARKS + len(told)]).astype(float)
-    values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
-    good = values > 1e-4 * values.max()
-    whiten = vectors[:, good] / np.sqrt(values[good])
-    chosen = set(rng.permutation(len(pool))[:4000].tolist()) | set(ranked[:3000].tolist())
+    marks = Landmarks(told)
+    closest = np.concatenate([marks.products(pool[n : n + 50_000]).max(axis=1) for n in range(0, max(len(pool), 1), 50_000)])
+    ranked = np.argsort(-closest, kind="stable").tolist()
+    chosen = set(rng.permutation(len(pool))[:4000].tolist()) | set(ranked[:3000])
     gapped = _disturbed(positive[:LANDMARKS], rng, 4)
-    model = None
-    for _ in range(5):
+    spread = [pool[n] for n in rng.permutation(len(pool))[: LANDMARKS // 4]]
+    model, hard = None, ranked[:LANDMARKS]
+    for _ in range(ROUNDS):
+        # The landmarks follow what is hard to tell apart so far.
+        listed = list(dict.fromkeys(told + positive[:LANDMARKS] + [pool[n] for n in hard] + spread))
+        marks = Landmarks(listed)
+        kernel = marks.products(listed).astype(float)
+        values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
+        good = values > 1e-4 * values.max()
+        whiten = vectors[:, good] / np.sqrt(values[good])
         negative = [pool[n] for n in sorted(chosen)]
         x = marks.products(positive + gapped + negative) @ whiten
         y = np.append(np.ones(len(positive) + len(gapped)), -np.ones(len(negative)))
-        share = np.concatenate([np.full(len(positive), 1 / len(positive)), np.full(len(gapped), 0.3 / len(gapped)), np.full(len(negative), 4 / len(negative))])
-        w = _squared_hinge(x, y, 3000.0 * share)
+        cost = np.concatenate([np.full(len(positive), 2.0), np.full(len(gapped), 0.5), np.full(len(negative), 2.0)])
+        w = _squared_hinge(x, y, cost)
         model = Model(marks.weights(whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
         decisions = model.decide(pool)
-        wrong = set(np.flatnonzero(decisions > -0.5).tolist()) - chosen
-        if not wrong:
+        wrong = sorted(set(np.flatnonzero(decisions > -0.5).tolist()), key=lambda n: (-decisions[n], n))
+        if not set(wrong) - chosen:
             break
-        chosen |= set(sorted(wrong, key=lambda n: (-decisions[n], n))[:3000])
+        chosen |= set(wrong[:4000])
+        hard = list(dict.fromkeys(wrong[: LANDMARKS // 2] + hard))[:LANDMARKS]
     some = sorted({s for d, _ in docs for s in d})
     own = dict(zip(some, model.decide(some).tolist()))
     top = np.array([max((own[s] for s in d), default=model.bias) for d, _ in docs])
@@ -243,11 +263,11 @@ def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
-    """Fits on at most ``sample`` labelled rows of each class; only their ids are broadcast."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+    """Fits on the bounded sample; only its ids are broadcast."""
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     place = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64(id_col), id_col))
-    some = known.withColumn("_place", place).where(F.col("_place") <= sample).select(id_col, "_label")
+    some = known.withColumn("_place", place).where(F.col("_place") <= F.when(F.col("_label") == 1, SAMPLE).otherwise(SAMPLE_CLEAN)).where(F.col("_place") <= max(SAMPLE, SAMPLE_CLEAN)).select(id_col, "_label")
     texts = docs.select(id_col, text_col).where(F.length(text_col) <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(some), id_col).select(text_col, "_label").collect()
     return fit([(r[0], int(r[1])) for r in rows])
@@ -255,9 +275,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def score(docs: DataFrame, model: Model | None, *, text_col: str = "text", carry: list[str]) -> DataFrame:
     """``carry``, score, and ``worst``: the string of the text that decided it."""
-    known: dict[str, tuple[float, str]] = {}
+    name = zlib.crc32(model.weights.tobytes()) if model is not None else 0
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A Python worker serves many tasks and keeps the decisions of one model.
+        if name not in _decided:
+            _decided.clear()
+        known = _decided.setdefault(name, {})
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
