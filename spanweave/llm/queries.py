@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import balance, license_scan, oddsketch, outliers, packing, spotsigs, toxicity
+from spanweave.llm import balance, langid, license_scan, oddsketch, outliers, packing, spotsigs, toxicity
 from spanweave.llm.tables import read
 
 
@@ -27,15 +27,22 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(docs, carry=["doc_id"])
 
 
+def _dealt(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.train(docs.where(_dealt(4) != 2))
+    held_out = (F.coalesce(_dealt(4), F.lit(-1)) == 2).alias("held_out")
+    return langid.predict(docs, model, carry=["doc_id"]).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(docs, _tokenizer(), with_ids=False)
 
 
-def _dealt(modulus: int):
-    return F.crc32(F.col("doc_id").cast("string")) % modulus
-
-
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     labels = read(spark, sf_dir, "labels", "doc_id", "toxic").where(_dealt(5) != 0)
@@ -62,7 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op4_packing, op6_toxicity, op8_spotsigs, op9_odd_sketches, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op3_language_id, op4_packing, op6_toxicity, op8_spotsigs, op9_odd_sketches, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
