@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import balance, langid, license_scan, oddsketch, outliers, packing, spotsigs, toxicity
+from spanweave.llm import balance, langid, license_scan, oddsketch, outliers, packing, runindex, spotsigs, toxicity
 from spanweave.llm.tables import read
 
 
@@ -43,6 +43,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, _tokenizer(), with_ids=False)
 
 
+def op5_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return runindex.remove_repeated(docs, carry=["doc_id"])
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     labels = read(spark, sf_dir, "labels", "doc_id", "toxic").where(_dealt(5) != 0)
@@ -69,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op3_language_id, op4_packing, op6_toxicity, op8_spotsigs, op9_odd_sketches, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op3_language_id, op4_packing, op5_run_index, op6_toxicity, op8_spotsigs, op9_odd_sketches, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

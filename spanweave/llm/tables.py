@@ -47,3 +47,12 @@ def numbered(df: DataFrame, order: list, name: str, label: str) -> DataFrame:
         .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
         .drop("_range", "_before")
     )
+
+
+def drop(table: DataFrame) -> None:
+    """Delete the files of a table that ``keep`` wrote, once nothing reads it any more."""
+    jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+    folders = {f.rpartition("/")[0] for f in table.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
