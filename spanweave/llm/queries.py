@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import balance, langid, license_scan, oddsketch, outliers, packing, runindex, spotsigs, toxicity
+from spanweave.llm import balance, chat, langid, license_scan, oddsketch, outliers, packing, runindex, spotsigs, toxicity
 from spanweave.llm.tables import read
 
 
@@ -56,6 +56,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.coalesce(_dealt(5), F.lit(-1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digests(chat.format_turns(turns.unionByName(added))).withColumnRenamed("conv", "conv_id")
+
+
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return spotsigs.against_next(docs).withColumnRenamed("id", "doc_id")
@@ -74,7 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op3_language_id, op4_packing, op5_run_index, op6_toxicity, op8_spotsigs, op9_odd_sketches, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op3_language_id, op4_packing, op5_run_index, op6_toxicity, op7_chat_format, op8_spotsigs, op9_odd_sketches, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
