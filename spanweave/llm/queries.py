@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm import balance, chat, langid, license_scan, oddsketch, outliers, packing, runindex, spotsigs, toxicity
+from spanweave.llm.oracles import oracles
 from spanweave.llm.tables import read
 
 
@@ -85,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles()
