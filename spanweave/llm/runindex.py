@@ -229,10 +229,12 @@ def _regroup(length: int, part: int):
                     n = len(raw) - length + 1
                     first = 0
                     while first < n:
-                        last = min(n, first + part - (first - anchor) % part)
-                        core = raw[last - 1 : first + length]
+                        # The bytes that all strings of the whole run have, also where it is cut off here.
+                        begin = first - (first - anchor) % part
+                        last = min(n, begin + part)
+                        core = raw[begin + part - 1 : begin + length]
                         own = raw[first : last + length - 1]
-                        label = int.from_bytes(hashlib.blake2b(core + bytes([(first - anchor) // part % 251, part]) if part > 1 else core, digest_size=8).digest(), "little", signed=True)
+                        label = int.from_bytes(hashlib.blake2b(core + bytes([(begin - anchor) // part % 251, part]) if part > 1 else core, digest_size=8).digest(), "little", signed=True)
                         for column, value in zip(rows, (k, th, start + first, own, label, last - first)):
                             column.append(value)
                         first = last
