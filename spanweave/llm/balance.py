@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.tables import BROADCAST_ROWS, join_small, keep, numbered
+from spanweave.llm.tables import BROADCAST_ROWS, join_small, keep, numbered, ship
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -109,7 +109,7 @@ def solve_dual(rows: DataFrame, sources: DataFrame, keep_mean: list[str], tolera
             F.array(*[F.sum(weight * F.col("x")[k] * F.col("x")[j]) for k in range(width) for j in range(width)]).alias("hess"),
         )
         shape = "sid bigint, target double, base array<double>, lam array<double>, off double"
-        stepped = keep(state.select("sid", "target", "base", "lam").join(sums, "sid").mapInPandas(_newton(width, tolerance), shape), "balance-step")
+        stepped = keep(state.select("sid", "target", "base", "lam").join(sums, "sid").mapInPandas(ship(_newton(width, tolerance)), shape), "balance-step")
         state = stepped
         if (stepped.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
@@ -152,7 +152,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     order = ["_sid", "_block", F.desc("_size"), "_hash", "_row"] if carry else ["_sid", "_block", F.desc("_size"), "_hash"]
     walked = rated.repartition("_sid", "_block").sortWithinPartitions(*order)
     shape = f"_row {rated.schema['_row'].dataType.simpleString()}, _sid bigint, _size bigint, copies bigint"
-    dealt = walked.mapInArrow(_deal(most), shape)
+    dealt = walked.mapInArrow(ship(_deal(most)), shape)
     back = join_small(dealt, sources.select(F.col("sid").alias("_sid"), "source_size", "target"), "_sid")
     made = [F.col("_size").alias("size"), "source_size", "target", "copies"]
     return back.select("_row", *made)

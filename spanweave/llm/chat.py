@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.llm.tables import ship
+
 BEGIN, TURN, BODY, END = "<|begin|>", "<|turn|>", "<|body|>", "<|end|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
 #: Template strings that texts must not be able to write; fixed values.
@@ -153,7 +155,7 @@ def format_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
             yield pa.RecordBatch.from_arrays(columns, ["conv", *made])
 
     shape = f"conv {kind}, nth bigint, place bigint, formatted string, loss_from bigint, loss_to bigint, attachments array<struct<type:string,ref:string,place:bigint,tokens:bigint>>, tokens bigint"
-    return rows.mapInArrow(walk, shape)
+    return rows.mapInArrow(ship(walk), shape)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -194,4 +196,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield row([held])
 
     shape = f"conv {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return rows.mapInArrow(read, shape)
+    return rows.mapInArrow(ship(read), shape)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.llm.tables import ship
 from spanweave.llm.textscan import pieces
 
 STATE = 8
@@ -247,7 +248,7 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", car
                 yield pa.RecordBatch.from_arrays(columns, [*carry, "lang_pred", "score", "shares"])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(compute, ", ".join([*kinds, "lang_pred string, score double, shares array<double>"]))
+    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(ship(compute), ", ".join([*kinds, "lang_pred string, score double, shares array<double>"]))
 
 
 def label_positions(model: Model, text: str) -> list[str]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.llm.tables import BROADCAST_ROWS, keep
+from spanweave.llm.tables import BROADCAST_ROWS, keep, ship
 from spanweave.llm.textscan import U64, Hasher, mix, per_text, pieces, repeated, scan_words, windows
 
 WINDOW = 5
@@ -94,7 +94,7 @@ def text_statistics(docs: DataFrame, text_col: str, carry: list[str]) -> DataFra
                 yield pa.RecordBatch.from_arrays([*own, *counts], [*carry, *_COUNTS])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry] + [f"{c} bigint" for c in _COUNTS]
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(compute, ", ".join(kinds))
+    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(ship(compute), ", ".join(kinds))
 
 
 def base_failed() -> Column:
@@ -130,7 +130,7 @@ def _with_inverse(rows: DataFrame, p: int) -> DataFrame:
         for pdf in batches:
             yield _invert(pdf, p)
 
-    return rows.mapInPandas(invert, "grp bigint, centre array<double>, inverse array<double>, logdet double")
+    return rows.mapInPandas(ship(invert), "grp bigint, centre array<double>, inverse array<double>, logdet double")
 
 
 def _distance(p: int) -> Column:

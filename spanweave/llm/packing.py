@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.tables import numbered
+from spanweave.llm.tables import numbered, ship
 from spanweave.llm.textscan import SPACE_WORDS, Hasher
 from spanweave.llm.textscan import pieces as text_pieces
 
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    return docs.select(id_col, text_col).mapInArrow(cut, schema + (", ids array<int>" if with_ids else ""))
+    return docs.select(id_col, text_col).mapInArrow(ship(cut), schema + (", ids array<int>" if with_ids else ""))
 
 
 def pack(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST, with_ids: bool = True) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.tables import drop, keep
+from spanweave.llm.tables import drop, keep, ship
 from spanweave.llm.textscan import U64, Hasher, pieces
 
 LENGTH = 200
@@ -267,7 +267,7 @@ def _settle(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 def _compared(segs: DataFrame, length: int) -> DataFrame:
     """Marks (k, th, begin, end) from segments with bytes (k, th, start, raw, key)."""
     dealt = segs.select("k", "th", "start", "raw", "key").repartition("key").sortWithinPartitions("key", "raw", "k", "th", "start")
-    return dealt.mapInArrow(_index(length), "k bigint, th bigint, begin bigint, end bigint")
+    return dealt.mapInArrow(ship(_index(length)), "k bigint, th bigint, begin bigint, end bigint")
 
 
 def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -275,7 +275,7 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.xxhash64(id_col).alias("k"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     gram = min(GRAM, length)
     shape = "k bigint, th bigint, start int, strings int, key bigint, same bigint"
-    found = keep(rows.mapInArrow(_find(length, gram), shape), "run-segments")
+    found = keep(rows.mapInArrow(ship(_find(length, gram)), shape), "run-segments")
     by_key = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("same").alias("low"), F.max("same").alias("high")).where("n > 1")
     several = keep(found.join(by_key.select("key", (F.col("low") == F.col("high")).alias("alike")), "key"), "run-several")
     drop(found)
@@ -291,7 +291,7 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     marks.append(_compared(segs.where(F.col("kinds") <= SEGMENTS), length))
     for part in (PART, 1):
         segs = segs.where(F.col("kinds") > SEGMENTS).select("k", "th", "start", "raw", "key")
-        cut = keep(segs.mapInArrow(_regroup(length, part), _RAW), "run-parts").withColumn("same", F.xxhash64("raw"))
+        cut = keep(segs.mapInArrow(ship(_regroup(length, part)), _RAW), "run-parts").withColumn("same", F.xxhash64("raw"))
         whole, places = _settle(cut, length)
         marks.append(whole)
         segs = cut.join(places, ["key", "same", "k", "th", "start"]).dropDuplicates(["key", "same"])
@@ -352,5 +352,5 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = keyed.join(ranges, ["k", "th"], "left").select("_row", "_text", "ranges")
     kind = keyed.schema["_row"].dataType.simpleString()
     shape = f"_row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
-    cut = joined.mapInArrow(_cut(with_text, with_text), shape)
+    cut = joined.mapInArrow(ship(_cut(with_text, with_text)), shape)
     return cut.select("_row.*", *[c for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")], *(["kept_text"] if with_text else []))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +60,23 @@ def drop(table: DataFrame) -> None:
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+
+
+def ship(function: Callable) -> Callable:
+    """``function`` for a Python task, also where the task's Python does not know this package.
+
+    The function is unpickled inside the task, once the folder of the package is on its path.
+    """
+    payload, root = cloudpickle.dumps(function), str(Path(__file__).resolve().parents[2])
+
+    def run(batches):
+        import sys
+        from importlib.util import find_spec
+
+        from pyspark import cloudpickle as pickles
+
+        if find_spec("spanweave") is None:
+            sys.path.append(root)
+        yield from pickles.loads(payload)(batches)
+
+    return run

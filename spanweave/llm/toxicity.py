@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.llm.tables import ship
+
 SPAN = 6
 DECAY = 0.6
 WIDTH = 9
@@ -309,4 +311,4 @@ def score(docs: DataFrame, model: Model | None, *, text_col: str = "text", carry
                 yield pa.RecordBatch.from_arrays([*own, pa.array(scores), pa.array(worst, pa.string())], [*carry, "score", "worst"])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(compute, ", ".join([*kinds, "score double", "worst string"]))
+    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(ship(compute), ", ".join([*kinds, "score double", "worst string"]))
