@@ -35,8 +35,7 @@ def gap_ms(earlier: Column | str, later: Column | str) -> Column:
 
 def gap_seconds(earlier: Column | str, later: Column | str) -> Column:
     """Whole seconds from ``earlier`` to ``later``, cut off towards zero."""
-    gap = gap_ms(earlier, later)
-    return ((gap - gap % 1000) / 1000).cast("long")
+    return F.call_function("div", gap_ms(earlier, later), F.lit(1000).cast("long"))
 
 
 def gap_interval(earlier: Column | str, later: Column | str) -> Column:

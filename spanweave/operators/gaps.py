@@ -20,6 +20,8 @@ BY_EVENT = ["ts", "row_id"]
 
 def _calls(calls: DataFrame, connected_only: bool, *columns: str) -> DataFrame:
     rows = calls.where(is_connected()) if connected_only else calls
+    # As on streams: a call without a start or an end takes no part.
+    rows = rows.where(F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull())
     return rows.select("caller", "unique_id", "start_ts", "end_ts", *columns)
 
 
@@ -81,12 +83,16 @@ def gap_clamped(
 
 
 def gap_pattern(
-    calls: DataFrame, *, ttl_ms: int | None = None, policy: HotKeyPolicy | None = DEFAULT_POLICY
+    calls: DataFrame,
+    *,
+    ttl_ms: int | None = None,
+    seed: DataFrame | None = None,
+    policy: HotKeyPolicy | None = DEFAULT_POLICY,
 ) -> DataFrame:
     """Two connected calls with no other call of any disposition starting in between."""
     carry = F.struct("end_ts", "disposition")
     rows = with_previous(
-        _calls(calls, False, "disposition"), "caller", BY_START, carry, latest=True, policy=policy
+        _calls(calls, False, "disposition"), "caller", BY_START, carry, latest=True, seed=seed, policy=policy
     )
     end = F.col("prev.end_ts")
     both = is_connected() & (F.col("prev.disposition") == CONNECTED)
@@ -98,6 +104,7 @@ def gap_events_adjacent(
     *,
     connected_only: bool = True,
     ttl_ms: int | None = None,
+    seed: DataFrame | None = None,
     policy: HotKeyPolicy | None = DEFAULT_POLICY,
 ) -> DataFrame:
     """Each START that directly follows an END among the caller's events."""
@@ -108,6 +115,7 @@ def gap_events_adjacent(
         BY_EVENT,
         F.struct("event_type", "ts"),
         latest=True,
+        seed=seed,
         policy=policy,
     )
     end = F.col("prev.ts")

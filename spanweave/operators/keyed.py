@@ -18,25 +18,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spanweave.session import new_folder
 
 
 @dataclass(frozen=True)
 class HotKeyPolicy:
-    """When a key counts as hot.
+    """When a key counts as hot: with more rows than ``rows_per_task``.
 
-    ``rows_per_task``: a key with more rows than this is split into runs of about this size.
-    ``max_keys``: upper bound on the hot keys returned to the driver and broadcast.
-    ``tracked``: counters of the frequent-items sketch. The sketch surely finds each key
-    that holds more than about 7 / ``tracked`` of all rows; a key below that share is no
-    larger than an ordinary partition of a job with a few thousand tasks.
+    A hot key is split into runs of about this size. ``broadcast_keys``: up to so many hot
+    keys are sent to all tasks; a longer list is joined by a shuffle.
     """
 
     rows_per_task: int = 4_000_000
-    max_keys: int = 10_000
-    tracked: int = 50_000
+    broadcast_keys: int = 10_000
 
 
 DEFAULT_POLICY = HotKeyPolicy()
@@ -44,39 +39,40 @@ DEFAULT_POLICY = HotKeyPolicy()
 
 @dataclass(frozen=True)
 class HotKeys:
-    """The hot keys of a table (nulls count as a key) and their estimated row count."""
+    """The hot keys of a table (nulls count as a key): a stored table, their number and rows."""
 
     key: str
-    values: tuple
+    listed: DataFrame | None
+    keys: int
     rows: int
-    schema: T.StructType
+    broadcast_keys: int
 
     def __bool__(self) -> bool:
-        return bool(self.values)
+        return self.keys > 0
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """``df`` as (rows of other keys, rows of hot keys).
-
-        The broadcast side holds at most ``HotKeyPolicy.max_keys`` rows of one column.
-        """
-        listed = df.sparkSession.createDataFrame([(v,) for v in self.values], self.schema)
-        listed = F.broadcast(listed.withColumnRenamed(self.key, "_hot"))
+        """``df`` as (rows of other keys, rows of hot keys)."""
+        listed = self.listed.select(F.col(self.key).alias("_hot"))
+        if self.keys <= self.broadcast_keys:
+            listed = F.broadcast(listed)
         same = F.col(self.key).eqNullSafe(F.col("_hot"))
         return df.join(listed, same, "left_anti"), df.join(listed, same, "left_semi")
 
 
 def find_hot_keys(df: DataFrame, key: str, policy: HotKeyPolicy = DEFAULT_POLICY) -> HotKeys:
-    """One pass over the key column with a mergeable frequent-items sketch of fixed size."""
-    k = min(policy.max_keys, policy.tracked)
-    found = df.agg(
-        F.expr(f"approx_top_k(`{key}`, {k}, {policy.tracked})").alias("top"),
-        F.count(F.lit(1)).alias("total"),
-    ).first()
-    hot = []
-    if found["total"] > policy.rows_per_task:
-        hot = [(i["item"], i["count"]) for i in found["top"] if i["count"] > policy.rows_per_task]
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType)])
-    return HotKeys(key, tuple(v for v, _ in hot), sum(n for _, n in hot), schema)
+    """Exact counts per key, combined before the shuffle; only the hot keys are stored.
+
+    A table that fits one task has none, so small tables are only counted.
+    """
+    none = HotKeys(key, None, 0, 0, policy.broadcast_keys)
+    if df.select(key).count() <= policy.rows_per_task:
+        return none
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > policy.rows_per_task)
+    path = new_folder(df.sparkSession, "hot-keys")
+    counted.write.parquet(path)
+    listed = df.sparkSession.read.schema(counted.schema).parquet(path)
+    facts = listed.agg(F.count(F.lit(1)).alias("keys"), F.sum("_rows").alias("rows")).first()
+    return HotKeys(key, listed, facts["keys"], facts["rows"] or 0, policy.broadcast_keys) if facts["keys"] else none
 
 
 def with_previous(
@@ -168,6 +164,7 @@ def _window_per_run(
     order = [*order, "_seq"]
     ends = pinned.groupBy(key, "_run").agg(_summary(F.col("_carry"), order, latest).alias("carried"))
     if seed is not None:
+        seed = seed.join(ends.select(F.col(key).alias("_hot")).distinct(), F.col(key).eqNullSafe(F.col("_hot")), "left_semi")
         ends = ends.unionByName(seed.select(key, F.lit(-1).alias("_run"), "carried"))
     earlier = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     received = F.last("carried") if latest else F.max("carried")

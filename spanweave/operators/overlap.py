@@ -63,7 +63,7 @@ def bounded_overlap(
     if delay is not None:
         calls, towers = calls.withWatermark("end_ts", delay), towers.withWatermark("end_ts", delay)
     c, t = _sides(calls, towers, connected_only)
-    width = 10 * bound_ms
+    width = max(1, 10 * bound_ms)
     end = millis("call_end")
     first, last = _floor_div(end - bound_ms, width), _floor_div(end + bound_ms, width)
     c = c.withColumn("_cell", F.explode(F.sequence(first, last)))
@@ -91,7 +91,7 @@ def _tidy(joined: DataFrame) -> DataFrame:
 
 
 def _floor_div(value: Column, by: int) -> Column:
-    return ((value - F.pmod(value, F.lit(by))) / F.lit(by)).cast("long")
+    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
 
 
 def _by_time_cell(c: DataFrame, t: DataFrame, tolerance_ms: int, match: Column) -> DataFrame:
@@ -121,8 +121,7 @@ def _by_time_cell(c: DataFrame, t: DataFrame, tolerance_ms: int, match: Column)
         c.withColumn("_from", millis("call_start"))
         .withColumn("_at_end", at_end)
         .withColumn("_point", F.when(F.col("_at_end"), millis("call_end")).otherwise(F.col("_from")))
-        # At most one row per hot id, see HotKeyPolicy.max_keys.
-        .join(F.broadcast(levels), "unique_id")
+        .join(levels, "unique_id")
         .withColumn("_level", F.explode("_levels"))
         .withColumn("_cell", F.expr("shiftright(_point, _level)"))
         .drop("_levels")

@@ -61,7 +61,7 @@ def pair_spans(
     ``max_open_ms`` leaves out longer spans (as the streaming form, which forgets them).
     ``seed`` holds the events left open by earlier rows, see ``open_spans``.
     """
-    rows = events.where(is_start() | is_end()).select(
+    rows = events.where((is_start() | is_end()) & F.col(key).isNotNull() & F.col("ts").isNotNull()).select(
         key, "event_type", "ts", "row_id", *dict.fromkeys((*from_start, *from_end))
     )
     rows = with_previous(rows, key, _ORDER, _last_event(from_start), latest=True, seed=seed, policy=policy)
@@ -85,7 +85,7 @@ def open_spans(
     seed: DataFrame | None = None,
 ) -> DataFrame:
     """The keys whose last event is a START, as a ``seed`` for the events that follow."""
-    rows = events.where(is_start() | is_end())
+    rows = events.where((is_start() | is_end()) & F.col(key).isNotNull() & F.col("ts").isNotNull())
     ends = carry_after(rows, key, _ORDER, _last_event(from_start), latest=True, seed=seed)
     return ends.where(is_start("carried.event_type"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanweave import schemas
 from spanweave.functions.predicates import is_connected
+from spanweave.functions.times import millis
 from spanweave.operators import compare, gaps, overlap, sessions
 from spanweave.plans import sql_text
 from spanweave.schemas import conform, to_zone_free
@@ -23,10 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 TOLERANCE_MS = 3_000
 BOUND_MS = 10_000
-# Longer than any span of the input: how far a replayed stream can be out of order, and how
-# far the events of one span can lie apart.
-SPREAD_MS = 2 * 86_400_000
-SPREAD = f"{SPREAD_MS} milliseconds"
+# Feeds are ordered by their event time; only rows of one and the same time may be late.
+FEED_DELAY = "1 second"
 
 # Micro-batches in which a replayed table arrives, at least.
 SLICES = 8
@@ -89,7 +88,7 @@ def q2_overlap(spark, folder):
 @_query
 def q2_overlap_sql(spark, folder):
     """The same question as SQL text over registered views."""
-    tables.register_views(spark, derived.calls(spark, folder), derived.towers(spark, folder))
+    sql_text.offer(spark, derived.calls(spark, folder), derived.towers(spark, folder))
     return spark.sql(sql_text.PARTIAL_OVERLAP)
 
 
@@ -144,7 +143,7 @@ def q10_gap_seconds(spark, folder):
 @_query
 def q10_gap_sql(spark, folder):
     """The same question as SQL text over a registered view."""
-    tables.register_views(spark, derived.calls(spark, folder))
+    sql_text.offer(spark, derived.calls(spark, folder))
     return spark.sql(sql_text.CONSECUTIVE_GAP)
 
 
@@ -226,6 +225,44 @@ def refresh_calls(spark, folder):
     return tables.refresh_table(to_zone_free(signals.read_calls(spark, csv)), new_folder(spark, "table"))
 
 
+def _stored(spark, rows: DataFrame, schema, **options) -> str:
+    """A folder with ``rows`` as CSV files, columns in the order of the signal."""
+    csv = new_folder(spark, "csv")
+    signals.write_signal(rows.select(*schema.names), csv, **options)
+    return csv
+
+
+@_query
+def csv_towers(spark, folder):
+    """Tower spans written as CSV files and read back."""
+    return to_zone_free(signals.read_towers(spark, _stored(spark, derived.towers(spark, folder), schemas.TOWERS)))
+
+
+@_query
+def csv_call_events(spark, folder):
+    """Call events written as CSV files, among lines that cannot be read, and read back."""
+    rows = derived.call_events(spark, folder)
+    broken = rows.select(*[F.lit("?").alias(c) if c in ("unique_id", "ts") else F.col(c).cast("string").alias(c) for c in schemas.CALL_EVENTS.names])
+    csv = _stored(spark, rows, schemas.CALL_EVENTS)
+    signals.write_signal(broken, csv, mode="append")
+    return to_zone_free(signals.read_call_events(spark, csv))
+
+
+@_query
+def csv_tower_events(spark, folder):
+    """Tower events written as CSV files with a header line and read back."""
+    csv = _stored(spark, derived.tower_events(spark, folder), schemas.TOWER_EVENTS, header=True)
+    return to_zone_free(signals.read_tower_events(spark, csv, header=True))
+
+
+@_query
+def q10_gap_duration(spark, folder):
+    """The gap as an interval, told in milliseconds."""
+    found = gaps.gap_lag(derived.calls(spark, folder))
+    start = F.to_timestamp(F.lit("1970-01-01 00:00:00"))
+    return found.select("caller", "unique_id", F.unix_millis(start + F.col("gap_duration")).alias("duration_ms"))
+
+
 # --- streams ------------------------------------------------------------------------
 
 
@@ -233,6 +270,24 @@ def _buckets(spark) -> int:
     return 32 * spark.sparkContext.defaultParallelism
 
 
+def _spread_ms(spark, folder) -> int:
+    """The longest time that any call id fills, from the first to the last of its times.
+
+    A replayed stream is out of order by no more than that, and neither the ends of a call and
+    its towers nor the events of one key lie further apart.
+    """
+    times = [
+        rows.select("unique_id", F.explode(F.array("start_ts", "end_ts")).alias("ts"))
+        for rows in (derived.calls(spark, folder), derived.towers(spark, folder))
+    ]
+    ids = times[0].unionByName(times[1]).groupBy("unique_id").agg((millis(F.max("ts")) - millis(F.min("ts"))).alias("ms"))
+    return (ids.agg(F.max("ms")).first()[0] or 0) + 1
+
+
+def _delay(spread_ms: int) -> str:
+    return f"{spread_ms} milliseconds"
+
+
 def _feed(rows: DataFrame, order: list[str], **options) -> Feed:
     return stage_feed(rows, order, slices=SLICES, **options)
 
@@ -260,22 +315,23 @@ def stream_q2_bounded(spark, folder):
         _towers_feed(spark, folder),
         bound_ms=BOUND_MS,
         connected_only=True,
-        delay=SPREAD,
+        delay=_delay(_spread_ms(spark, folder)),
     )
-    return run_to_table(_tower_only(pairs))
+    return run_to_table(_tower_only(pairs), allow_late=False)
 
 
 @_query
 def stream_q2_tolerant(spark, folder):
     """The tolerant overlap, with a bound wider than any call so that state can be dropped."""
+    spread = _spread_ms(spark, folder)
     pairs = overlap.bounded_overlap(
         _calls_feed(spark, folder),
         _towers_feed(spark, folder),
-        bound_ms=SPREAD_MS,
+        bound_ms=spread,
         tolerance_ms=TOLERANCE_MS,
-        delay=SPREAD,
+        delay=_delay(spread),
     )
-    return _by_call_id(run_to_table(pairs))
+    return _by_call_id(run_to_table(pairs, allow_late=False))
 
 
 @_query
@@ -284,11 +340,10 @@ def stream_q2_sessions(spark, folder):
         _call_events_feed(spark, folder),
         _tower_events_feed(spark, folder),
         bound_ms=BOUND_MS,
-        delay=SPREAD,
-        max_open_ms=SPREAD_MS,
+        delay=_delay(_spread_ms(spark, folder)),
         buckets=_buckets(spark),
     )
-    return run_to_table(_session_names(pairs))
+    return run_to_table(_session_names(pairs), allow_late=False)
 
 
 @_query
@@ -301,15 +356,16 @@ def stream_q2_sessions_carried(spark, folder):
 
 @_query
 def stream_q2_minmax(spark, folder):
+    spread = _spread_ms(spark, folder)
     pairs = streams.overlap_of_rebuilt(
-        _call_events_feed(spark, folder, close_after_ms=5 * SPREAD_MS),
-        _tower_events_feed(spark, folder, close_after_ms=5 * SPREAD_MS),
-        delay=SPREAD,
-        max_span=SPREAD,
-        bound_ms=SPREAD_MS,
+        _call_events_feed(spark, folder, close_after_ms=5 * spread),
+        _tower_events_feed(spark, folder, close_after_ms=5 * spread),
+        delay=_delay(spread),
+        max_span=_delay(spread),
+        bound_ms=spread,
         tolerance_ms=TOLERANCE_MS,
     )
-    return _by_call_id(run_to_table(pairs))
+    return _by_call_id(run_to_table(pairs, allow_late=False))
 
 
 @_query
@@ -321,8 +377,10 @@ def stream_q2_minmax_updates(spark, folder):
 
 
 def _gaps_of_calls(spark, folder, **options) -> DataFrame:
+    # The feed is ordered by start, and so is its event time.
     feed = _calls_feed(spark, folder)
-    return run_to_table(streams.gaps_from_calls(feed, delay=SPREAD, buckets=_buckets(spark), **options))
+    found = streams.gaps_from_calls(feed, delay=FEED_DELAY, event_time="start_ts", buckets=_buckets(spark), **options)
+    return run_to_table(found, allow_late=False)
 
 
 @_query
@@ -343,7 +401,7 @@ def stream_q10_within_day(spark, folder):
 @_query
 def stream_q10_last_end(spark, folder):
     feed = _call_events_feed(spark, folder)
-    return run_to_table(streams.gaps_from_events(feed, delay=SPREAD, buckets=_buckets(spark)))
+    return run_to_table(streams.gaps_from_events(feed, delay=FEED_DELAY, buckets=_buckets(spark)), allow_late=False)
 
 
 @_query
@@ -361,18 +419,26 @@ def stream_q10_last_end_carried(spark, folder):
     return carried.run_carried(_call_events_feed(spark, folder), carried.last_end_step())
 
 
+@_query
+def stream_q10_events_adjacent(spark, folder):
+    return carried.run_carried(_call_events_feed(spark, folder), carried.adjacent_step())
+
+
+@_query
+def stream_q10_pattern(spark, folder):
+    return carried.run_carried(_calls_feed(spark, folder), carried.pattern_step())
+
+
 @_query
 def stream_pair_calls(spark, folder):
     feed = _call_events_feed(spark, folder)
-    spans = streams.pair_calls(feed, delay=SPREAD, max_open_ms=SPREAD_MS, buckets=_buckets(spark))
-    return run_to_table(spans)
+    return run_to_table(streams.pair_calls(feed, delay=FEED_DELAY, buckets=_buckets(spark)), allow_late=False)
 
 
 @_query
 def stream_pair_towers(spark, folder):
     feed = _tower_events_feed(spark, folder)
-    spans = streams.pair_towers(feed, delay=SPREAD, max_open_ms=SPREAD_MS, buckets=_buckets(spark))
-    return run_to_table(spans)
+    return run_to_table(streams.pair_towers(feed, delay=FEED_DELAY, buckets=_buckets(spark)), allow_late=False)
 
 
 @_query
@@ -393,12 +459,17 @@ def stream_csv_roundtrip(spark, folder):
 
 @_query
 def stream_metrics(spark, folder):
-    """Per-batch metrics of the bounded overlap."""
+    """Totals of the per-batch metrics of the bounded overlap: rows in, rows out, late rows."""
     pairs = overlap.bounded_overlap(
-        _calls_feed(spark, folder), _towers_feed(spark, folder), bound_ms=BOUND_MS, connected_only=True, delay=SPREAD
+        _calls_feed(spark, folder),
+        _towers_feed(spark, folder),
+        bound_ms=BOUND_MS,
+        connected_only=True,
+        delay=_delay(_spread_ms(spark, folder)),
     )
     with BatchMetrics(spark) as metrics:
         query = start_query(pairs, "noop", checkpoint=new_folder(spark, "checkpoint"), name="bounded_overlap")
         finish(query)
         metrics.wait_for_end(query)
-        return metrics.metrics_df()
+        return metrics.totals_df()
+

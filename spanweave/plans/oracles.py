@@ -124,6 +124,9 @@ FROM (SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM ma
       UNION ALL
       SELECT 'right' AS side, * FROM (SELECT * FROM max_gaps EXCEPT ALL SELECT * FROM a))
 GROUP BY ALL"""
+_METRICS = f"""
+SELECT 'bounded_overlap' AS query, (SELECT count(*) FROM calls) + (SELECT count(*) FROM towers) AS input_rows,
+       (SELECT count(*) FROM ({_OVERLAP_BOUNDED})) AS output_rows, CAST(0 AS BIGINT) AS late_rows"""
 _CALLS = "SELECT unique_id, start_ts, end_ts, caller, callee, disposition, imei, row_id FROM calls"
 _CALL_PAIRS = "SELECT unique_id, start_ts, end_ts, caller, callee, imei FROM call_pairs"
 _TOWER_PAIRS = "SELECT unique_id, tower, start_ts, end_ts FROM tower_pairs"
@@ -172,10 +175,17 @@ _QUERIES = {
     "stream_pair_towers": _TOWER_PAIRS,
     "stream_pair_calls_carried": _CALL_PAIRS,
     "stream_pair_towers_carried": _TOWER_PAIRS,
+    "csv_towers": "SELECT unique_id, tower, start_ts, end_ts, row_id FROM towers",
+    "csv_call_events": "SELECT * FROM bi_calls",
+    "csv_tower_events": "SELECT * FROM bi_towers",
+    "q10_gap_duration": "SELECT caller, unique_id, epoch_ms(start_ts) - epoch_ms(prev_end) AS duration_ms FROM lag_gaps",
+    "stream_q10_events_adjacent": _GAP_ADJACENT,
+    "stream_q10_pattern": _GAP_PATTERN,
     "stream_csv_roundtrip": _CALLS,
+    "stream_metrics": _METRICS,
 }
 
 
 def oracles() -> dict[str, str]:
-    """Equivalent SQL per catalog key. ``stream_metrics`` has none: it reports run times."""
+    """Equivalent SQL per catalog key."""
     return {name: _INPUT + text for name, text in _QUERIES.items()}

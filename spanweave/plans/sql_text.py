@@ -1,24 +1,41 @@
-"""The two batch questions as SQL over the views ``mono_signal`` and ``tower_signal``."""
+"""The two batch questions in SQL, for sessions that work in SQL.
+
+``offer`` registers views of the spans and, as temporary SQL functions, the library's span
+predicates; the statements below use both. The look-back is offered as a view, so that a
+hot caller is split in SQL, too.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spanweave.operators.gaps import gap_lag
+
+_SPANS = "a_from TIMESTAMP_NTZ, a_to TIMESTAMP_NTZ, b_from TIMESTAMP_NTZ, b_to TIMESTAMP_NTZ"
+_FUNCTIONS = {
+    "spans_overlap": "a_from < b_to AND b_from < a_to",
+    "span_sticks_out": "a_from < b_from OR a_to > b_to",
+}
 
 PARTIAL_OVERLAP = """
-SELECT unique_id, caller, tower,
-       call.start_ts AS call_start, call.end_ts AS call_end,
-       visit.start_ts AS tower_start, visit.end_ts AS tower_end
-FROM tower_signal AS visit JOIN mono_signal AS call USING (unique_id)
-WHERE call.end_ts > visit.start_ts AND call.start_ts < visit.end_ts
-  AND (visit.start_ts < call.start_ts OR visit.end_ts > call.end_ts)
+SELECT c.unique_id, c.caller, t.tower, c.start_ts AS call_start, c.end_ts AS call_end,
+       t.start_ts AS tower_start, t.end_ts AS tower_end
+FROM spanweave_calls c JOIN spanweave_towers t ON c.unique_id = t.unique_id
+WHERE spans_overlap(t.start_ts, t.end_ts, c.start_ts, c.end_ts)
+  AND span_sticks_out(t.start_ts, t.end_ts, c.start_ts, c.end_ts)
 """
 
 CONSECUTIVE_GAP = """
-WITH ordered AS (
-  SELECT caller, unique_id, start_ts, end_ts,
-         lag(end_ts) OVER (PARTITION BY caller ORDER BY start_ts, unique_id) AS prev_end_ts
-  FROM mono_signal
-  WHERE disposition = 'connected')
-SELECT caller, unique_id, start_ts, end_ts, prev_end_ts,
-       timestampdiff(MILLISECOND, prev_end_ts, start_ts) AS gap_ms,
-       timestampdiff(SECOND, prev_end_ts, start_ts) AS gap_seconds
-FROM ordered
-WHERE prev_end_ts < start_ts
-ORDER BY caller, start_ts
+SELECT caller, unique_id, start_ts, end_ts, prev_end_ts, gap_ms, gap_seconds
+FROM spanweave_gaps ORDER BY caller, start_ts
 """
+
+
+def offer(spark: SparkSession, calls: DataFrame, towers: DataFrame | None = None) -> None:
+    """Make the views ``spanweave_calls``, ``spanweave_towers``, ``spanweave_gaps`` and the predicates known."""
+    calls.createOrReplaceTempView("spanweave_calls")
+    gap_lag(calls).createOrReplaceTempView("spanweave_gaps")
+    if towers is not None:
+        towers.createOrReplaceTempView("spanweave_towers")
+    for name, body in _FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({_SPANS}) RETURNS BOOLEAN RETURN {body}")

@@ -41,8 +41,9 @@ def read_signal(
     bytes_per_batch: int | None = None,
     computed_times: bool = False,
     timestamp_format: str = schemas.TIMESTAMP_FORMAT,
+    files: str = "*.csv*",
 ) -> DataFrame:
-    """Every ``*.csv`` file below ``path`` with a fixed schema.
+    """Every file below ``path`` that is named like ``files``, compressed or not, with a fixed schema.
 
     A row whose key or one of whose times cannot be read is dropped; this also removes a
     header line in files read with ``header=False``. Keep ``header`` off unless every file
@@ -63,7 +64,7 @@ def read_signal(
         .schema(on_disk)
         .option("header", str(header).lower())
         .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", files)
         .option("timestampFormat", timestamp_format)
     )
     if streaming and bytes_per_batch:

@@ -26,7 +26,7 @@ Step = Callable[[DataFrame, "DataFrame | None"], "tuple[DataFrame, DataFrame | N
 
 
 def run_carried(
-    stream: DataFrame, step: Step, *, carries: bool = True, folder: str | None = None, timeout_s: float = 3600
+    stream: DataFrame, step: Step, *, carries: bool = True, folder: str | None = None, timeout_s: float | None = None
 ) -> DataFrame:
     """Run ``step(batch, carry) -> (result, next carry)`` over the stream to its end.
 
@@ -63,7 +63,7 @@ def running_max_step(
     """Step for gaps to the latest end so far of connected calls."""
 
     def step(calls: DataFrame, carry: DataFrame | None):
-        rows = calls.where(is_connected())
+        rows = calls.where(is_connected() & F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull())
         out = gaps.gap_running_max(rows, ttl_ms=ttl_ms, seed=carry, policy=policy)
         ends = carry_after(rows, "caller", gaps.BY_START, F.col("end_ts"), latest=False, seed=carry)
         return out, _recent(ends, "carried", rows, "start_ts", ttl_ms, disorder_ms)
@@ -75,7 +75,7 @@ def lag_step(ttl_ms: int | None = None, disorder_ms: int = 0, policy: HotKeyPoli
     """Step for gaps to the end of the previous connected call."""
 
     def step(calls: DataFrame, carry: DataFrame | None):
-        rows = calls.where(is_connected())
+        rows = calls.where(is_connected() & F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull())
         out = gaps.gap_lag(rows, ttl_ms=ttl_ms, seed=carry, policy=policy).drop("gap_duration")
         ends = carry_after(rows, "caller", gaps.BY_START, F.col("end_ts"), latest=True, seed=carry)
         return out, _recent(ends, "carried", rows, "start_ts", ttl_ms, disorder_ms)
@@ -96,6 +96,34 @@ def last_end_step(
     return step
 
 
+def adjacent_step(
+    ttl_ms: int | None = None, disorder_ms: int = 0, policy: HotKeyPolicy | None = DEFAULT_POLICY
+) -> Step:
+    """Step for each START that directly follows an END of a connected call."""
+
+    def step(events: DataFrame, carry: DataFrame | None):
+        rows = events.where(is_connected())
+        out = gaps.gap_events_adjacent(rows, ttl_ms=ttl_ms, seed=carry, policy=policy)
+        last = carry_after(rows, "caller", gaps.BY_EVENT, F.struct("event_type", "ts"), latest=True, seed=carry)
+        return out, _recent(last, "carried.ts", rows, "ts", ttl_ms, disorder_ms)
+
+    return step
+
+
+def pattern_step(
+    ttl_ms: int | None = None, disorder_ms: int = 0, policy: HotKeyPolicy | None = DEFAULT_POLICY
+) -> Step:
+    """Step for two connected calls with no other call in between."""
+
+    def step(calls: DataFrame, carry: DataFrame | None):
+        rows = calls.where(F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull())
+        out = gaps.gap_pattern(rows, ttl_ms=ttl_ms, seed=carry, policy=policy)
+        last = carry_after(rows, "caller", gaps.BY_START, F.struct("end_ts", "disposition"), latest=True, seed=carry)
+        return out, _recent(last, "carried.end_ts", rows, "start_ts", ttl_ms, disorder_ms)
+
+    return step
+
+
 def pair_step(
     from_start: tuple[str, ...] = (),
     from_end: tuple[str, ...] = (),

@@ -7,6 +7,7 @@ from collections import deque
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -27,12 +28,12 @@ METRICS = T.StructType(
 
 
 class BatchMetrics(StreamingQueryListener):
-    """Keeps one row per finished micro-batch, the latest ``keep`` of them.
+    """Keeps one row per finished micro-batch: all, or the latest ``keep`` of them.
 
     Use as a context manager to add the listener to a session and take it off again.
     """
 
-    def __init__(self, spark: SparkSession, keep: int = 10_000, show: bool = False):
+    def __init__(self, spark: SparkSession, keep: int | None = None, show: bool = False):
         self._spark = spark
         self._rows: deque[tuple] = deque(maxlen=keep)
         self._ended: dict[str, threading.Event] = {}
@@ -73,13 +74,21 @@ class BatchMetrics(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         self._ended.setdefault(str(event.runId), threading.Event()).set()
 
-    def wait_for_end(self, query, timeout_s: float = 30) -> bool:
+    def wait_for_end(self, query, timeout_s: float | None = None) -> bool:
         """Events arrive a little after the query ends; wait for the last one."""
         return self._ended.setdefault(str(query.runId), threading.Event()).wait(timeout_s)
 
-    def wait_for_all(self, timeout_s: float = 30) -> bool:
+    def wait_for_all(self, timeout_s: float | None = None) -> bool:
         """As ``wait_for_end``, for every query seen so far."""
         return all(ended.wait(timeout_s) for ended in list(self._ended.values()))
 
     def metrics_df(self) -> DataFrame:
         return self._spark.createDataFrame(list(self._rows), METRICS)
+
+    def totals_df(self) -> DataFrame:
+        """Input, output and late rows per query over all batches; the same in every run."""
+        return self.metrics_df().groupBy("query").agg(
+            F.sum("input_rows").alias("input_rows"),
+            F.sum("output_rows").alias("output_rows"),
+            F.sum("late_rows_dropped").alias("late_rows"),
+        )

@@ -26,15 +26,19 @@ def gaps_from_calls(
     latest: bool = False,
     ttl_ms: int | None = None,
     connected_only: bool = True,
+    event_time: str = "end_ts",
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Gaps to the latest end so far, or with ``latest`` to the end of the previous call."""
+    """Gaps to the latest end so far, or with ``latest`` to the end of the previous call.
+
+    ``event_time`` carries the watermark: the end, or ``start_ts`` where calls arrive by start.
+    """
     rows = calls.where(is_connected()) if connected_only else calls
     rows = rows.where(F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull())
-    rows = rows.withWatermark("end_ts", delay).select(
+    rows = rows.withWatermark(event_time, delay).select(
         _bucket("caller", buckets),
         "caller",
-        "end_ts",
+        event_time,
         millis("start_ts").alias("at_ms"),
         F.col("unique_id").alias("tie"),
         millis("start_ts").alias("start_ms"),

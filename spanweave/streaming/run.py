@@ -53,20 +53,34 @@ def start_query(
         return writer.start()
 
 
-def finish(query: StreamingQuery, timeout_s: float = 3600) -> int:
-    """Wait until the query ends and return the time waited in ms. Fails when it fails."""
+def finish(query: StreamingQuery, timeout_s: float | None = None) -> int:
+    """Wait until the query ends and return the time waited in ms. Fails when it fails.
+
+    Waits as long as it takes unless ``timeout_s`` is given, after which the query is stopped.
+    """
     began = time.monotonic()
-    if not query.awaitTermination(timeout_s):
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"query {query.name or query.id} did not end within {timeout_s} s")
     return round((time.monotonic() - began) * 1000)
 
 
-def run_to_table(df: DataFrame, *, timeout_s: float = 3600, name: str | None = None, **options) -> DataFrame:
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the recent batches of a query dropped because they came after the watermark."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+
+def run_to_table(
+    df: DataFrame, *, timeout_s: float | None = None, name: str | None = None, allow_late: bool = True, **options
+) -> DataFrame:
     """Run a streaming DataFrame to its end into a new parquet table and return the table,
-    with zone-free times."""
+    with zone-free times. With ``allow_late=False`` dropped late rows are an error."""
     spark = df.sparkSession
     folder = new_folder(spark, "run")
     query = start_query(df, "parquet", path=f"{folder}/table", checkpoint=f"{folder}/checkpoint", name=name, **options)
     finish(query, timeout_s)
+    if not allow_late and (dropped := late_rows(query)):
+        raise RuntimeError(f"{dropped} rows came after the watermark; allow a longer delay")
     return to_zone_free(spark.read.schema(df.schema).parquet(f"{folder}/table"))

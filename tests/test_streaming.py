@@ -8,7 +8,6 @@ from spanweave.operators import gaps
 from spanweave.operators.compare import reconcile
 from spanweave.operators.keyed import HotKeyPolicy
 from spanweave.operators.overlap import bounded_overlap
-from spanweave.plans.catalog import SPREAD
 from spanweave.schemas import to_instants
 from spanweave.session import new_folder
 from spanweave.sources import derived, signals
@@ -189,7 +188,7 @@ def test_join_state_is_dropped(spark):
     calls, towers = derived.calls(spark, DATA), derived.towers(spark, DATA)
     c = stage_feed(calls, gaps.BY_START, slices=6)
     t = stage_feed(towers, ["start_ts", "row_id"], slices=6)
-    out = bounded_overlap(c.read(spark), t.read(spark), bound_ms=10_000, delay=SPREAD)
+    out = bounded_overlap(c.read(spark), t.read(spark), bound_ms=10_000, delay="2 days")
     query = start_query(out, "noop", checkpoint=new_folder(spark, "c"))
     finish(query)
     removed = sum(s.numRowsRemoved for p in query.recentProgress for s in p.stateOperators)
@@ -244,7 +243,7 @@ def test_large_feeds_get_more_slices_and_files(spark, monkeypatch):
     back = spark.read.schema(feed.schema).parquet(feed.path)
     assert reconcile(calls, back).count() == 0
     assert (feed.files_per_slice, len(back.inputFiles())) == (4, 20)
-    out = run_to_table(streams.gaps_from_calls(feed.read(spark), delay=SPREAD, buckets=8))
+    out = run_to_table(streams.gaps_from_calls(feed.read(spark), delay="2 days", buckets=8))
     assert reconcile(gaps.gap_running_max(calls), out).count() == 0
 
 
