@@ -16,22 +16,22 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     logarithmic. A hub's neighbours are only aggregated (a minimum, combined before the
     shuffle) and joined, never collected; AQE splits the join of a hub's rows.
     """
-    edges = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    before = None
     while True:
         # Large star: link every larger neighbour to the smallest node around.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = keep(large.where("a <> b").distinct(), label)
         # Small star: link a node and its smaller neighbours to the smallest of them.
+        large = keep(large.where("a <> b"), label)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        small = keep(small, label)
-        change = edges.join(small, ["a", "b"], "left_anti").limit(1).count() + small.join(edges, ["a", "b"], "left_anti").limit(1).count()
-        edges = small
-        if not change:
+        edges = keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), label)
+        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40)), F.sum(F.xxhash64("b", "a") % (1 << 40))).first())
+        if state == before:
             break
+        before = state
     # At rest every node has one edge, to the smallest node of its component.
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -11,7 +11,8 @@ The number of bands follows the threshold: a pair at the threshold is missed wit
 probability ``MISS``. The bitmap test leaves five standard deviations of room.
 
 Large buckets: documents with equal sets are one class from the start. In a bucket each class
-is first compared with ``LEADERS`` leaders; confirmed links give components. Only buckets
+is first compared with one leader; one of ``LEADERS`` hashes draws it, so a class of a large group
+meets several; confirmed links give components. Only buckets
 that still hold several components go on, and there the classes outside the bucket's largest
 component are compared with all others of other components. A bucket whose members are
 linked thus costs a few comparisons per member, and no link between components is lost.
@@ -32,13 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm.components import components
-from spanweave.llm.tables import keep
+from spanweave.llm.tables import keep, ship
 from spanweave.llm.textscan import LOWER, U64, mix, pieces, scan_words, shingle_sets
 
 BAND_ROWS = 5
 MISS = 1e-6
-BITMAP_BITS = 256
-LEADERS = 3
+BITMAP_BITS = 512
+LEADERS = 4
 
 
 def bands_for(threshold: float) -> int:
@@ -109,7 +110,22 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) ->
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "same", "bands", "bitmap"])
 
-    return docs.select(id_col, text_col).mapInArrow(compute, f"id {kind}, n_shingles bigint, same string, bands array<bigint>, bitmap array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(ship(compute), f"id {kind}, n_shingles bigint, same string, bands array<bigint>, bitmap array<bigint>")
+
+
+def _unshared(texts: DataFrame, k: int) -> DataFrame:
+    """(id, unshared): how many shingles of each text no other one of these texts has."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, n, hashes, first in _sets(batch.column(1), k):
+                of = np.repeat(np.arange(row, row + n), np.diff(first))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(hashes.view(np.int64))], ["id", "shingle"])
+
+    rows = texts.select("id", "text").mapInArrow(ship(explode), f"id {kind}, shingle bigint")
+    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    return single.groupBy("id").agg(F.count(F.lit(1)).alias("unshared"))
 
 
 def _similar(threshold: float, k: int):
@@ -137,7 +153,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(_similar(threshold, k), f"a {kind}, b {kind}")
+    return joined.mapInArrow(ship(_similar(threshold, k)), f"a {kind}, b {kind}")
 
 
 def _may_link(left: str, right: str, threshold: float, limit: int) -> Column:
@@ -159,31 +175,43 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     band = F.posexplode("bands").alias("band", "value")
     placed = leading.select("id", band).select("id", F.xxhash64("band", "value").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), *[F.min_by("id", F.xxhash64("id", F.lit(s))).alias(f"leader{s}") for s in range(LEADERS)]).where("members > 1")
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min_by("id", F.xxhash64("id", F.pmod("bucket", F.lit(LEADERS)))).alias("leader")).where("members > 1")
     buckets = keep(placed.join(shared.drop("members"), "bucket"), "odd-buckets")
     met = buckets.select("id").distinct()
     known = keep(leading.join(met, "id", "left_semi").select("id", "n_shingles", "bitmap"), "odd-classes")
     texts = keep(docs.join(known.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "odd-texts")
 
-    led = buckets.select("id", F.explode(F.array(*[f"leader{s}" for s in range(LEADERS)])).alias("leader")).where("id <> leader")
-    led = led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    led = buckets.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     left, right = known.select(F.col("id").alias("a"), F.struct("n_shingles", "bitmap").alias("x")), known.select(F.col("id").alias("b"), F.struct("n_shingles", "bitmap").alias("y"))
-    first = led.join(left, "a").join(right, "b").where(_may_link("x", "y", threshold, limit)).select("a", "b")
+    first = keep(led.join(left, "a").join(right, "b").where(_may_link("x", "y", threshold, limit)).select("a", "b"), "odd-first")
     links = keep(_confirm(first, texts, threshold, k), "odd-links")
 
     parts = keep(components(links), "odd-parts")
     member = buckets.select("bucket", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = member.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = member.join(largest.select("bucket", F.col("top.component").alias("main")), "bucket").join(known, "id")
-    mixed = keep(mixed, "odd-mixed")
-    one = mixed.where("component <> main").select("bucket", F.struct("id", "component", "n_shingles", "bitmap").alias("x"))
-    other = mixed.select("bucket", (F.col("component") != F.col("main")).alias("small"), F.struct("id", "component", "n_shingles", "bitmap").alias("y"))
-    cross = (F.col("x.component") != F.col("y.component")) & (~F.col("small") | (F.col("x.id") < F.col("y.id"))) & _may_link("x", "y", threshold, limit)
+    mixed = keep(member.join(largest.select("bucket", F.col("top.component").alias("main")), "bucket"), "odd-mixed")
+    ids = mixed.select("id").distinct()
+    shared = known.join(ids, "id").join(_unshared(texts.join(ids, "id"), k), "id", "left")
+    shared = shared.withColumn("shared", F.col("n_shingles") - F.coalesce("unshared", F.lit(0))).where(F.col("shared") >= F.lit(threshold - 1e-9) * F.col("n_shingles"))
+    mixed = keep(mixed.join(shared.drop("unshared"), "id"), "odd-shared")
+    side = F.struct("id", "component", "n_shingles", "bitmap", "shared")
+    one = mixed.where("component <> main").select("bucket", side.alias("x"))
+    other = mixed.select("bucket", (F.col("component") != F.col("main")).alias("small"), side.alias("y"))
+    enough = F.least("x.shared", "y.shared") >= F.lit(threshold / (1 + threshold) - 1e-9) * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+    cross = (F.col("x.component") != F.col("y.component")) & (~F.col("small") | (F.col("x.id") < F.col("y.id"))) & enough & _may_link("x", "y", threshold, limit)
     rest = one.join(other, "bucket").where(cross).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    links = links.unionByName(_confirm(rest.join(first, ["a", "b"], "left_anti"), texts, threshold, k))
-
-    final = keep(components(links), "odd-final").select(F.col("node").alias("rep"), F.col("component"))
+    more = keep(_confirm(rest.join(first, ["a", "b"], "left_anti"), texts, threshold, k), "odd-more")
+    final = parts
+    if not more.isEmpty():
+        # Components joined by the further links.
+        of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+        joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        joined = joined.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+        over = components(joined, "odd-over").select(F.col("node").alias("component"), F.col("component").alias("top"))
+        alone = over.join(parts.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
+        final = parts.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(alone)
+    final = final.select(F.col("node").alias("rep"), "component")
     named = classes.join(final, "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
     return (
         made.join(named, "same", "left")
