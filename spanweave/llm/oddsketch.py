@@ -12,8 +12,8 @@ probability ``MISS``. The bitmap test leaves five standard deviations of room.
 
 Large buckets: documents with equal sets are one class from the start. In a bucket each class
 is first compared with one leader; one of ``LEADERS`` hashes draws it, so a class of a large group
-meets several; confirmed links give components. Only buckets
-that still hold several components go on, and there the classes outside the bucket's largest
+meets several; confirmed links give components. Buckets that still hold several components go on: first
+with the member that shares most of its shingles as leader, then the classes outside the bucket's largest
 component are compared with all others of other components. A bucket whose members are
 linked thus costs a few comparisons per member, and no link between components is lost.
 
@@ -163,6 +163,27 @@ def _may_link(left: str, right: str, threshold: float, limit: int) -> Column:
     return (differ <= limit) & (F.least(x, y) >= F.greatest(x, y) * F.lit(threshold - 1e-9))
 
 
+def _extended(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) after further links (a, b)."""
+    if links.isEmpty():
+        return parts
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = joined.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    over = components(joined, "odd-over").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    alone = over.join(parts.select(F.col("node").alias("component")), "component", "left_anti")
+    alone = alone.select(F.col("component").alias("node"), F.col("top").alias("component"))
+    return parts.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(alone)
+
+
+def _still_mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members (bucket, id, ...) of buckets with several components, with component and ``main``, the largest one."""
+    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return placed.join(largest.select("bucket", F.col("top.component").alias("main")), "bucket")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id reachable over links, one row per id."""
     bands = bands_for(threshold)
@@ -179,7 +200,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = keep(placed.join(shared.drop("members"), "bucket"), "odd-buckets")
     met = buckets.select("id").distinct()
     known = keep(leading.join(met, "id", "left_semi").select("id", "n_shingles", "bitmap"), "odd-classes")
-    texts = keep(docs.join(known.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "odd-texts")
+    # The ids grow with the input; the hint keeps one plan at every size.
+    texts = keep(docs.join(known.select("id").hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "odd-texts")
 
     led = buckets.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     left, right = known.select(F.col("id").alias("a"), F.struct("n_shingles", "bitmap").alias("x")), known.select(F.col("id").alias("b"), F.struct("n_shingles", "bitmap").alias("y"))
@@ -187,31 +209,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = keep(_confirm(first, texts, threshold, k), "odd-links")
 
     parts = keep(components(links), "odd-parts")
-    member = buckets.select("bucket", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = member.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = keep(member.join(largest.select("bucket", F.col("top.component").alias("main")), "bucket"), "odd-mixed")
+    mixed = keep(_still_mixed(buckets.select("bucket", "id"), parts), "odd-mixed")
     ids = mixed.select("id").distinct()
     shared = known.join(ids, "id").join(_unshared(texts.join(ids, "id"), k), "id", "left")
     shared = shared.withColumn("shared", F.col("n_shingles") - F.coalesce("unshared", F.lit(0))).where(F.col("shared") >= F.lit(threshold - 1e-9) * F.col("n_shingles"))
-    mixed = keep(mixed.join(shared.drop("unshared"), "id"), "odd-shared")
+    members = keep(mixed.select("bucket", "id").join(shared.drop("unshared"), "id"), "odd-shared")
     side = F.struct("id", "component", "n_shingles", "bitmap", "shared")
-    one = mixed.where("component <> main").select("bucket", side.alias("x"))
-    other = mixed.select("bucket", (F.col("component") != F.col("main")).alias("small"), side.alias("y"))
     enough = F.least("x.shared", "y.shared") >= F.lit(threshold / (1 + threshold) - 1e-9) * (F.col("x.n_shingles") + F.col("y.n_shingles"))
-    cross = (F.col("x.component") != F.col("y.component")) & (~F.col("small") | (F.col("x.id") < F.col("y.id"))) & enough & _may_link("x", "y", threshold, limit)
-    rest = one.join(other, "bucket").where(cross).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = keep(_confirm(rest.join(first, ["a", "b"], "left_anti"), texts, threshold, k), "odd-more")
-    final = parts
-    if not more.isEmpty():
-        # Components joined by the further links.
-        of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-        joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        joined = joined.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
-        over = components(joined, "odd-over").select(F.col("node").alias("component"), F.col("component").alias("top"))
-        alone = over.join(parts.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
-        final = parts.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(alone)
-    final = final.select(F.col("node").alias("rep"), "component")
+    cross = (F.col("x.component") != F.col("y.component")) & enough & _may_link("x", "y", threshold, limit)
+    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+
+    # Again one leader for each bucket, now the member that shares most: it links to the most others.
+    placed = _still_mixed(members, parts)
+    centre = placed.groupBy("bucket").agg(F.max_by(side, F.struct(F.col("shared") / F.col("n_shingles"), F.xxhash64("id"))).alias("y"))
+    second = keep(placed.select("bucket", side.alias("x")).join(centre, "bucket").where(cross).select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "odd-second")
+    parts = keep(_extended(parts, keep(_confirm(second, texts, threshold, k), "odd-links")), "odd-parts")
+
+    placed = keep(_still_mixed(members, parts), "odd-mixed")
+    one = placed.where("component <> main").select("bucket", side.alias("x"))
+    other = placed.select("bucket", (F.col("component") != F.col("main")).alias("small"), side.alias("y"))
+    rest = one.join(other, "bucket").where(cross & (~F.col("small") | (F.col("x.id") < F.col("y.id")))).select(*pair).distinct()
+    rest = rest.join(first.unionByName(second), ["a", "b"], "left_anti")
+    final = _extended(parts, keep(_confirm(rest, texts, threshold, k), "odd-links")).select(F.col("node").alias("rep"), "component")
     named = classes.join(final, "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
     return (
         made.join(named, "same", "left")
