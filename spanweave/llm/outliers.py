@@ -50,6 +50,8 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def _count(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    if not len(data):
+        return [np.zeros(len(ends) - 1, np.int64)] * len(_COUNTS)
     hasher = Hasher(data)
     words = scan_words(data, ends, hasher=hasher)
     inside = np.zeros(len(data) + 1, np.int8)
@@ -62,7 +64,7 @@ def _count(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     starts[ends] = True
     starts = np.flatnonzero(starts[:-1])
     stops = np.append(starts[1:], len(data))
-    stops = stops - ((stops > starts) & (data[stops - 1] == 0x0A)) if len(stops) else stops
+    stops = stops - ((stops > starts) & (data[stops - 1] == 0x0A))
     first = np.searchsorted(starts, ends)
     doc = np.repeat(np.arange(len(ends) - 1), np.diff(first))
     worded = np.searchsorted(words.start, stops) > np.searchsorted(words.start, starts)

@@ -66,6 +66,8 @@ class ChunkTokenizer:
 
     def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a piece, offsets of the texts among them)."""
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(ends), np.int64)
         if len(self._known) > REMEMBERED:
             self._known.clear()
         start = _cuts(data, ends)
