@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.tables import keep
+from spanweave.llm.tables import keep, ship
 from spanweave.llm.textscan import LOWER, U64, Hasher, mix, pieces, scan_words
 
 CHAIN = 2
 KEPT = 128
+#: Texts are compared in lots of about this many characters.
+CHARS_AT_ONCE = 500_000
 RARE_ANCHOR = 4
 #: Common words of English, German, French and Spanish; fixed values.
 ANCHORS = (
@@ -126,7 +128,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 text = pa.array([to_text(spots[first[d] : first[d + 1]]) for d in range(n)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(np.diff(first)), text, own], ["id", "n_signatures", "fingerprint", "signatures"])
 
-    return docs.select(id_col, text_col).mapInArrow(compute, f"id {kind}, n_signatures bigint, fingerprint string, signatures array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(ship(compute), f"id {kind}, n_signatures bigint, fingerprint string, signatures array<bigint>")
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,15 +182,15 @@ def against_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, ranges, tails = [], [], [], []
         for batch in batches:
-            for column, held in zip(batch.columns, (ids, texts, ranges, tails)):
-                held.extend(column.to_pylist())
-            while len(texts) > 1:
-                size, n = 0, 0
-                while n < len(texts) - 1 and size < 1_500_000:
-                    size += len(texts[n])
-                    n += 1
-                yield _compare(ids[:n], texts[: n + 1], ranges[: n + 1], tails[:n])
-                del ids[:n], texts[:n], ranges[:n], tails[:n]
+            for at in range(0, batch.num_rows, 200):
+                for column, held in zip(batch.slice(at, 200).columns, (ids, texts, ranges, tails)):
+                    held.extend(column.to_pylist())
+                if sum(map(len, texts)) >= CHARS_AT_ONCE:
+                    yield _compare(ids[:-1], texts, ranges, tails[:-1])
+                    for held in (ids, texts, ranges, tails):
+                        del held[:-1]
+        if len(texts) > 1:
+            yield _compare(ids[:-1], texts, ranges, tails[:-1])
 
     def _compare(ids, texts, ranges, tails) -> pa.RecordBatch:
         rows = [n for n in range(len(ids)) if not tails[n]]
@@ -210,4 +212,4 @@ def against_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     kind = to_arrow_type(docs.schema[id_col].dataType)
     shape = f"id {docs.schema[id_col].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("id", "text", "range", "tail").mapInArrow(compute, shape)
+    return dealt.select("id", "text", "range", "tail").mapInArrow(ship(compute), shape)

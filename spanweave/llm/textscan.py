@@ -27,7 +27,7 @@ SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Texts are scanned in pieces of about this many bytes.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
