@@ -49,16 +49,16 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def templates(spark: SparkSession, base: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """One row per run of each template: hash, words, position, template, its length, label, exact."""
+    """One row per run of each template: number, position, words, the template's length, label, exact, hash."""
+    names = ("nth", "t", "w0", "w1", "n_template", "label", "exact")
     rows = [
-        (n, text, at, w[at], w[at + 1], len(w), label, exact)
+        F.struct(*[F.lit(v).alias(c) for c, v in zip(names, (n, at, w[at], w[at + 1], len(w), label, exact))])
         for exact, listed in ((True, base), (False, notices))
         for n, (text, label) in enumerate(listed.items())
         for w in [text.split(" ")]
         for at in range(len(w) - K + 1)
     ]
-    shape = "nth int, template string, t int, w0 string, w1 string, n_template int, label string, exact boolean"
-    return spark.createDataFrame(rows, shape).withColumn("run", F.xxhash64("w0", "w1"))
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("row")).select("row.*", F.xxhash64("row.w0", "row.w1").alias("run"))
 
 
 def words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,10 +70,11 @@ def words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def spans(docs: DataFrame, id_col: str, text_col: str, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> DataFrame:
     """Verified spans: id, th (hash of the text), label, exact, start, length (in words), score."""
     known = F.broadcast(templates(docs.sparkSession, base, notices))  # a fixed list
-    split = words(docs, id_col, text_col).where(F.size("words") >= K)
-    runs = F.expr(f"transform(sequence(0, size(words) - {K}), i -> xxhash64(words[i], words[i + 1]))")
-    runs = split.select("id", "th", "words", F.posexplode(runs).alias("i", "run"))
-    hits = runs.join(known, "run").where((F.col("words")[F.col("i")] == F.col("w0")) & (F.col("words")[F.col("i") + 1] == F.col("w1")))
+    # The array of words is made once for each text and read in place for each run.
+    each = words(docs, id_col, text_col).select("id", "th", "words", F.posexplode_outer("words").alias("i", "word"))
+    after = F.get("words", F.col("i") + 1)
+    runs = each.select("id", "th", "i", "word", after.alias("next"), F.xxhash64("word", after).alias("run"))
+    hits = runs.join(known, "run").where((F.col("word") == F.col("w0")) & (F.col("next") == F.col("w1")))
     hits = hits.select("id", "th", "exact", "nth", "label", "n_template", "t", F.col("i").cast("long").alias("i"))
     diagonal = hits.groupBy("id", "th", "exact", "nth", "label", "n_template", (F.col("i") - F.col("t")).alias("diagonal")).agg(
         F.bit_or(F.expr("shiftleft(bigint(1), t)")).alias("votes"), F.min("i").alias("low"), F.max("i").alias("high")
