@@ -5,9 +5,9 @@ signature, and its repetitions count as further ones. Texts without common words
 hash is 0 modulo ``RARE_ANCHOR``. A text whose words make no spot has one signature, of all its words; a
 text without words has one of its characters, and an empty text has none.
 
-A fingerprint names the number of signatures and the ``KEPT`` smallest ones in hex. Likeness is
-the Jaccard index: exact for sets of up to ``KEPT`` signatures, estimated from the smallest
-signatures of the union beyond that.
+A fingerprint names the number of signatures, a digest of all of them and the ``KEPT`` smallest ones
+in hex, so sets that differ anywhere have different fingerprints. Likeness is the Jaccard index of
+the whole sets, whatever their size.
 
 Defined cases: null is the empty text; two empty texts have likeness 1, an empty and another
 text 0; equal texts have equal fingerprints; rows of equal id follow each other by text; a null id comes
@@ -92,19 +92,16 @@ def signatures(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard index of two sorted sets of signatures as their fingerprints tell it."""
+    """Jaccard index of two sorted sets of signatures."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    x, y = a[:KEPT], b[:KEPT]
-    union = np.union1d(x, y)
-    if len(a) > KEPT or len(b) > KEPT:
-        union = union[:KEPT]
-    both = np.intersect1d(x, y, assume_unique=True)
-    return float(np.searchsorted(both, union[-1], "right") / len(union))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def to_text(own: np.ndarray) -> str:
-    return f"{len(own)}:{own[:KEPT].astype('>u8').tobytes().hex()}"
+    raw = own.astype(">u8").tobytes()
+    return f"{len(own)}:{hashlib.sha256(raw).hexdigest()}:{raw[: 8 * KEPT].hex()}"
 
 
 def _sets(texts: list[str]) -> list[np.ndarray]:

@@ -264,6 +264,26 @@ def test_spots_of_edited_and_next_texts(spark, docs, texts):
     assert all(len(s) == 1 for s in by_text.values())
 
 
+def test_likeness_and_fingerprint_see_every_signature(spark):
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    some = [" ".join(words), " ".join(words[:2990] + [f"x{n}" for n in range(10)]), "plain words here", ""]
+    sets = [set(s.tolist()) for s in spotsigs._sets(some)]
+    assert min(map(len, sets[:2])) > 4 * spotsigs.KEPT
+    like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    got = {r.id: r for r in spotsigs.against_next(_frame(spark, some)).collect()}
+    for n, text in enumerate(some):
+        following = (n - 1) % len(some)
+        edited = set(spotsigs._sets([spotsigs._edit(text, some[following])])[0].tolist())
+        assert got[n].near_next == pytest.approx(like(sets[n], sets[following]))
+        assert got[n].near_edited == pytest.approx(like(sets[n], edited))
+    # One signature among many, in whatever place of the order, changes the fingerprint.
+    full = np.arange(1, 1001, dtype=np.uint64)
+    other = full.copy()
+    other[-1] += np.uint64(5)
+    assert spotsigs.to_text(full) != spotsigs.to_text(other) and 0.99 < spotsigs.likeness(full, other) < 1
+
+
 def test_near_spot_pairs_equal_brute_force(docs, texts):
     sets = {d: set(s.tolist()) for d, s in zip(texts, spotsigs._sets(list(texts.values())))}
     first = {}
