@@ -12,9 +12,12 @@ rows are packed once for each row; an empty table gives no rows; further columns
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +55,11 @@ class ChunkTokenizer:
     The byte-level pattern joins white space only to what follows it, so a text may be cut
     before any white space that follows something else. ``ranks`` is the vocabulary file in
     the form that the fast encoder reads; ``tests/llm`` compares with the ``tokenizers`` file.
+    Texts are split at the strings in ``added``, which have ids of their own; without any, such
+    strings are ordinary text.
     """
 
-    def __init__(self, ranks: str):
+    def __init__(self, ranks: str, added: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
@@ -63,6 +68,15 @@ class ChunkTokenizer:
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
         self._encode = encoding.encode_ordinary
         self._known: dict[int, bytes] = {}
+        self._added = {t.encode(): i for t, i in (added or {}).items()}
+        self._find = re.compile(b"|".join(map(re.escape, sorted(self._added, key=len, reverse=True)))) if self._added else None
+
+    def _split(self, raw: bytes, ends: np.ndarray) -> list[int]:
+        """Both ends of every added token that stands within one text."""
+        if self._find is None or not self._find.search(raw):
+            return []
+        bounds = ends.tolist()
+        return [at for low, high in zip(bounds, bounds[1:]) for m in self._find.finditer(raw, low, high) for at in m.span()]
 
     def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a piece, offsets of the texts among them)."""
@@ -70,14 +84,19 @@ class ChunkTokenizer:
             return np.zeros(0, "<u4"), np.zeros(len(ends), np.int64)
         if len(self._known) > REMEMBERED:
             self._known.clear()
+        raw = data.tobytes()
         start = _cuts(data, ends)
+        if split := self._split(raw, ends):
+            start = np.union1d(start, split)
+            start = start[start < len(data)]
         end = np.append(start[1:], len(data))
         hashes, at, which = np.unique(Hasher(data).of(start, end), return_index=True, return_inverse=True)
-        known, raw, parts = self._known, data.tobytes(), []
+        known, parts = self._known, []
         for h, s, e in zip(hashes.tolist(), start[at].tolist(), end[at].tolist()):
             part = known.get(h)
             if part is None:
-                part = known[h] = array("I", self._encode(raw[s:e].decode())).tobytes()
+                own = self._added.get(raw[s:e])
+                part = known[h] = array("I", [own] if own is not None else self._encode(raw[s:e].decode())).tobytes()
             parts.append(part)
         flat = np.frombuffer(b"".join(parts), "<u4")
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
@@ -89,6 +108,14 @@ class ChunkTokenizer:
         return ids, upto[np.searchsorted(start, ends)]
 
 
+def added_tokens(ranks: str) -> dict[str, int]:
+    """The added tokens of the ``tokenizers`` file beside the vocabulary file ``ranks``."""
+    listed = json.loads(Path(ranks).with_suffix(".json").read_text(encoding="utf-8"))["added_tokens"]
+    if any(t[flag] for t in listed for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("an added token takes more than its own string")
+    return {t["content"]: t["id"] for t in listed}
+
+
 def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
     """The piece lengths of a document of ``n`` tokens."""
     rest = n % longest
@@ -101,7 +128,7 @@ def pieces(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if ranks not in _in_process:
-            _in_process[ranks] = ChunkTokenizer(ranks)
+            _in_process[ranks] = ChunkTokenizer(ranks, added_tokens(ranks))
         tok = _in_process[ranks]
         for batch in batches:
             keys = batch.column(0)

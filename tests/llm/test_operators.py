@@ -137,6 +137,20 @@ def test_chunked_ids_equal_those_of_whole_texts(texts):
             assert ids[at[d] : at[d + 1]].tolist() == whole.encode(some[first + d], add_special_tokens=False).ids
 
 
+def test_packed_ids_equal_the_tokenizer_with_its_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    some = [*ODD, f"a {mark} b", mark, mark * 3, f"x  {mark}  {mark}é", f"<|endo{mark}ftext|>", "<|endof", "text|>", f"ab{mark}cd 's"]
+    assert whole.encode(some[len(ODD)], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rows = packing.pack(_frame(spark, some), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    for n, text in enumerate(some):
+        own = sorted((r for r in rows if r.doc_id == n), key=lambda r: r.start)
+        assert [i for r in own for i in r.ids] == [*whole.encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
 def test_pieces_are_powers_of_two_and_give_the_document_back(spark):
     import public_tokenizers
 
