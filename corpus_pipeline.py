@@ -52,10 +52,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two length, each a sequence."""
+    """Pieces of power-of-two length with their token ids, each a sequence."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [

@@ -144,13 +144,15 @@ def pieces(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
                         length.append(size)
                         crc.append(zlib.crc32(raw[4 * at : 4 * (at + size)]))
                         total.append(len(own))
-                        if with_ids:
-                            ids.append(own[at : at + size].astype(np.int32))
                         at += size
+                    if with_ids:
+                        ids.append(own.view("<i4"))
                 columns = [keys.take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64())]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    # The pieces of a text follow each other, so its ids are theirs in order.
+                    upto = np.append(0, np.cumsum(length)).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(ids))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -163,3 +165,19 @@ def pack(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "t
     made = pieces(docs, ranks, id_col, text_col, longest, with_ids)
     order = [F.desc("length"), F.asc("doc_id"), F.asc("start"), F.asc("ids_crc32")]
     return numbered(made, order, "sequence_id", "packing").withColumn("offset", F.lit(0).cast("long"))
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """Rows of ``pack`` with the checksum of their ids, taken from the rows as they are, in place of the ids."""
+    others = [c for c in packed.columns if c not in ("ids", "ids_crc32")]
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(len(others))
+            raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
+            ends = ids.offsets.to_pylist()
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(crc, pa.int64())], [*others, "ids_crc32"])
+
+    kinds = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in others)
+    return packed.select(*others, "ids").mapInArrow(ship(check), f"{kinds}, ids_crc32 bigint").select(*(c for c in packed.columns if c != "ids"))

@@ -41,7 +41,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return packing.pack(docs, _tokenizer(), with_ids=False)
+    return packing.digests(packing.pack(docs, _tokenizer()))
 
 
 def op5_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:

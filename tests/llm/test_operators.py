@@ -169,6 +169,22 @@ def test_pieces_are_powers_of_two_and_give_the_document_back(spark):
             assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
 
 
+def test_packing_stage_gives_ids_and_digests_follow_them(spark):
+    import corpus_pipeline
+
+    some = [*ODD, "word " * 3000, None]
+    packed = corpus_pipeline.pack(spark, _frame(spark, some), "").cache()
+    rows = {r.sequence_id: r for r in packed.collect()}
+    assert all(len(r.ids) == r.length for r in rows.values())
+    found = packing.digests(packed)
+    assert found.columns == [c for c in packed.columns if c != "ids"]
+    for r in found.collect():
+        assert r.asDict() == {k: v for k, v in rows[r.sequence_id].asDict().items() if k != "ids"}
+    # The digest is that of the ids in the row, not one carried along.
+    changed = packing.digests(packed.withColumn("ids", F.transform("ids", lambda i: i + 1)))
+    assert all(r.ids_crc32 == zlib.crc32((np.array(rows[r.sequence_id].ids) + 1).astype("<u4").tobytes()) for r in changed.collect())
+
+
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(3)
     for _ in range(40):
