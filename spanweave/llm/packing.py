@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.tables import numbered, ship
+from spanweave.llm.tables import keep, numbered, ship
 from spanweave.llm.textscan import SPACE_WORDS, Hasher
 from spanweave.llm.textscan import pieces as text_pieces
 
@@ -164,7 +164,14 @@ def pack(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "t
     """Pieces with ``sequence_id`` (consecutive within a bucket, long buckets first) and ``offset`` 0."""
     made = pieces(docs, ranks, id_col, text_col, longest, with_ids)
     order = [F.desc("length"), F.asc("doc_id"), F.asc("start"), F.asc("ids_crc32")]
-    return numbered(made, order, "sequence_id", "packing").withColumn("offset", F.lit(0).cast("long"))
+    if with_ids:
+        # Texts are encoded once, and only rows without ids are sorted; the ids come back by row.
+        made = keep(made.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+        places = numbered(made.drop("ids"), order, "sequence_id", "packing").select("_row", "sequence_id")
+        packed = made.join(places, "_row").drop("_row")
+    else:
+        packed = numbered(made, order, "sequence_id", "packing")
+    return packed.withColumn("offset", F.lit(0).cast("long"))
 
 
 def digests(packed: DataFrame) -> DataFrame:
