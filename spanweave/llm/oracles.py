@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanweave.llm import chat, license_scan
+from spanweave.llm import chat, license_scan, piecetable
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -76,5 +76,24 @@ least_of AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_of USING (doc_id)"""
 
 
+def _piece_table() -> str:
+    p, s, m = (_quoted(mark) for mark in piecetable.SENTINELS)
+    draw = ", ".join(f"('0x' || h[{8 * n + 1}:{8 * n + 8}])::BIGINT AS h{n + 1}" for n in range(4))
+    return f"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS units, {draw} FROM hashed),
+cut AS (SELECT doc_id, text, len(units) AS n,
+    CASE WHEN text = '' OR contains(text, {p}) OR contains(text, {s}) OR contains(text, {m}) OR h3 % 100 >= 100 THEN 'plain'
+         WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    units, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM drawn),
+part AS (SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+    array_to_string(units[b + 1:], '') AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN {p} || prefix || {s} || suffix || {m} || middle
+              ELSE {s} || suffix || {p} || prefix || {m} || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM part"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_license_scan": _license_scan(), "op7_chat_format": _chat_format(), "op9_odd_sketches": _odd_sketches()}
+    return {"op1_license_scan": _license_scan(), "op7_chat_format": _chat_format(), "op9_odd_sketches": _odd_sketches(), "op11_piece_table": _piece_table()}

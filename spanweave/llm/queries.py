@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import balance, chat, langid, license_scan, oddsketch, outliers, packing, runindex, spotsigs, toxicity
+from spanweave.llm import balance, chat, langid, license_scan, oddsketch, outliers, packing, piecetable, runindex, spotsigs, toxicity
 from spanweave.llm.oracles import oracles
 from spanweave.llm.tables import read
 
@@ -81,8 +81,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("_row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op11_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = piecetable.fill_in_middle(read(spark, sf_dir, "documents", "doc_id", "text"))
+    back = piecetable.restore(made, carry=["id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"])
+    return back.drop("restored").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op3_language_id, op4_packing, op5_run_index, op6_toxicity, op7_chat_format, op8_spotsigs, op9_odd_sketches, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op3_language_id, op4_packing, op5_run_index, op6_toxicity, op7_chat_format, op8_spotsigs, op9_odd_sketches, op10_mixing, op11_piece_table)}
 
 
 def oracle_sql() -> dict[str, str]:
