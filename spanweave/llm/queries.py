@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import balance, chat, langid, license_scan, oddsketch, outliers, packing, piecetable, runindex, spotsigs, toxicity, whitening
+from spanweave.llm import balance, chat, langid, license_scan, oddsketch, outliers, packing, piecetable, runindex, spotsigs, toxicity, treeweights, whitening
 from spanweave.llm.oracles import oracles
 from spanweave.llm.tables import read
 
@@ -87,13 +87,20 @@ def op11_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.drop("restored").withColumnRenamed("id", "doc_id")
 
 
+def op12_tree_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    scored = treeweights.score(docs, train=_dealt(10) != 0, carry=["doc_id"])
+    held_out = (F.coalesce(_dealt(10), F.lit(-1)) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return whitening.whiten(vectors).withColumnRenamed("id", "vec_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op3_language_id, op4_packing, op5_run_index, op6_toxicity, op7_chat_format, op8_spotsigs, op9_odd_sketches, op10_mixing, op11_piece_table, op13_whitening)}
+    return {f.__name__: f for f in (op1_license_scan, op2_robust_outliers, op3_language_id, op4_packing, op5_run_index, op6_toxicity, op7_chat_format, op8_spotsigs, op9_odd_sketches, op10_mixing, op11_piece_table, op12_tree_weights, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:

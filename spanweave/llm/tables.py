@@ -80,3 +80,22 @@ def ship(function: Callable) -> Callable:
         yield from pickles.loads(payload)(batches)
 
     return run
+
+
+def ship_whole(function: Callable) -> Callable:
+    """As ``ship``, for a function of one group's table, or of the tables of two joint groups."""
+    payload, root = cloudpickle.dumps(function), str(Path(__file__).resolve().parents[2])
+
+    def load():
+        import sys
+        from importlib.util import find_spec
+
+        from pyspark import cloudpickle as pickles
+
+        if find_spec("spanweave") is None:
+            sys.path.append(root)
+        return pickles.loads(payload)
+
+    if function.__code__.co_argcount == 1:
+        return lambda table: load()(table)
+    return lambda left, right: load()(left, right)
