@@ -60,19 +60,47 @@ class HotKeys:
 
 
 def find_hot_keys(df: DataFrame, key: str, policy: HotKeyPolicy = DEFAULT_POLICY) -> HotKeys:
-    """Exact counts per key, combined before the shuffle; only the hot keys are stored.
+    """The keys with more than ``rows_per_task`` rows, counted exactly and stored.
 
-    A table that fits one task has none, so small tables are only counted.
+    Two stages, neither of which shuffles a row per key. First rows are counted per cell, a hash of the key: a
+    fixed number of counts per task. A key can only be hot in a heavy cell, so the second stage
+    counts the keys of heavy cells alone. There are several times as many cells as
+    tasks' worth of rows, so few cells are heavy without a hot key, however many keys there are.
     """
-    none = HotKeys(key, None, 0, 0, policy.broadcast_keys)
-    if df.select(key).count() <= policy.rows_per_task:
-        return none
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > policy.rows_per_task)
+    cells, rows, heavy = _heavy_cells(df, key, policy.rows_per_task, _CELLS)
+    wanted = _CELLS_PER_TASK * math.ceil(rows / max(1, policy.rows_per_task))
+    if heavy and wanted > cells:
+        cells, _, heavy = _heavy_cells(df, key, policy.rows_per_task, 2 ** math.ceil(math.log2(wanted)))
+    if not heavy:
+        return HotKeys(key, None, 0, 0, policy.broadcast_keys)
+    # At most one heavy cell per task's worth of rows: a list this short may be broadcast.
+    listed = df.sparkSession.createDataFrame([(c,) for c in heavy], "_cell bigint")
+    few = df.select(key).join(F.broadcast(listed), _cell(key, cells) == F.col("_cell"), "left_semi")
+    counted = few.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > policy.rows_per_task)
     path = new_folder(df.sparkSession, "hot-keys")
     counted.write.parquet(path)
     listed = df.sparkSession.read.schema(counted.schema).parquet(path)
     facts = listed.agg(F.count(F.lit(1)).alias("keys"), F.sum("_rows").alias("rows")).first()
-    return HotKeys(key, listed, facts["keys"], facts["rows"] or 0, policy.broadcast_keys) if facts["keys"] else none
+    if not facts["keys"]:
+        return HotKeys(key, None, 0, 0, policy.broadcast_keys)
+    return HotKeys(key, listed, facts["keys"], facts["rows"], policy.broadcast_keys)
+
+
+#: Cells of the first count, and how many of them there shall be per ``rows_per_task`` rows.
+_CELLS = 4096
+_CELLS_PER_TASK = 8
+
+
+def _cell(key: str, cells: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(cells))
+
+
+def _heavy_cells(df: DataFrame, key: str, limit: int, cells: int) -> tuple[int, int, list[int]]:
+    """(cells, rows of the table, cells with more than ``limit`` rows: at most rows / limit of them)."""
+    counted = df.groupBy(_cell(key, cells).alias("_cell")).agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = F.collect_list(F.when(F.col("_rows") > limit, F.col("_cell")))
+    facts = counted.agg(F.sum("_rows").alias("rows"), heavy.alias("heavy")).first()
+    return cells, facts["rows"] or 0, facts["heavy"]
 
 
 def with_previous(
