@@ -266,10 +266,6 @@ def q10_gap_duration(spark, folder):
 # --- streams ------------------------------------------------------------------------
 
 
-def _buckets(spark) -> int:
-    return 32 * spark.sparkContext.defaultParallelism
-
-
 def _spread_ms(spark, folder) -> int:
     """The longest time that any call id fills, from the first to the last of its times.
 
@@ -336,16 +332,25 @@ def stream_q2_tolerant(spark, folder):
 
 @_query
 def stream_q2_sessions(spark, folder):
+    """Calls and towers paired on the stream, then joined; the table has one call per id."""
+    spread = _spread_ms(spark, folder)
     pairs = streams.overlap_of_sessions(
         _call_events_feed(spark, folder),
         _tower_events_feed(spark, folder),
         bound_ms=BOUND_MS,
-        delay=_delay(_spread_ms(spark, folder)),
-        buckets=_buckets(spark),
+        delay=_delay(spread),
+        max_open_ms=spread,
+        one_call_per_id=True,
     )
     return run_to_table(_session_names(pairs), allow_late=False)
 
 
+@_query
+def stream_match_calls(spark, folder):
+    spread = _spread_ms(spark, folder)
+    return run_to_table(streams.match_calls(_call_events_feed(spark, folder), delay=_delay(spread), max_open_ms=spread), allow_late=False)
+
+
 @_query
 def stream_q2_sessions_carried(spark, folder):
     """Both event streams paired batch by batch, then one join over the stored spans."""
@@ -379,7 +384,7 @@ def stream_q2_minmax_updates(spark, folder):
 def _gaps_of_calls(spark, folder, **options) -> DataFrame:
     # The feed is ordered by start, and so is its event time.
     feed = _calls_feed(spark, folder)
-    found = streams.gaps_from_calls(feed, delay=FEED_DELAY, event_time="start_ts", buckets=_buckets(spark), **options)
+    found = streams.gaps_from_calls(feed, delay=FEED_DELAY, event_time="start_ts", **options)
     return run_to_table(found, allow_late=False)
 
 
@@ -401,7 +406,7 @@ def stream_q10_within_day(spark, folder):
 @_query
 def stream_q10_last_end(spark, folder):
     feed = _call_events_feed(spark, folder)
-    return run_to_table(streams.gaps_from_events(feed, delay=FEED_DELAY, buckets=_buckets(spark)), allow_late=False)
+    return run_to_table(streams.gaps_from_events(feed, delay=FEED_DELAY), allow_late=False)
 
 
 @_query
@@ -432,13 +437,13 @@ def stream_q10_pattern(spark, folder):
 @_query
 def stream_pair_calls(spark, folder):
     feed = _call_events_feed(spark, folder)
-    return run_to_table(streams.pair_calls(feed, delay=FEED_DELAY, buckets=_buckets(spark)), allow_late=False)
+    return run_to_table(streams.pair_calls(feed, delay=FEED_DELAY), allow_late=False)
 
 
 @_query
 def stream_pair_towers(spark, folder):
     feed = _tower_events_feed(spark, folder)
-    return run_to_table(streams.pair_towers(feed, delay=FEED_DELAY, buckets=_buckets(spark)), allow_late=False)
+    return run_to_table(streams.pair_towers(feed, delay=FEED_DELAY), allow_late=False)
 
 
 @_query

@@ -172,6 +172,7 @@ _QUERIES = {
     "stream_q10_lag_carried": _GAP_LAG,
     "stream_q10_last_end_carried": _GAP_LAST_END,
     "stream_pair_calls": _CALL_PAIRS,
+    "stream_match_calls": _CALL_PAIRS,
     "stream_pair_towers": _TOWER_PAIRS,
     "stream_pair_calls_carried": _CALL_PAIRS,
     "stream_pair_towers_carried": _TOWER_PAIRS,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -57,16 +57,23 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def state_partitions(spark: SparkSession, count: int | None = None) -> Iterator[None]:
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting that holds for what is started inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def state_partitions(spark: SparkSession, count: int | None = None) -> AbstractContextManager[None]:
     """Use ``count`` shuffle partitions (default: one per core) for queries started inside.
 
     A stateful stream fixes its partition count in the checkpoint and is not re-planned by
     AQE, so the count is chosen here rather than left at the batch default.
     """
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(count or spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return setting(spark, "spark.sql.shuffle.partitions", str(count or spark.sparkContext.defaultParallelism))

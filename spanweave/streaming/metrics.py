@@ -7,7 +7,6 @@ from collections import deque
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -28,14 +27,18 @@ METRICS = T.StructType(
 
 
 class BatchMetrics(StreamingQueryListener):
-    """Keeps one row per finished micro-batch: all, or the latest ``keep`` of them.
+    """One row per finished micro-batch, the latest ``keep`` of them, and totals over all.
+
+    The totals of a query are three numbers, so a query that never ends costs no more memory.
 
     Use as a context manager to add the listener to a session and take it off again.
     """
 
-    def __init__(self, spark: SparkSession, keep: int | None = None, show: bool = False):
+    def __init__(self, spark: SparkSession, keep: int = 10_000, show: bool = False):
         self._spark = spark
         self._rows: deque[tuple] = deque(maxlen=keep)
+        self._totals: dict[str, list[int]] = {}
+        self._late: dict[str, int] = {}
         self._ended: dict[str, threading.Event] = {}
         self._show = show
 
@@ -65,6 +68,10 @@ class BatchMetrics(StreamingQueryListener):
             sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
         )
         self._rows.append(row)
+        totals = self._totals.setdefault(row[0], [0, 0, 0])
+        for n, value in enumerate((p.numInputRows, p.sink.numOutputRows, row[-1])):
+            totals[n] += value
+        self._late[str(p.runId)] = self._late.get(str(p.runId), 0) + row[-1]
         if self._show:
             print(", ".join(f"{name}={value}" for name, value in zip(METRICS.names, row)))
 
@@ -85,10 +92,11 @@ class BatchMetrics(StreamingQueryListener):
     def metrics_df(self) -> DataFrame:
         return self._spark.createDataFrame(list(self._rows), METRICS)
 
+    def late_rows(self, query) -> int:
+        """Rows that all batches of a query dropped because they came after the watermark."""
+        return self._late.get(str(query.runId), 0)
+
     def totals_df(self) -> DataFrame:
         """Input, output and late rows per query over all batches; the same in every run."""
-        return self.metrics_df().groupBy("query").agg(
-            F.sum("input_rows").alias("input_rows"),
-            F.sum("output_rows").alias("output_rows"),
-            F.sum("late_rows_dropped").alias("late_rows"),
-        )
+        rows = [(name, *totals) for name, totals in self._totals.items()]
+        return self._spark.createDataFrame(rows, "query string, input_rows bigint, output_rows bigint, late_rows bigint")

@@ -3,8 +3,10 @@
 Inputs have TIMESTAMP times. Watermark delays must cover how far rows can be out of order;
 rows that come later are dropped, and counted in the metrics of the query.
 
-``buckets`` is the number of groups into which keyed state is divided. Choose several times
-the number of state partitions, and keep it for as long as a checkpoint is used.
+``buckets`` is the number of groups into which keyed state is divided. A bucket is read and written as
+a whole, so choose several times the number of state partitions, and so many that a bucket holds
+thousands of keys rather than millions. Keep the number for as long as a checkpoint is used: it
+does not follow the size of the cluster.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 from spanweave.functions.predicates import is_connected, is_end, is_start, near, partly_overlaps
 from spanweave.functions.times import millis
 from spanweave.operators.overlap import bounded_overlap
+from spanweave.operators.sessions import CALL_FIELDS
 from spanweave.streaming.processors import GapProcessor, PairProcessor
 
-BUCKETS = 1024
+BUCKETS = 64
+
 
 def gaps_from_calls(
     calls: DataFrame,
@@ -85,6 +89,27 @@ def pair_towers(
     return _pairs(events, delay, buckets, PairProcessor({"tower": "string"}, {}, max_open_ms))
 
 
+def match_calls(events: DataFrame, *, delay: str, max_open_ms: int) -> DataFrame:
+    """Call spans as an interval join of START and END events, for ids with one call each.
+
+    Runs in the JVM: an END waits for its START and the other way round, and either is dropped
+    once the watermark has passed the time in which its partner could come. Equal to
+    ``pair_calls`` where an id has one START and one END; an id with several gets every END paired
+    with every START up to ``max_open_ms`` before it.
+    """
+    rows = events.where(F.col("unique_id").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", delay)
+    starts = rows.where(is_start()).select(
+        F.col("unique_id").alias("_id"), F.col("ts").alias("_opened"), F.col("row_id").alias("_first")
+    )
+    ends = rows.where(is_end()).select("unique_id", F.col("ts").alias("end_ts"), "row_id", *CALL_FIELDS)
+    longest = F.expr(f"INTERVAL {int(max_open_ms)} MILLISECONDS")
+    within = (F.col("end_ts") >= F.col("_opened")) & (F.col("end_ts") <= F.col("_opened") + longest)
+    after = (F.col("end_ts") > F.col("_opened")) | (F.col("row_id") > F.col("_first"))
+    pairs = ends.join(starts, (F.col("unique_id") == F.col("_id")) & within & after)
+    # Only one event time may go on to the next operator: the end's.
+    return pairs.select("unique_id", *CALL_FIELDS, F.timestamp_millis(millis("_opened")).alias("start_ts"), "end_ts")
+
+
 def overlap_of_sessions(
     call_events: DataFrame,
     tower_events: DataFrame,
@@ -92,14 +117,20 @@ def overlap_of_sessions(
     bound_ms: int,
     delay: str,
     max_open_ms: int | None = None,
+    one_call_per_id: bool = False,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Pair both event streams into spans, then join the spans on their ends.
 
-    The paired ``end_ts`` carries the watermark on, so the join can drop old rows.
+    The paired ``end_ts`` carries the watermark on, so the join can drop old rows. With
+    ``one_call_per_id`` (needs ``max_open_ms``) calls are paired by ``match_calls``.
     """
+    if one_call_per_id:
+        calls = match_calls(call_events, delay=delay, max_open_ms=max_open_ms)
+    else:
+        calls = pair_calls(call_events, delay=delay, max_open_ms=max_open_ms, buckets=buckets)
     return bounded_overlap(
-        pair_calls(call_events, delay=delay, max_open_ms=max_open_ms, buckets=buckets),
+        calls,
         pair_towers(tower_events, delay=delay, max_open_ms=max_open_ms, buckets=buckets),
         bound_ms=bound_ms,
     )
@@ -141,7 +172,7 @@ def _rebuilt(events: DataFrame, keys: list[str], delay: str, max_span: str, name
 
 
 def _gaps(rows: DataFrame, processor: GapProcessor) -> DataFrame:
-    out = rows.groupBy("bucket").transformWithState(
+    out = rows.groupBy("bucket").transformWithStateInPandas(
         processor, processor.output_schema, outputMode="append", timeMode="eventTime"
     )
     return out.select(
@@ -163,7 +194,7 @@ def _pairs(events: DataFrame, delay: str, buckets: int, processor: PairProcessor
         _bucket("unique_id", buckets),
         "unique_id", "event_type", "ts", millis("ts").alias("ts_ms"), "row_id", *carried
     )
-    out = rows.groupBy("bucket").transformWithState(
+    out = rows.groupBy("bucket").transformWithStateInPandas(
         processor,
         processor.output_schema,
         outputMode="append",

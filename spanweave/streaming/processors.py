@@ -1,26 +1,32 @@
 """Keyed state for streams: one processor for gaps, one for pairing events into spans.
 
-A processor works on a bucket of keys rather than on one key: Spark calls it, and ships its
-output, once per group, and with a group per key that would cost more than the work itself.
-The state of a bucket is a map with one entry per key, read and written entry by entry.
-
-All times are whole milliseconds, so no time zone is involved in Python. A processor sorts
-the rows of its bucket within a micro-batch; the size of a micro-batch is bounded by the
-source (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``), and with it what one task may
-hold. Where one key fills a large part of every batch, use ``spanweave.streaming.carried``,
-which has the same results and splits hot keys.
+A processor works on a bucket of keys and on whole columns: the rows of a bucket in a
+micro-batch are sorted, folded and compared by vector operations, and no loop runs over rows or
+keys. The state of a bucket is one entry, its keys and values as an Arrow batch: each call to
+the state store costs milliseconds, so a bucket is read once and written once per micro-batch that
+touches it, however many keys it holds.
+
+Expiry: a bucket has one event-time timer at most, at the time its oldest value is due, rounded up
+to a fraction of the keeping time. When it fires, what is due is dropped and the timer set
+for the rest. So a bucket wakes at most ``SLOTS`` times in the time a value is kept, and a
+key is passed over that often at most, however many keys are idle.
+
+All times are whole milliseconds, so no time zone is involved in Python. The size of a
+micro-batch is bounded by the source (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``), and with
+it what one task may hold. Where one key fills a large part of every batch, use
+``spanweave.streaming.carried``, which has the same results and splits hot keys.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
-from itertools import groupby
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Ship the classes themselves, so that executors need not have the package installed.
@@ -30,53 +36,99 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 START = 0
 END = 1
 
-_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+# More milliseconds than lie between year 1 and 1970.
+_SHIFT = 2**46
 
+#: A value is forgotten at most this fraction of the keeping time after it is due.
+SLOTS = 16
 
-class _Expiring(StatefulProcessor):
-    """A map from key to (time, ...) whose entries are forgotten ``keep_ms`` after their time.
 
-    A bucket has one event-time timer at most. When it fires, the entries that are due are
-    removed and the timer is set for the next one.
-    """
+class _Kept(StatefulProcessor):
+    """State of a bucket: a table of keys with ``since_ms``, the time of each value, and more columns."""
 
-    key_schema: str
-    value_schema: str
+    layout: pa.Schema
     keep_ms: int | None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._kept = handle.getMapState("kept", self.key_schema, self.value_schema)
-        self._due = handle.getValueState("due", "due_ms long")
-
-    def _arm(self, oldest_ms: int, timers) -> None:
-        # A timer may not lie before the watermark.
-        due = max(oldest_ms + self.keep_ms, timers.getCurrentWatermarkInMs()) + 1
-        self._handle.registerTimer(due)
-        self._due.update((due,))
-
-    def _arm_once(self, since: list[int], timers) -> None:
-        if self.keep_ms is not None and since and not self._due.exists():
-            self._arm(min(since), timers)
-
-    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        limit = timerValues.getCurrentWatermarkInMs() - self.keep_ms
-        entries = [(tuple(name), value[0]) for name, value in self._kept.iterator()]
-        for name, since in entries:
-            if since <= limit:
-                self._kept.removeKey(name)
-        left = [since for _, since in entries if since > limit]
-        if left:
-            self._arm(min(left), timerValues)
-        else:
-            self._due.clear()
+        self._kept = handle.getValueState("kept", "due_ms long, held binary")
+
+    def _load(self) -> tuple[dict[str, np.ndarray], int]:
+        """The bucket's values by column, and the time for which its timer is set (0: none)."""
+        entry = self._kept.get()
+        if entry is None:
+            return {n: np.zeros(0, t.to_pandas_dtype()) for n, t in zip(self.layout.names, self.layout.types)}, 0
+        held = pa.ipc.read_record_batch(pa.py_buffer(bytes(entry[1])), self.layout)
+        return {n: held.column(n).to_numpy(zero_copy_only=False) for n in self.layout.names}, entry[0]
+
+    def _store(self, values: dict[str, np.ndarray], due: int, timers) -> None:
+        """Replace the bucket's values; a timer that is set stays, also if the bucket is emptied."""
+        since = values["since_ms"]
+        if self.keep_ms is not None and len(since) and not due:
+            # A timer may not lie before the watermark.
+            step = max(1, self.keep_ms // SLOTS)
+            due = max(int(since.min()) + self.keep_ms, timers.getCurrentWatermarkInMs()) + 1
+            due = -(-due // step) * step
+            self._handle.registerTimer(due)
+        if not len(since) and not due:
+            self._kept.clear()
+            return
+        held = pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type, from_pandas=True) for f in self.layout], schema=self.layout)
+        self._kept.update((due, held.serialize().to_pybytes()))
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        values, _ = self._load()
+        left = values["since_ms"] > timerValues.getCurrentWatermarkInMs() - self.keep_ms
+        self._store({n: v[left] for n, v in values.items()}, 0, timerValues)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-class GapProcessor(_Expiring):
+def _sorted(rows: pd.DataFrame, state: dict[str, np.ndarray], key: str, order: list[str], columns: dict[str, Any]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """State and rows by key and order, the state first: the number of each row's key, and the columns.
+
+    ``columns`` says what a column holds where it comes from the state.
+    """
+    n = len(state[key])
+    both = {
+        c: np.concatenate([state[held] if held in state else np.full(n, held, rows[c].dtype), rows[c].to_numpy()])
+        for c, held in columns.items()
+    }
+    group = pd.factorize(both[key], use_na_sentinel=False)[0]
+    sequence = np.lexsort((*(both[c] for c in reversed(order)), np.arange(len(group)) >= n, group))
+    return group[sequence], {c: v[sequence] for c, v in both.items()}
+
+
+def _last(group: np.ndarray) -> np.ndarray:
+    """Whether a row is the last of its key."""
+    return np.append(group[1:] != group[:-1], True) if len(group) else np.zeros(0, bool)
+
+
+def _before(group: np.ndarray, values: np.ndarray, missing: Any) -> np.ndarray:
+    """The value of the row before, of the same key."""
+    out = np.full(len(values), missing, values.dtype)
+    out[1:] = np.where(group[1:] == group[:-1], values[:-1], missing)
+    return out
+
+
+def _greatest_so_far(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The greatest value of a key up to each row; -1 is none."""
+    levels, rank = np.unique(values, return_inverse=True)
+    top = np.maximum.accumulate(group.astype(np.int64) * len(levels) + rank)
+    return levels[top - group * len(levels)] if len(levels) else values
+
+
+def _latest_so_far(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The last value of a key up to each row that is not -1."""
+    place = np.arange(len(group))
+    first = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), place, 0)) if len(group) else place
+    at = np.maximum.accumulate(np.where(values >= 0, place, -1)) if len(group) else place
+    return np.where(at >= first, values[at], -1)
+
+
+class GapProcessor(_Kept):
     """Gap from the remembered end of a caller to each later start.
 
     Input rows: ``caller``, ``at_ms, tie`` (order), ``start_ms`` and ``end_ms``, of which one
@@ -84,34 +136,39 @@ class GapProcessor(_Expiring):
     one. ``ttl_ms`` forgets an end that lies so far back and never reports a longer gap.
     """
 
-    key_schema = "caller string"
-    value_schema = "last_ms long"
+    layout = pa.schema([("caller", pa.string()), ("since_ms", pa.int64())])
     output_schema = "caller string, prev_end_ms long, next_start_ms long, gap_ms long"
 
     def __init__(self, latest: bool, ttl_ms: int | None = None):
         self.latest = latest
         self.keep_ms = ttl_ms
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        ordered = sorted(rows, key=lambda r: (r.caller is not None, r.caller, r.at_ms, r.tie))
-        stored = []
-        for caller, calls in groupby(ordered, key=lambda r: r.caller):
-            state = self._kept.getValue((caller,))
-            known = last = state[0] if state is not None else None
-            for row in calls:
-                if row.start_ms is not None and last is not None:
-                    gap = row.start_ms - last
-                    if gap > 0 and (self.keep_ms is None or gap <= self.keep_ms):
-                        yield Row(caller=caller, prev_end_ms=last, next_start_ms=row.start_ms, gap_ms=gap)
-                if row.end_ms is not None and (last is None or self.latest or row.end_ms > last):
-                    last = row.end_ms
-            if last != known:
-                self._kept.updateValue((caller,), (last,))
-                stored.append(last)
-        self._arm_once(stored, timerValues)
-
-
-class PairProcessor(_Expiring):
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows), ignore_index=True)
+        state, due = self._load()
+        # Times before 1970 are below zero; shifted, -1 stands for no time.
+        rows = rows.assign(**{c: rows[c].fillna(-1 - _SHIFT).astype("int64") + _SHIFT for c in ("start_ms", "end_ms")})
+        state["end_ms"] = state["since_ms"] + _SHIFT
+        group, both = _sorted(rows, state, "caller", ["at_ms", "tie"], {"caller": "caller", "at_ms": 0, "tie": 0, "start_ms": -1, "end_ms": "end_ms"})
+        seen = (_latest_so_far if self.latest else _greatest_so_far)(group, both["end_ms"])
+        prev = _before(group, seen, -1)
+        gap = both["start_ms"] - prev
+        found = (prev >= 0) & (both["start_ms"] >= 0) & (gap > 0)
+        if self.keep_ms is not None:
+            found &= gap <= self.keep_ms
+        last = _last(group) & (seen >= 0)
+        self._store({"caller": both["caller"][last], "since_ms": seen[last] - _SHIFT}, due, timerValues)
+        yield pd.DataFrame(
+            {
+                "caller": both["caller"][found],
+                "prev_end_ms": prev[found] - _SHIFT,
+                "next_start_ms": both["start_ms"][found] - _SHIFT,
+                "gap_ms": gap[found],
+            }
+        )
+
+
+class PairProcessor(_Kept):
     """A span for each END whose preceding event of the same id is a START.
 
     Input rows: ``unique_id``, ``ts_ms, row_id`` (order), ``event_type`` and the columns to
@@ -120,44 +177,37 @@ class PairProcessor(_Expiring):
     spans. The output column ``end_ts`` is the event time, for operators that follow.
     """
 
-    key_schema = "unique_id long"
-
     def __init__(self, start_fields: dict[str, str], end_fields: dict[str, str], keep_ms: int | None = None):
         self.start_fields = tuple(start_fields)
         self.end_fields = tuple(end_fields)
         self.keep_ms = keep_ms
-        self.value_schema = ", ".join(["start_ms long", *(f"{n} {t}" for n, t in start_fields.items())])
+        kinds = {"string": pa.string(), "long": pa.int64()}
+        self.layout = pa.schema([("unique_id", pa.int64()), ("since_ms", pa.int64()), *((n, kinds[t]) for n, t in start_fields.items())])
         carried = {**start_fields, **end_fields}
         self.output_schema = ", ".join(
             ["unique_id long", "start_ms long", "end_ts timestamp", *(f"{n} {t}" for n, t in carried.items())]
         )
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        ordered = sorted(rows, key=lambda r: (r.unique_id, r.ts_ms, r.row_id))
-        stored = []
-        any_open = self._kept.exists()  # saves a round trip to the JVM per id where nothing is open
-        for uid, events in groupby(ordered, key=lambda r: r.unique_id):
-            known = opened = self._kept.getValue((uid,)) if any_open else None
-            for row in events:
-                if row.event_type == START:
-                    opened = (row.ts_ms, *(row[f] for f in self.start_fields))
-                elif row.event_type == END and opened is not None:
-                    if self.keep_ms is None or row.ts_ms - opened[0] <= self.keep_ms:
-                        yield self._span(uid, opened, row)
-                    opened = None
-            if opened is None:
-                if known is not None:
-                    self._kept.removeKey((uid,))
-            elif opened is not known:
-                self._kept.updateValue((uid,), opened)
-                stored.append(opened[0])
-        self._arm_once(stored, timerValues)
-
-    def _span(self, uid: int, opened: tuple, end: Row) -> Row:
-        return Row(
-            unique_id=uid,
-            start_ms=opened[0],
-            end_ts=_EPOCH + timedelta(milliseconds=end.ts_ms),
-            **dict(zip(self.start_fields, opened[1:])),
-            **{f: end[f] for f in self.end_fields},
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows), ignore_index=True)
+        rows = rows[rows["event_type"].isin([START, END])]
+        state, due = self._load()
+        columns = {"unique_id": "unique_id", "ts_ms": "since_ms", "row_id": -1, "event_type": START}
+        columns |= {f: f for f in self.start_fields} | {f: None for f in self.end_fields}
+        rows = rows.astype({f: object for f in self.end_fields})
+        group, both = _sorted(rows, state, "unique_id", ["ts_ms", "row_id"], columns)
+        starts = both["event_type"] == START
+        ends = np.flatnonzero(~starts & _before(group, starts, False))
+        if self.keep_ms is not None:
+            ends = ends[both["ts_ms"][ends] - both["ts_ms"][ends - 1] <= self.keep_ms]
+        opened = _last(group) & starts
+        self._store({"since_ms": both["ts_ms"][opened], **{c: both[c][opened] for c in ("unique_id", *self.start_fields)}}, due, timerValues)
+        yield pd.DataFrame(
+            {
+                "unique_id": both["unique_id"][ends],
+                "start_ms": both["ts_ms"][ends - 1],
+                "end_ts": pd.to_datetime(both["ts_ms"][ends], unit="ms", utc=True),
+                **{f: both[f][ends - 1] for f in self.start_fields},
+                **{f: both[f][ends] for f in self.end_fields},
+            }
         )

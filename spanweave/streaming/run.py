@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from spanweave.schemas import to_zone_free
-from spanweave.session import new_folder, prepare_session, state_partitions
+from spanweave.session import new_folder, prepare_session, setting, state_partitions
+from spanweave.streaming.metrics import BatchMetrics
 
 
 def start_query(
@@ -25,13 +26,16 @@ def start_query(
     until_done: bool = True,
     every: str | None = None,
     partitions: int | None = None,
+    watermark_policy: str = "min",
 ) -> StreamingQuery:
     """Start a query that writes ``df`` to ``console``, ``memory``, ``noop``, a file format
     such as ``parquet``, or ``foreachBatch`` (with ``batch_writer``).
 
     ``checkpoint`` is required: a query started again with it goes on where it stopped.
     ``until_done`` works through what is there and stops; otherwise the query keeps
-    running, with a batch ``every`` interval if given.
+    running, with a batch ``every`` interval if given. With several inputs the watermark follows
+    the slowest one (``watermark_policy="min"``) or the fastest (``"max"``, which drops the rows
+    of a slower input that come later).
     """
     writer = df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
     if name:
@@ -49,7 +53,7 @@ def start_query(
         if path:
             writer = writer.option("path", path)
     spark = prepare_session(df.sparkSession)
-    with state_partitions(spark, partitions):
+    with state_partitions(spark, partitions), setting(spark, "spark.sql.streaming.multipleWatermarkPolicy", watermark_policy):
         return writer.start()
 
 
@@ -67,11 +71,6 @@ def finish(query: StreamingQuery, timeout_s: float | None = None) -> int:
     return round((time.monotonic() - began) * 1000)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that the recent batches of a query dropped because they came after the watermark."""
-    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
-
-
 def run_to_table(
     df: DataFrame, *, timeout_s: float | None = None, name: str | None = None, allow_late: bool = True, **options
 ) -> DataFrame:
@@ -79,8 +78,10 @@ def run_to_table(
     with zone-free times. With ``allow_late=False`` dropped late rows are an error."""
     spark = df.sparkSession
     folder = new_folder(spark, "run")
-    query = start_query(df, "parquet", path=f"{folder}/table", checkpoint=f"{folder}/checkpoint", name=name, **options)
-    finish(query, timeout_s)
-    if not allow_late and (dropped := late_rows(query)):
+    with BatchMetrics(spark, keep=0) as metrics:
+        query = start_query(df, "parquet", path=f"{folder}/table", checkpoint=f"{folder}/checkpoint", name=name, **options)
+        finish(query, timeout_s)
+        metrics.wait_for_end(query)
+    if not allow_late and (dropped := metrics.late_rows(query)):
         raise RuntimeError(f"{dropped} rows came after the watermark; allow a longer delay")
     return to_zone_free(spark.read.schema(df.schema).parquet(f"{folder}/table"))
