@@ -62,14 +62,44 @@ def bounded_overlap(
     """
     if delay is not None:
         calls, towers = calls.withWatermark("end_ts", delay), towers.withWatermark("end_ts", delay)
-    c, t = _sides(calls, towers, connected_only)
+    return _tidy(_band(*_sides(calls, towers, connected_only), "end", bound_ms).where(_match(tolerance_ms)))
+
+
+def overlap_by_start(
+    calls: DataFrame,
+    towers: DataFrame,
+    *,
+    longest_ms: int,
+    tolerance_ms: int = 0,
+    connected_only: bool = False,
+    call_delay: str | None = None,
+    tower_delay: str | None = None,
+) -> DataFrame:
+    """As ``partial_overlap``, for spans no longer than ``longest_ms``, by their starts.
+
+    Works on batch and on streams. Spans that overlap begin at most their longest length, and
+    the tolerance, apart: that is a band join on the starts, from which a stream knows how long to keep its
+    rows. The delays set a watermark on each side's start; calls and towers may differ. Longer
+    spans are left out, so that the result does not depend on how rows fall into batches.
+    """
+    short = F.col("end_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {int(longest_ms)} MILLISECONDS")
+    calls, towers = calls.where(short), towers.where(short)
+    if call_delay is not None:
+        calls = calls.withWatermark("start_ts", call_delay)
+    if tower_delay is not None:
+        towers = towers.withWatermark("start_ts", tower_delay)
+    joined = _band(*_sides(calls, towers, connected_only), "start", longest_ms + tolerance_ms)
+    return _tidy(joined.where(_match(tolerance_ms)))
+
+
+def _band(c: DataFrame, t: DataFrame, side: str, bound_ms: int) -> DataFrame:
+    """Pairs of one id whose starts or ends lie within the bound, joined on (id, cell of that time)."""
     width = max(1, 10 * bound_ms)
-    end = millis("call_end")
-    first, last = _floor_div(end - bound_ms, width), _floor_div(end + bound_ms, width)
+    at = millis(f"call_{side}")
+    first, last = _floor_div(at - bound_ms, width), _floor_div(at + bound_ms, width)
     c = c.withColumn("_cell", F.explode(F.sequence(first, last)))
-    t = t.withColumn("_cell", _floor_div(millis("tower_end"), width))
-    in_bound = near("tower_end", "call_end", bound_ms)
-    return _tidy(c.join(t, ["unique_id", "_cell"]).where(in_bound & _match(tolerance_ms)))
+    t = t.withColumn("_cell", _floor_div(millis(f"tower_{side}"), width))
+    return c.join(t, ["unique_id", "_cell"]).where(near(f"tower_{side}", f"call_{side}", bound_ms))
 
 
 def _sides(calls: DataFrame, towers: DataFrame, connected_only: bool) -> tuple[DataFrame, DataFrame]:

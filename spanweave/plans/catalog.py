@@ -16,9 +16,10 @@ from spanweave.schemas import conform, to_zone_free
 from spanweave.session import new_folder, prepare_session
 from spanweave.sources import derived, signals, tables
 from spanweave.streaming import carried, operators as streams
-from spanweave.streaming.feeds import Feed, stage_feed
+from spanweave.streaming.feeds import Feed, extend_feed, stage_feed, stage_slices
 from spanweave.streaming.metrics import BatchMetrics
 from spanweave.streaming.run import finish, run_to_table, start_query
+from spanweave.streaming.unbounded import overlap_unbounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -478,3 +479,108 @@ def stream_metrics(spark, folder):
         metrics.wait_for_end(query)
         return metrics.totals_df()
 
+
+@_query
+def stream_q2_tolerant_unbounded(spark, folder):
+    """The tolerant overlap without any time bound: stored spans, read by time cell."""
+    pairs = overlap_unbounded(_calls_feed(spark, folder), _towers_feed(spark, folder), tolerance_ms=TOLERANCE_MS)
+    return _by_call_id(pairs)
+
+
+@_query
+def stream_q2_tolerant_by_start(spark, folder):
+    """The tolerant overlap with watermarks on the starts, another delay for each side."""
+    pairs = overlap.overlap_by_start(
+        _calls_feed(spark, folder),
+        _towers_feed(spark, folder),
+        longest_ms=_spread_ms(spark, folder),
+        tolerance_ms=TOLERANCE_MS,
+        call_delay=FEED_DELAY,
+        tower_delay="3 seconds",
+    )
+    return _by_call_id(run_to_table(pairs, allow_late=False))
+
+
+@_query
+def stream_rebuild_calls_updated(spark, folder):
+    """First and last event per call in update mode, put into a keyed table by every batch."""
+    return carried.rebuild_updating(_call_events_feed(spark, folder), ["unique_id"], folder=new_folder(spark, "updated"))
+
+
+@_query
+def stream_q2_minmax_upserted(spark, folder):
+    """The overlap of two tables that update-mode streams keep corrected."""
+    calls = carried.rebuild_updating(_call_events_feed(spark, folder), ["unique_id"], folder=new_folder(spark, "updated"))
+    towers = carried.rebuild_updating(_tower_events_feed(spark, folder), ["unique_id", "tower"], folder=new_folder(spark, "updated"))
+    return _by_call_id(overlap.partial_overlap(calls, towers, tolerance_ms=TOLERANCE_MS, policy=None))
+
+
+#: The order in which the eight stretches of time of ``stream_late_rows`` arrive.
+LATE_ORDER = (0, 3, 1, 2, 6, 4, 5, 7)
+
+
+@_query
+def stream_late_rows(spark, folder):
+    """Calls that arrive out of order: those that came too late, and how many the stream counted.
+
+    The time from the first to the last start is cut into eight stretches of equal length, which
+    arrive in ``LATE_ORDER``; the watermark lies one hour behind.
+    """
+    calls = derived.calls(spark, folder).select("unique_id", "start_ts", "caller")
+    facts = calls.agg(F.min(millis("start_ts")).alias("low"), F.max(millis("start_ts")).alias("high")).first()
+    low, width = facts["low"] or 0, (facts["high"] or 0) - (facts["low"] or 0) + 1
+    stretch = F.expr(f"(8 * (unix_millis(timestamp(start_ts)) - {low}L)) div {width}L")
+    arrival = F.element_at(F.array(*[F.lit(LATE_ORDER.index(n)) for n in range(8)]), (stretch + 1).cast("int"))
+    feed = stage_slices(calls, arrival, 8)
+    taken = streams.admitted(feed.read(spark), key=["unique_id"], event_time="start_ts", delay="1 hour")
+    with BatchMetrics(spark, keep=0) as metrics:
+        path, checkpoint = new_folder(spark, "admitted"), new_folder(spark, "checkpoint")
+        query = start_query(taken, "parquet", path=path, checkpoint=checkpoint)
+        finish(query)
+        metrics.wait_for_end(query)
+    late = streams.late_table(calls, spark.read.schema(taken.schema).parquet(path), ["unique_id"])
+    return late.withColumn("n_dropped", F.lit(metrics.late_rows(query)).cast("long"))
+
+
+@_query
+def stream_q10_running_max_restarted(spark, folder):
+    """Gaps of a stream that ends, and goes on from its checkpoint once the table has grown."""
+    calls = derived.calls(spark, folder)
+    facts = calls.agg(F.min("start_ts").alias("low"), F.max("start_ts").alias("high")).first()
+    half = F.lit(facts["low"] + (facts["high"] - facts["low"]) / 2 if facts["low"] else None).cast("timestamp_ntz")
+    early = F.coalesce(F.col("start_ts") < half, F.lit(True))
+    feed = _feed(calls.where(early), gaps.BY_START)
+    table, checkpoint = new_folder(spark, "restarted"), new_folder(spark, "checkpoint")
+
+    def run():
+        out = streams.gaps_from_calls(feed.read(spark), delay=FEED_DELAY, event_time="start_ts")
+        finish(start_query(out, "parquet", path=table, checkpoint=checkpoint))
+        return out.schema
+
+    run()
+    feed = extend_feed(feed, _feed(calls.where(~early), gaps.BY_START))
+    schema = run()
+    return to_zone_free(spark.read.schema(schema).parquet(table))
+
+
+@_query
+def stream_gap_totals(spark, folder):
+    """How many gaps each caller has and how long they are together, sorted within a stream in complete mode."""
+    run = new_folder(spark, "carried")
+    found = carried.run_carried(_calls_feed(spark, folder), carried.running_max_step(), folder=run)
+    totals = carried.totals_per_key(f"{run}/result/*", found.schema, "caller", "gap_ms", folder=new_folder(spark, "totals"))
+    return totals.select("caller", F.col("n").alias("n_gaps"), F.col("total").alias("total_gap_ms"))
+
+
+@_query
+def stream_run_time(spark, folder):
+    """Whether a run of the bounded overlap has told its time in milliseconds, and its rows."""
+    feed = _calls_feed(spark, folder)
+    with BatchMetrics(spark) as metrics:
+        query = start_query(feed.where(is_connected()), "noop", checkpoint=new_folder(spark, "checkpoint"), name="connected")
+        run_ms = finish(query)
+        metrics.wait_for_end(query)
+        totals = metrics.totals_df()
+    batches_ms = metrics.metrics_df().agg(F.sum("latency_ms")).first()[0] or 0
+    timed = F.lit(run_ms > 0 and batches_ms > 0)
+    return totals.select("query", "input_rows", timed.alias("timed"))

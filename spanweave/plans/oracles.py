@@ -127,6 +127,14 @@ GROUP BY ALL"""
 _METRICS = f"""
 SELECT 'bounded_overlap' AS query, (SELECT count(*) FROM calls) + (SELECT count(*) FROM towers) AS input_rows,
        (SELECT count(*) FROM ({_OVERLAP_BOUNDED})) AS output_rows, CAST(0 AS BIGINT) AS late_rows"""
+_ARRIVAL = (0, 3, 1, 2, 6, 4, 5, 7)
+# The watermark of a batch comes from the batches before the one before it.
+_LATE = f"""
+, placed AS (SELECT unique_id, start_ts, caller, list_position({list(_ARRIVAL)}, CAST((8 * (epoch_ms(start_ts) - low)) // (high - low + 1) AS INTEGER)) - 1 AS batch
+  FROM calls, (SELECT min(epoch_ms(start_ts)) AS low, max(epoch_ms(start_ts)) AS high FROM calls)),
+marks AS (SELECT b.batch, max(p.start_ts) - INTERVAL 1 HOUR AS mark FROM (SELECT unnest(range(8)) AS batch) b JOIN placed p ON p.batch < b.batch - 1 GROUP BY b.batch)
+SELECT unique_id, start_ts, caller, count(*) OVER () AS n_dropped FROM placed JOIN marks USING (batch) WHERE start_ts <= mark"""
+_TOTALS = "SELECT caller, count(*) AS n_gaps, CAST(sum(gap_ms) AS BIGINT) AS total_gap_ms FROM max_gaps GROUP BY caller"
 _CALLS = "SELECT unique_id, start_ts, end_ts, caller, callee, disposition, imei, row_id FROM calls"
 _CALL_PAIRS = "SELECT unique_id, start_ts, end_ts, caller, callee, imei FROM call_pairs"
 _TOWER_PAIRS = "SELECT unique_id, tower, start_ts, end_ts FROM tower_pairs"
@@ -184,6 +192,14 @@ _QUERIES = {
     "stream_q10_pattern": _GAP_PATTERN,
     "stream_csv_roundtrip": _CALLS,
     "stream_metrics": _METRICS,
+    "stream_q2_tolerant_unbounded": _OVERLAP_TOLERANT,
+    "stream_q2_tolerant_by_start": _OVERLAP_TOLERANT,
+    "stream_rebuild_calls_updated": "SELECT * FROM call_minmax",
+    "stream_q2_minmax_upserted": _OVERLAP_MINMAX,
+    "stream_late_rows": _LATE,
+    "stream_q10_running_max_restarted": _GAP_MAX,
+    "stream_gap_totals": _TOTALS,
+    "stream_run_time": "SELECT 'connected' AS query, count(*) AS input_rows, true AS timed FROM calls",
 }
 
 

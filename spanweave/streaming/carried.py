@@ -2,17 +2,21 @@
 
 The batch operators run inside ``foreachBatch`` on each micro-batch and on what the batches
 before it left behind: per key, the value a look-back would find there. Everything stays in
-the JVM and hot keys are split as in batch. Each batch writes its result and its carry to
-folders named by its number and reads the carry of the batch before, so a batch that is run
-again after a failure overwrites its own output and nothing else.
+the JVM and hot keys are split as in batch. What is left behind lies in hash buckets
+(``BucketTable``): a micro-batch reads and rewrites the buckets of its own keys, so idle keys cost
+nothing, and it is itself read from the source once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanweave.functions.predicates import is_connected
 from spanweave.functions.times import millis
@@ -20,30 +24,48 @@ from spanweave.operators import gaps, sessions
 from spanweave.operators.keyed import DEFAULT_POLICY, HotKeyPolicy, carry_after
 from spanweave.schemas import to_zone_free
 from spanweave.session import new_folder
+from spanweave.streaming.buckets import BUCKETS, BucketTable
 from spanweave.streaming.run import finish, start_query
 
 Step = Callable[[DataFrame, "DataFrame | None"], "tuple[DataFrame, DataFrame | None]"]
 
 
 def run_carried(
-    stream: DataFrame, step: Step, *, carries: bool = True, folder: str | None = None, timeout_s: float | None = None
+    stream: DataFrame,
+    step: Step,
+    *,
+    carries: bool = True,
+    folder: str | None = None,
+    timeout_s: float | None = None,
+    buckets: int = BUCKETS,
+    sweep_after: int = 16,
 ) -> DataFrame:
     """Run ``step(batch, carry) -> (result, next carry)`` over the stream to its end.
 
-    The carry is None in the first batch, and always with ``carries=False``. Two carry
-    folders alternate; the one a failed batch must read is never the one it writes. Give the
-    same ``folder`` again to go on with what has arrived since.
+    The carry holds the buckets that the batch's keys (``step.key``; without one there is a single
+    bucket) fall into; it is None where nothing was carried, and always with ``carries=False``.
+    Where a step forgets (``step.forgets``), a bucket that ``sweep_after`` batches have not written is
+    handed over as well. Give the same ``folder`` again to go on with what has arrived since.
     """
     spark = stream.sparkSession
     folder = folder or new_folder(spark, "carried")
+    table = carry_table(spark, folder, step, buckets)
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        carry = session.read.parquet(f"{folder}/carry-{(number - 1) % 2}") if carries and number else None
-        result, following = step(to_zone_free(batch), carry)
-        result.write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
-        if carries:
-            following.write.mode("overwrite").parquet(f"{folder}/carry-{number % 2}")
+        rows = to_zone_free(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if not carries:
+                step(rows, None)[0].write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
+                return
+            table.forget_replaced(number)
+            versions, touched = table.versions(number - 1), table.touched(rows)
+            if getattr(step, "forgets", False):
+                touched += [b for b, written in versions.items() if b not in touched and written <= number - sweep_after]
+            result, following = step(rows, table.read(versions, touched))
+            result.write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
+            table.replace(number, following, touched)
+        finally:
+            rows.unpersist()
 
     query = start_query(
         stream, "foreachBatch", batch_writer=one_batch, checkpoint=f"{folder}/checkpoint"
@@ -52,6 +74,16 @@ def run_carried(
     return spark.read.parquet(f"{folder}/result").drop("batch")
 
 
+def carry_table(spark: SparkSession, folder: str, step: Step, buckets: int = BUCKETS) -> BucketTable:
+    """What the batches run in ``folder`` have left behind."""
+    return BucketTable(spark, f"{folder}/carry", [step.key] if getattr(step, "key", None) else [], buckets)
+
+
+def _keyed(step: Step, key: str, keep_ms: int | None) -> Step:
+    step.key, step.forgets = key, keep_ms is not None
+    return step
+
+
 # With ``ttl_ms`` (or ``max_open_ms``) a step reports nothing longer and carries nothing on
 # that lies further back from the newest row, so that the carry does not grow for ever.
 # ``disorder_ms`` says how far rows of a later batch may lie before rows of an earlier one.
@@ -68,7 +100,7 @@ def running_max_step(
         ends = carry_after(rows, "caller", gaps.BY_START, F.col("end_ts"), latest=False, seed=carry)
         return out, _recent(ends, "carried", rows, "start_ts", ttl_ms, disorder_ms)
 
-    return step
+    return _keyed(step, "caller", ttl_ms)
 
 
 def lag_step(ttl_ms: int | None = None, disorder_ms: int = 0, policy: HotKeyPolicy | None = DEFAULT_POLICY) -> Step:
@@ -80,7 +112,7 @@ def lag_step(ttl_ms: int | None = None, disorder_ms: int = 0, policy: HotKeyPoli
         ends = carry_after(rows, "caller", gaps.BY_START, F.col("end_ts"), latest=True, seed=carry)
         return out, _recent(ends, "carried", rows, "start_ts", ttl_ms, disorder_ms)
 
-    return step
+    return _keyed(step, "caller", ttl_ms)
 
 
 def last_end_step(
@@ -93,7 +125,7 @@ def last_end_step(
         ends = carry_after(events, "caller", gaps.BY_EVENT, gaps.last_end_carry(), latest=False, seed=carry)
         return out, _recent(ends, "carried", events, "ts", ttl_ms, disorder_ms)
 
-    return step
+    return _keyed(step, "caller", ttl_ms)
 
 
 def adjacent_step(
@@ -107,7 +139,7 @@ def adjacent_step(
         last = carry_after(rows, "caller", gaps.BY_EVENT, F.struct("event_type", "ts"), latest=True, seed=carry)
         return out, _recent(last, "carried.ts", rows, "ts", ttl_ms, disorder_ms)
 
-    return step
+    return _keyed(step, "caller", ttl_ms)
 
 
 def pattern_step(
@@ -121,7 +153,7 @@ def pattern_step(
         last = carry_after(rows, "caller", gaps.BY_START, F.struct("end_ts", "disposition"), latest=True, seed=carry)
         return out, _recent(last, "carried.end_ts", rows, "start_ts", ttl_ms, disorder_ms)
 
-    return step
+    return _keyed(step, "caller", ttl_ms)
 
 
 def pair_step(
@@ -140,7 +172,7 @@ def pair_step(
         opened = sessions.open_spans(events, from_start=from_start, seed=carry)
         return out, _recent(opened, "carried.ts", events, "ts", max_open_ms, disorder_ms)
 
-    return step
+    return _keyed(step, "unique_id", max_open_ms)
 
 
 def _recent(
@@ -166,3 +198,49 @@ def rebuild_partials(stream: DataFrame, keys: list[str], *, folder: str | None =
 
     partials = run_carried(stream, step, carries=False, folder=folder)
     return partials.groupBy(*keys).agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+
+
+def rebuild_updating(stream: DataFrame, keys: list[str], *, folder: str, buckets: int = BUCKETS) -> DataFrame:
+    """First and last event per key, corrected while the stream runs.
+
+    An aggregation in update mode hands on the keys that changed, and each batch puts them into
+    a keyed table in place of their former rows: between batches readers see one row per key, and a
+    repeated batch changes nothing. The aggregation's state keeps every key, as results may change until the stream ends.
+    """
+    table = BucketTable(stream.sparkSession, f"{folder}/table", keys, buckets)
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        table.forget_replaced(number)
+        rows = to_zone_free(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        touched = table.touched(rows)
+        held = table.read(table.versions(number - 1), touched)
+        if held is not None:
+            same = [F.col(f"held.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys]
+            kept = held.alias("held").join(rows.alias("new"), reduce(and_, same), "left_anti")
+            table.replace(number, kept.unionByName(rows), touched)
+        else:
+            table.replace(number, rows, touched)
+        rows.unpersist()
+
+    changed = sessions.rebuild_spans(stream, keys)
+    query = start_query(changed, "foreachBatch", batch_writer=upsert, checkpoint=f"{folder}/checkpoint", output_mode="update")
+    finish(query)
+    found = table.current()
+    return stream.sparkSession.createDataFrame([], to_zone_free(changed).schema) if found is None else found
+
+
+def totals_per_key(table: str, schema: StructType, key: str, value: str, *, folder: str) -> DataFrame:
+    """Count and sum of ``value`` per key over a table that a stream writes, sorted within the stream.
+
+    Complete mode hands on the whole sorted result with every batch; the last one is returned. The
+    result has a row per key, so it is for reports.
+    """
+    spark = SparkSession.active()
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(table)
+    totals = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).orderBy(F.desc("total"), key)
+
+    def one_batch(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/totals")
+
+    finish(start_query(totals, "foreachBatch", batch_writer=one_batch, checkpoint=f"{folder}/checkpoint", output_mode="complete"))
+    return spark.read.schema(totals.schema).parquet(f"{folder}/totals")

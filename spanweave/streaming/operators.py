@@ -206,3 +206,17 @@ def _pairs(events: DataFrame, delay: str, buckets: int, processor: PairProcessor
 
 def _instant(ms: str) -> Column:
     return F.timestamp_millis(F.col(ms))
+
+
+def admitted(rows: DataFrame, *, key: list[str], event_time: str, delay: str) -> DataFrame:
+    """The rows that a keyed operator with this watermark would admit, one per key.
+
+    A row that is not among them came after the watermark; the rows that came late are the input
+    without these, see ``late_table``.
+    """
+    return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([*key, event_time]).select(*key, event_time)
+
+
+def late_table(arrived: DataFrame, taken: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of a table that the stream over it did not take: a table of late rows, to be fed again."""
+    return arrived.join(taken.select(*key), key, "left_anti")

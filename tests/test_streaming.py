@@ -133,9 +133,10 @@ def test_carry_with_a_limit_does_not_grow(spark, tmp_path):
     frames = [calls_df(spark, [(n, n, n + 1, f"c{n}") for n in range(9)]), calls_df(spark, [(20, 12, 13, "c8"), (21, 20, 21, "c8")])]
     source, folder = Source(spark, tmp_path, frames), new_folder(spark, "limit")
     step = carried.running_max_step(ttl_ms=4000)
-    assert found(carried.run_carried(source.read(), step, folder=folder)) == [("c8", 9, 12)]
-    assert [r.caller for r in spark.read.parquet(f"{folder}/carry-1").collect()] == ["c8"]
-    assert spark.read.parquet(f"{folder}/carry-0").count() == 6
+    assert found(carried.run_carried(source.read(), step, folder=folder, sweep_after=1)) == [("c8", 9, 12)]
+    table = carried.carry_table(spark, folder, step)
+    assert [r.caller for r in table.current().collect()] == ["c8"]
+    assert table.read(table.versions(0)).count() == 6
 
 
 def test_carried_open_spans_are_forgotten(spark, tmp_path):
