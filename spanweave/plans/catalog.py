@@ -88,8 +88,8 @@ def q2_overlap(spark, folder):
 
 @_query
 def q2_overlap_sql(spark, folder):
-    """The same question as SQL text over registered views."""
-    sql_text.offer(spark, derived.calls(spark, folder), derived.towers(spark, folder))
+    """The same question as SQL text over a registered view."""
+    sql_text.offer_overlaps(spark, derived.calls(spark, folder), derived.towers(spark, folder))
     return spark.sql(sql_text.PARTIAL_OVERLAP)
 
 
@@ -144,7 +144,7 @@ def q10_gap_seconds(spark, folder):
 @_query
 def q10_gap_sql(spark, folder):
     """The same question as SQL text over a registered view."""
-    sql_text.offer(spark, derived.calls(spark, folder))
+    sql_text.offer_gaps(spark, derived.calls(spark, folder))
     return spark.sql(sql_text.CONSECUTIVE_GAP)
 
 

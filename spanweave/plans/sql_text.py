@@ -1,8 +1,7 @@
 """The two batch questions in SQL, for sessions that work in SQL.
 
-``offer`` registers views of the spans and, as temporary SQL functions, the library's span
-predicates; the statements below use both. The look-back is offered as a view, so that a
-hot caller is split in SQL, too.
+The results of the operators are offered as views, so SQL gets the same predicates and the same
+treatment of hot ids and callers; calls and towers can be offered beside them for queries of one's own.
 """
 
 from __future__ import annotations
@@ -10,19 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanweave.operators.gaps import gap_lag
-
-_SPANS = "a_from TIMESTAMP_NTZ, a_to TIMESTAMP_NTZ, b_from TIMESTAMP_NTZ, b_to TIMESTAMP_NTZ"
-_FUNCTIONS = {
-    "spans_overlap": "a_from < b_to AND b_from < a_to",
-    "span_sticks_out": "a_from < b_from OR a_to > b_to",
-}
+from spanweave.operators.overlap import partial_overlap
 
 PARTIAL_OVERLAP = """
-SELECT c.unique_id, c.caller, t.tower, c.start_ts AS call_start, c.end_ts AS call_end,
-       t.start_ts AS tower_start, t.end_ts AS tower_end
-FROM spanweave_calls c JOIN spanweave_towers t ON c.unique_id = t.unique_id
-WHERE spans_overlap(t.start_ts, t.end_ts, c.start_ts, c.end_ts)
-  AND span_sticks_out(t.start_ts, t.end_ts, c.start_ts, c.end_ts)
+SELECT unique_id, caller, tower, call_start, call_end, tower_start, tower_end FROM spanweave_overlaps
 """
 
 CONSECUTIVE_GAP = """
@@ -31,11 +21,17 @@ FROM spanweave_gaps ORDER BY caller, start_ts
 """
 
 
-def offer(spark: SparkSession, calls: DataFrame, towers: DataFrame | None = None) -> None:
-    """Make the views ``spanweave_calls``, ``spanweave_towers``, ``spanweave_gaps`` and the predicates known."""
+def offer_spans(spark: SparkSession, calls: DataFrame, towers: DataFrame) -> None:
+    """Make the views ``spanweave_calls`` and ``spanweave_towers`` known."""
     calls.createOrReplaceTempView("spanweave_calls")
-    gap_lag(calls).createOrReplaceTempView("spanweave_gaps")
-    if towers is not None:
-        towers.createOrReplaceTempView("spanweave_towers")
-    for name, body in _FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({_SPANS}) RETURNS BOOLEAN RETURN {body}")
+    towers.createOrReplaceTempView("spanweave_towers")
+
+
+def offer_overlaps(spark: SparkSession, calls: DataFrame, towers: DataFrame, **options) -> None:
+    """Make the view ``spanweave_overlaps`` known, with the options of ``partial_overlap``."""
+    partial_overlap(calls, towers, **options).createOrReplaceTempView("spanweave_overlaps")
+
+
+def offer_gaps(spark: SparkSession, calls: DataFrame, **options) -> None:
+    """Make the view ``spanweave_gaps`` known, with the options of ``gap_lag``."""
+    gap_lag(calls, **options).createOrReplaceTempView("spanweave_gaps")

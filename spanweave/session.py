@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import AbstractContextManager, contextmanager
@@ -38,14 +37,12 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a temporary folder of this machine.
+    The cluster names it in ``spark.checkpoint.dir``. A session without that setting uses a folder
+    below its warehouse, which executors reach as well, wherever the session runs.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="spanweave-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/spanweave-{uuid.uuid4().hex}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

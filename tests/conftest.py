@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -21,6 +22,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spanweave-tests-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")

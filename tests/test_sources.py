@@ -82,7 +82,9 @@ def test_refresh_replaces_everything(spark, tmp_path):
 def test_views_and_sql(spark):
     calls = calls_df(spark, [(1, 0, 10), (2, 12, 20)])
     towers = towers_df(spark, [(1, "T1", 5, 11), (2, "T2", 13, 14)])
-    sql_text.offer(spark, calls, towers)
+    sql_text.offer_spans(spark, calls, towers)
+    sql_text.offer_overlaps(spark, calls, towers)
+    sql_text.offer_gaps(spark, calls)
     tables.register_views(spark, calls, towers)
     assert [r.tower for r in spark.sql(sql_text.PARTIAL_OVERLAP).collect()] == ["T1"]
     assert spark.sql(sql_text.CONSECUTIVE_GAP).first().gap_ms == 2000
