@@ -11,15 +11,22 @@ The number of bands follows the threshold: a pair at the threshold is missed wit
 probability ``MISS``. The bitmap test leaves five standard deviations of room.
 
 Large buckets: documents with equal sets are one class from the start. In a bucket each class
-is first compared with one leader; one of ``LEADERS`` hashes draws it, so a class of a large group
-meets several; confirmed links give components. Buckets that still hold several components go on: first
-with the member that shares most of its shingles as leader, then the classes outside the bucket's largest
-component are compared with all others of other components. A bucket whose members are
-linked thus costs a few comparisons per member, and no link between components is lost.
+is first compared with one leader, the class that meets the most others over all its buckets, so a large group
+has few leaders; confirmed links give components. Buckets that still hold several components go on with the
+member that shares most of its shingles as their centre, and each class outside the centre's component is compared with it.
+
+What is left is never compared all with all. Per centre, a shingle counts as usual if more than half of its
+classes have it; let D be the shingles in which a class differs from the usual ones. Two classes differ in
+|D_x| + |D_y| - 2 |D_x and D_y| shingles, and a link allows K (n_x + n_y), K = (1 - t) / (1 + t). With the excess
+e = |D| - K n of a class, a pair with e_x + e_y <= 0 needs no common deviation, but then both link to the class of least
+excess, and meet only that. Every other link needs (e_x + e_y) / 2 common deviations. So classes meet on
+deviations that another class of the centre shares, rarest first, each on only as many as it cannot do
+without (a prefix filter), and only where both have enough of them left; a class with too few shared
+deviations meets nobody. No link between components is lost.
 
 Defined cases: a null or empty text, or one without words, has an empty set, links with
 nothing and is kept; fewer than k words make one shingle; rows of the same id are one
-document whose text is the smallest; an empty table gives no rows; further columns are ignored.
+document whose text is the smallest; rows without an id are left out; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.llm.components import components
@@ -39,7 +46,6 @@ from spanweave.llm.textscan import LOWER, U64, mix, pieces, scan_words, shingle_
 BAND_ROWS = 5
 MISS = 1e-6
 BITMAP_BITS = 512
-LEADERS = 4
 
 
 def bands_for(threshold: float) -> int:
@@ -184,11 +190,80 @@ def _still_mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(largest.select("bucket", F.col("top.component").alias("main")), "bucket")
 
 
+def _one_per_id(docs: DataFrame) -> DataFrame:
+    """Rows with an id, and of several rows of one id the one with the smallest text."""
+    docs = docs.where(F.col("id").isNotNull())
+    repeated = keep(docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "odd-repeated")
+    if repeated.isEmpty():
+        return docs
+    once = docs.join(repeated.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return docs.join(repeated.hint("merge"), "id", "left_anti").unionByName(once)
+
+
+def _deviations(of: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(centre, id, n, item) for classes (centre, id): the shingles that only one of the two has."""
+    kind = of.schema["id"].dataType.simpleString()
+
+    def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                own = [h[f[d] : f[d + 1]] for _, n, h, f in _sets(some.column(2), k) for d in range(n)]
+                centre = [h[f[d] : f[d + 1]] for _, n, h, f in _sets(some.column(3), k) for d in range(n)]
+                items = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(own, centre)]
+                rows = pa.array(np.repeat(np.arange(len(items)), [len(i) for i in items]))
+                sizes = pa.array(np.array([len(x) for x in own], np.int64)).take(rows)
+                found = pa.array(np.concatenate(items).view(np.int64)) if items else pa.array([], pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(rows), some.column(1).take(rows), sizes, found], ["centre", "id", "n", "item"])
+
+    x = texts.select("id", F.col("text").alias("own"))
+    c = texts.select(F.col("id").alias("centre"), F.col("text").alias("other"))
+    both = of.join(x, "id").join(c, "centre").select("centre", "id", "own", "other")
+    return both.mapInArrow(ship(compute), f"centre {kind}, id {kind}, n bigint, item bigint").drop("n")
+
+
+def _from_the_usual(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Deviations (centre, id, item) from the centre turned into those from what more than half of its classes have.
+
+    Where more than half deviate, the others do instead; so there are never more rows than before.
+    """
+    size = members.groupBy("centre").agg(F.count(F.lit(1)).alias("size"))
+    often = rows.groupBy("centre", "item").agg(F.count(F.lit(1)).alias("df")).join(size, "centre")
+    often = keep(often.where("2 * df > size").select("centre", "item"), "odd-usual")
+    others = members.select("centre", "id").join(often, "centre").join(rows, ["centre", "id", "item"], "left_anti")
+    return rows.join(often, ["centre", "item"], "left_anti").unionByName(others.select(*rows.columns))
+
+
+def _meet_on_deviations(members: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Pairs (a, b) of classes (centre, id, n, component) that may link, see the head of this module."""
+    allowed = (1 - threshold) / (1 + threshold)
+    rows = keep(_from_the_usual(keep(_deviations(members.select("centre", "id"), texts, k), "odd-deviations"), members), "odd-deviations")
+    counts = rows.groupBy("centre", "id").agg(F.count(F.lit(1)).alias("d"))
+    sized = members.join(counts, ["centre", "id"], "left").withColumn("excess", F.coalesce("d", F.lit(0)) - allowed * F.col("n")).drop("d", "n")
+    least = sized.groupBy("centre").agg(F.min(F.struct("excess", "id", "component")).alias("least"))
+    sized = keep(sized.join(least, "centre"), "odd-excess")
+    apart = F.col("component") != F.col("least.component")
+    usual = sized.where(apart & (F.col("excess") + F.col("least.excess") <= 1e-9))
+    usual = usual.select(F.least("id", "least.id").alias("a"), F.greatest("id", "least.id").alias("b"))
+
+    shared = rows.groupBy("centre", "item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("centre", "id")
+    held = rows.join(shared, ["centre", "item"]).withColumn("place", F.row_number().over(own.orderBy("df", "item"))).withColumn("common", F.count(F.lit(1)).over(own))
+    held = held.join(sized, ["centre", "id"])
+    needed = F.greatest(F.ceil((F.col("excess") + F.col("least.excess")) / 2 - 1e-9), F.lit(1))
+    prefix = held.where(F.col("place") <= F.col("common") - needed + 1).withColumn("left", F.col("common") - F.col("place") + 1)
+    side = F.struct("id", "component", "excess", "left").alias
+    pairs = prefix.select("centre", "item", side("x")).join(prefix.select("centre", "item", side("y")), ["centre", "item"])
+    enough = F.least("x.left", "y.left") >= (F.col("x.excess") + F.col("y.excess")) / 2 - 1e-9
+    pairs = pairs.where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & enough)
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(usual).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id reachable over links, one row per id."""
     bands = bands_for(threshold)
     limit = bitmap_limit(threshold, bands * BAND_ROWS)
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = _one_per_id(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     made = keep(features(docs, "id", "text", k, bands), "odd-features")
     filled = made.where("n_shingles > 0")
     classes = filled.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -196,8 +271,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     band = F.posexplode("bands").alias("band", "value")
     placed = leading.select("id", band).select("id", F.xxhash64("band", "value").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min_by("id", F.xxhash64("id", F.pmod("bucket", F.lit(LEADERS)))).alias("leader")).where("members > 1")
-    buckets = keep(placed.join(shared.drop("members"), "bucket"), "odd-buckets")
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = keep(placed.join(shared, "bucket"), "odd-buckets")
+    meets = buckets.groupBy("id").agg(F.sum("members").alias("meets"))
+    ranked = buckets.select("bucket", "id").join(meets, "id")
+    leaders = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("meets", F.xxhash64("id"), "id")).alias("leader"))
+    buckets = buckets.select("bucket", "id").join(leaders, "bucket")
     met = buckets.select("id").distinct()
     known = keep(leading.join(met, "id", "left_semi").select("id", "n_shingles", "bitmap"), "odd-classes")
     # The ids grow with the input; the hint keeps one plan at every size.
@@ -221,15 +300,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # Again one leader for each bucket, now the member that shares most: it links to the most others.
     placed = _still_mixed(members, parts)
-    centre = placed.groupBy("bucket").agg(F.max_by(side, F.struct(F.col("shared") / F.col("n_shingles"), F.xxhash64("id"))).alias("y"))
+    centre = keep(placed.groupBy("bucket").agg(F.max_by(side, F.struct(F.col("shared") / F.col("n_shingles"), F.xxhash64("id"), "id")).alias("y")), "odd-centres")
     second = keep(placed.select("bucket", side.alias("x")).join(centre, "bucket").where(cross).select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "odd-second")
     parts = keep(_extended(parts, keep(_confirm(second, texts, threshold, k), "odd-links")), "odd-parts")
 
-    placed = keep(_still_mixed(members, parts), "odd-mixed")
-    one = placed.where("component <> main").select("bucket", side.alias("x"))
-    other = placed.select("bucket", (F.col("component") != F.col("main")).alias("small"), side.alias("y"))
-    rest = one.join(other, "bucket").where(cross & (~F.col("small") | (F.col("x.id") < F.col("y.id")))).select(*pair).distinct()
+    left = _still_mixed(members.select("bucket", "id", F.col("n_shingles").alias("n")), parts).join(centre.select("bucket", F.col("y.id").alias("centre")), "bucket")
+    rest = _meet_on_deviations(keep(left.select("centre", "id", "n", "component").distinct(), "odd-left"), texts, threshold, k)
     rest = rest.join(first.unionByName(second), ["a", "b"], "left_anti")
+    x, y = known.select(F.col("id").alias("a"), F.struct("n_shingles", "bitmap").alias("x")), known.select(F.col("id").alias("b"), F.struct("n_shingles", "bitmap").alias("y"))
+    rest = keep(rest.join(x, "a").join(y, "b").where(_may_link("x", "y", threshold, limit)).select("a", "b"), "odd-rest")
     final = _extended(parts, keep(_confirm(rest, texts, threshold, k), "odd-links")).select(F.col("node").alias("rep"), "component")
     named = classes.join(final, "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
     return (
