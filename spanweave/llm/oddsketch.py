@@ -12,8 +12,8 @@ probability ``MISS``. The bitmap test leaves five standard deviations of room.
 
 Large buckets: documents with equal sets are one class from the start. In a bucket each class
 is first compared with one leader, the class that meets the most others over all its buckets, so a large group
-has few leaders; confirmed links give components. Buckets that still hold several components go on with the
-member that shares most of its shingles as their centre, and each class outside the centre's component is compared with it.
+has few leaders; confirmed links give components. Buckets that still hold several components go on, with their
+leader as the centre.
 
 What is left is never compared all with all. Per centre, a shingle counts as usual if more than half of its
 classes have it; let D be the shingles in which a class differs from the usual ones. Two classes differ in
@@ -119,21 +119,6 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) ->
     return docs.select(id_col, text_col).mapInArrow(ship(compute), f"id {kind}, n_shingles bigint, same string, bands array<bigint>, bitmap array<bigint>")
 
 
-def _unshared(texts: DataFrame, k: int) -> DataFrame:
-    """(id, unshared): how many shingles of each text no other one of these texts has."""
-    kind = texts.schema["id"].dataType.simpleString()
-
-    def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, n, hashes, first in _sets(batch.column(1), k):
-                of = np.repeat(np.arange(row, row + n), np.diff(first))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(hashes.view(np.int64))], ["id", "shingle"])
-
-    rows = texts.select("id", "text").mapInArrow(ship(explode), f"id {kind}, shingle bigint")
-    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
-    return single.groupBy("id").agg(F.count(F.lit(1)).alias("unshared"))
-
-
 def _similar(threshold: float, k: int):
     """Keeps the pairs (a, b, text_a, text_b) whose full sets are similar enough."""
     percent = round(100 * threshold)
@@ -182,12 +167,11 @@ def _extended(parts: DataFrame, links: DataFrame) -> DataFrame:
     return parts.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(alone)
 
 
-def _still_mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members (bucket, id, ...) of buckets with several components, with component and ``main``, the largest one."""
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return placed.join(largest.select("bucket", F.col("top.component").alias("main")), "bucket")
+def _still_mixed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members (bucket, leader, id, component) of buckets with several components."""
+    placed = buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return placed.join(several.select("bucket"), "bucket")
 
 
 def _one_per_id(docs: DataFrame) -> DataFrame:
@@ -276,7 +260,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     meets = buckets.groupBy("id").agg(F.sum("members").alias("meets"))
     ranked = buckets.select("bucket", "id").join(meets, "id")
     leaders = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("meets", F.xxhash64("id"), "id")).alias("leader"))
-    buckets = buckets.select("bucket", "id").join(leaders, "bucket")
+    buckets = keep(buckets.select("bucket", "id").join(leaders, "bucket"), "odd-led")
     met = buckets.select("id").distinct()
     known = keep(leading.join(met, "id", "left_semi").select("id", "n_shingles", "bitmap"), "odd-classes")
     # The ids grow with the input; the hint keeps one plan at every size.
@@ -288,27 +272,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = keep(_confirm(first, texts, threshold, k), "odd-links")
 
     parts = keep(components(links), "odd-parts")
-    mixed = keep(_still_mixed(buckets.select("bucket", "id"), parts), "odd-mixed")
-    ids = mixed.select("id").distinct()
-    shared = known.join(ids, "id").join(_unshared(texts.join(ids, "id"), k), "id", "left")
-    shared = shared.withColumn("shared", F.col("n_shingles") - F.coalesce("unshared", F.lit(0))).where(F.col("shared") >= F.lit(threshold - 1e-9) * F.col("n_shingles"))
-    members = keep(mixed.select("bucket", "id").join(shared.drop("unshared"), "id"), "odd-shared")
-    side = F.struct("id", "component", "n_shingles", "bitmap", "shared")
-    enough = F.least("x.shared", "y.shared") >= F.lit(threshold / (1 + threshold) - 1e-9) * (F.col("x.n_shingles") + F.col("y.n_shingles"))
-    cross = (F.col("x.component") != F.col("y.component")) & enough & _may_link("x", "y", threshold, limit)
-    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
-
-    # Again one leader for each bucket, now the member that shares most: it links to the most others.
-    placed = _still_mixed(members, parts)
-    centre = keep(placed.groupBy("bucket").agg(F.max_by(side, F.struct(F.col("shared") / F.col("n_shingles"), F.xxhash64("id"), "id")).alias("y")), "odd-centres")
-    second = keep(placed.select("bucket", side.alias("x")).join(centre, "bucket").where(cross).select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "odd-second")
-    parts = keep(_extended(parts, keep(_confirm(second, texts, threshold, k), "odd-links")), "odd-parts")
-
-    left = _still_mixed(members.select("bucket", "id", F.col("n_shingles").alias("n")), parts).join(centre.select("bucket", F.col("y.id").alias("centre")), "bucket")
-    rest = _meet_on_deviations(keep(left.select("centre", "id", "n", "component").distinct(), "odd-left"), texts, threshold, k)
-    rest = rest.join(first.unionByName(second), ["a", "b"], "left_anti")
-    x, y = known.select(F.col("id").alias("a"), F.struct("n_shingles", "bitmap").alias("x")), known.select(F.col("id").alias("b"), F.struct("n_shingles", "bitmap").alias("y"))
-    rest = keep(rest.join(x, "a").join(y, "b").where(_may_link("x", "y", threshold, limit)).select("a", "b"), "odd-rest")
+    mixed = _still_mixed(buckets, parts).select(F.col("leader").alias("centre"), "id", "component").distinct()
+    mixed = keep(mixed.join(known.select("id", F.col("n_shingles").alias("n")), "id"), "odd-mixed")
+    rest = _meet_on_deviations(mixed, texts, threshold, k).join(first, ["a", "b"], "left_anti")
+    rest = keep(rest.join(left, "a").join(right, "b").where(_may_link("x", "y", threshold, limit)).select("a", "b"), "odd-rest")
     final = _extended(parts, keep(_confirm(rest, texts, threshold, k), "odd-links")).select(F.col("node").alias("rep"), "component")
     named = classes.join(final, "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
     return (
