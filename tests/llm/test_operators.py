@@ -421,7 +421,72 @@ def test_dual_keeps_the_mean_of_a_feature(spark):
     sizes = spark.createDataFrame(rows, "sid long, size long, big double")
     total = sum(s for _, s, _ in rows)
     sources = spark.createDataFrame([(0, total, 1.3 * total)], "sid long, source_size long, target double")
-    lam = balance.solve_dual(sizes, sources, ["big"]).first().lam
+    lam = balance.solve_dual(sizes, sources, [balance.Aim("big", 0.0)]).first().lam
     rates = [np.exp(lam[0] + lam[1] * b) for _, _, b in rows]
     assert sum(r * s for r, (_, s, _) in zip(rates, rows)) == pytest.approx(1.3 * total)
     assert sum(r * s * b for r, (_, s, b) in zip(rates, rows)) == pytest.approx(1.3 * sum(s * b for _, s, b in rows))
+
+
+def _bisect(rises, low, high):
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if rises(middle) < 0 else (low, middle)
+    return (low + high) / 2
+
+
+def _tilted(size, v, target, mean, most=2.0):
+    """Rates min(most, exp(a + b v)) that meet the target and the mean, by nested bisection."""
+    rate = lambda a, b: np.minimum(most, np.exp(np.minimum(a + b * v, 50)))
+    a_of = lambda b: _bisect(lambda a: (size * rate(a, b)).sum() - target, -400, 400)
+    b = _bisect(lambda b: (size * v * rate(a_of(b), b)).sum() / target - mean, -20, 20)
+    return rate(a_of(b), b)
+
+
+def _extreme(size, v, target, order, most=2.0):
+    """The mean of ``v`` if the target is filled up in this order."""
+    room, total = target, 0.0
+    for i in order:
+        used = min(room, most * size[i])
+        room, total = room - used, total + used * v[i]
+    return total / target
+
+
+def test_rates_equal_a_bisected_dual_and_differ_within_a_source(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, int(n)) for s, (mid, many) in {"a": (5, 400), "b": (4.5, 300), "c": (5.5, 200), "d": (6, 100)}.items() for n in rng.lognormal(mid, 1, many)]
+    frame = spark.createDataFrame([(i, s, " ".join(["w"] * n)) for i, (s, n) in enumerate(rows)], "doc_id long, source string, text string")
+    got = balance.mix_sources(frame).select("_row.source", "size", "target", "rate", "copies").collect()
+    every = np.array([r.size for r in got], float)
+    classes = np.floor(np.log2(every + 1))
+    corpus, differ = (every * classes).sum() / every.sum(), 0
+    for source in "abcd":
+        own = [n for n, r in enumerate(got) if r.source == source]
+        size, v, target, rates = every[own], classes[own], got[own[0]].target, np.array([got[n].rate for n in own])
+        mean = (size * v).sum() / size.sum()
+        low, high = (mean + balance.REACH * (_extreme(size, v, target, o) - mean) for o in (np.argsort(v), np.argsort(-v)))
+        wanted = min(max(corpus, low), high)
+        assert (size * rates).sum() == pytest.approx(target, rel=1e-6)
+        assert (size * v * rates).sum() / target == pytest.approx(wanted, rel=1e-6)
+        if target < 2 * size.sum():
+            filled = size > 0
+            assert np.allclose(rates[filled], _tilted(size, v, target, wanted)[filled], rtol=1e-4, atol=1e-6)
+        differ += len(set(np.round(rates, 6))) > 1
+    assert differ >= 2
+
+
+def test_copies_do_not_depend_on_the_order_of_rows_with_equal_or_no_ids(spark):
+    rows = [(None if n % 3 else 7, "s" if n % 2 else None, " ".join(["w"] * (n % 40)) + f" t{n}", {"n": n}) for n in range(3000)]
+    shape = "doc_id long, source string, text string, extra map<string,int>"
+    seen = []
+    for some in (rows, rows[::-1]):
+        mixed = balance.mix_sources(spark.createDataFrame(some, shape).repartition(3), block_rows=100)
+        seen.append(Counter((r._row.text, r.copies) for r in mixed.collect()))
+    assert seen[0] == seen[1] and sum(seen[0].values()) == len(rows)
+
+
+def test_an_aim_that_cannot_be_met_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(balance, "NEWTON_STEPS", 2)
+    sizes = spark.createDataFrame([(0, s, float(s % 7)) for s in range(1, 101)] + [(1, 5000, 60.0)], "sid long, size long, v double")
+    sources = spark.createDataFrame([(0, 5050, 3000.0), (1, 5000, 5000.0)], "sid long, source_size long, target double")
+    with pytest.raises(ArithmeticError, match="source number 0"):
+        balance.solve_dual(sizes, sources, [balance.Aim("v", 0.9)])
