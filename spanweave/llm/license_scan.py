@@ -8,19 +8,22 @@ found in it, in a stretch not much longer than the template. A hit counts only i
 the template's words, so a clash of hashes cannot vote.
 
 Phrases (``BASE``) must stand exactly: every run on one and the same diagonal. Notices (``NOTICES``)
-may differ in some words.
+may differ in some words. Templates are of any length: the words that a diagonal's votes cover are bits
+in as many longs as the longest template needs. A template of one word has no run and is looked up by that word.
 
 The join is a broadcast of the templates' runs, a fixed list; only hits are shuffled, by
 text. Rows of equal id and text have equal hits, which are counted once.
 
 Defined cases: null and empty texts have no words and no spans; rows of the same id and text
 give the same result each; overlapping places of a phrase all count; an empty table gives no
-rows; further columns are ignored.
+rows; further columns are ignored; a template without a word is an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,45 +51,67 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _split(text: Column) -> Column:
+    """The words of a text, in lower case."""
+    return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), SEPARATORS), "")
+
+
+def _lengths(*listed: dict[str, str]) -> list[int]:
+    lengths = [len([w for w in re.split(SEPARATORS, text) if w]) for texts in listed for text in texts]
+    if not all(lengths):
+        raise ValueError("a template without a word")
+    return lengths
+
+
 def templates(spark: SparkSession, base: dict[str, str], notices: dict[str, str]) -> DataFrame:
     """One row per run of each template: number, position, words, the template's length, label, exact, hash."""
-    names = ("nth", "t", "w0", "w1", "n_template", "label", "exact")
-    rows = [
-        F.struct(*[F.lit(v).alias(c) for c, v in zip(names, (n, at, w[at], w[at + 1], len(w), label, exact))])
-        for exact, listed in ((True, base), (False, notices))
-        for n, (text, label) in enumerate(listed.items())
-        for w in [text.split(" ")]
-        for at in range(len(w) - K + 1)
+    listed = [
+        F.struct(F.lit(n).alias("nth"), F.lit(text).alias("text"), F.lit(label).alias("label"), F.lit(exact).alias("exact"))
+        for exact, texts in ((True, base), (False, notices))
+        for n, (text, label) in enumerate(texts.items())
     ]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("row")).select("row.*", F.xxhash64("row.w0", "row.w1").alias("run"))
+    none = "array<struct<nth:int,text:string,label:string,exact:boolean>>"
+    each = spark.range(1).select(F.explode(F.array(*listed).cast(none)).alias("row")).select("row.*")
+    each = each.withColumn("words", _split(F.col("text"))).withColumn("n_template", F.size("words"))
+    each = each.select("nth", "label", "exact", "n_template", "words", F.posexplode("words").alias("t", "w0"))
+    runs = each.withColumn("w1", F.get("words", F.col("t") + K - 1)).where("w1 is not null or n_template = 1").drop("words")
+    return runs.withColumn("run", F.xxhash64("w0", "w1"))
 
 
 def words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
-    split = F.array_remove(F.split(lower, SEPARATORS), "")
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), split.alias("words"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), _split(text).alias("words"))
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> DataFrame:
     """Verified spans: id, th (hash of the text), label, exact, start, length (in words), score."""
+    lengths = _lengths(base, notices)
     known = F.broadcast(templates(docs.sparkSession, base, notices))  # a fixed list
     # The array of words is made once for each text and read in place for each run.
     each = words(docs, id_col, text_col).select("id", "th", "words", F.posexplode_outer("words").alias("i", "word"))
-    after = F.get("words", F.col("i") + 1)
+    after = F.get("words", F.col("i") + K - 1)
     runs = each.select("id", "th", "i", "word", after.alias("next"), F.xxhash64("word", after).alias("run"))
-    hits = runs.join(known, "run").where((F.col("word") == F.col("w0")) & (F.col("next") == F.col("w1")))
+    same = (F.col("word") == F.col("w0")) & ((F.col("next") == F.col("w1")) | (F.col("n_template") == 1))
+    hits = runs.join(known.where("n_template > 1"), "run").where(same)
+    if 1 in lengths:
+        single = known.where("n_template = 1").drop("run")
+        hits = hits.unionByName(runs.join(single, F.col("word") == F.col("w0")).select(*hits.columns))
     hits = hits.select("id", "th", "exact", "nth", "label", "n_template", "t", F.col("i").cast("long").alias("i"))
+    # A run covers its word and the next one; the bits of template words 64 n to 64 n + 63 make up long n.
+    longs = [f"covered{n}" for n in range(-(-max(lengths, default=0) // 64))]
+    bit = lambda n, at: F.when(F.floor(at / 64) == n, F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).otherwise(F.lit(0).cast("long"))
+    last = F.col("t") + F.least(F.lit(K), F.col("n_template")) - 1
+    covers = [F.bit_or(bit(n, F.col("t")).bitwiseOR(bit(n, last))).alias(c) for n, c in enumerate(longs)]
     diagonal = hits.groupBy("id", "th", "exact", "nth", "label", "n_template", (F.col("i") - F.col("t")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(bigint(1), t)")).alias("votes"), F.min("i").alias("low"), F.max("i").alias("high")
+        *covers, F.min("i").alias("low"), F.max("i").alias("high")
     )
     order = Window.partitionBy("id", "th", "exact", "nth").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOURS, F.lit(True)) | F.col("exact")
     merged = diagonal.withColumn("part", F.sum(far.cast("int")).over(order)).groupBy("id", "th", "exact", "nth", "label", "n_template", "part").agg(
-        F.bit_or("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high")
+        *[F.bit_or(c).alias(c) for c in longs], F.min("low").alias("low"), F.max("high").alias("high")
     )
-    # A run covers its word and the next one.
-    covered = F.bit_count(F.expr("votes | shiftleft(votes, 1)"))
-    length = F.col("high") - F.col("low") + K
+    covered = sum((F.bit_count(c) for c in longs), F.lit(0))
+    length = F.col("high") - F.col("low") + F.least(F.lit(K), F.col("n_template"))
     score = covered / F.greatest(F.col("n_template").cast("long"), F.when(F.col("exact"), length).otherwise(F.ceil(length / F.lit(STRETCH))))
     found = merged.select("id", "th", "label", "exact", F.col("low").alias("start"), length.alias("length"), score.cast("double").alias("score"))
     return found.where(F.when(F.col("exact"), F.col("score") == 1.0).otherwise(F.col("score") >= SIMILARITY))
