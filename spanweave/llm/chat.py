@@ -17,7 +17,8 @@ at a time is in memory, whatever the length of a conversation.
 Defined cases: a null text is the empty text, a null role the empty role; a null turn comes
 first; turns of equal number stay in the order of role and text; repeated rows are turns of their
 own; rows without a conversation id form one conversation; an empty table gives no rows;
-further columns are ignored.
+further columns are ignored. In parts: null elements and null lists add nothing; a null type is text; sizes that are
+null, negative, not a number or infinite count as 0 tokens; an unknown type is an error that names it.
 """
 
 from __future__ import annotations
@@ -62,6 +63,10 @@ class Flattened:
     tokens: int = 0
 
 
+def _size(value: float | None) -> float:
+    return value if value is not None and math.isfinite(value) and value > 0 else 0
+
+
 class PartVisitor:
     """Visits parts in order; each type has its own method, an unknown one is an error."""
 
@@ -90,19 +95,20 @@ class PartVisitor:
         self._add(PLACEHOLDERS[kind])
 
     def visit_image(self, part: dict) -> None:
-        self._attach(part, math.ceil((part.get("width") or 0) / PATCH) * math.ceil((part.get("height") or 0) / PATCH))
+        self._attach(part, math.ceil(_size(part.get("width")) / PATCH) * math.ceil(_size(part.get("height")) / PATCH))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach(part, math.ceil((part.get("seconds") or 0.0) * PER_SECOND))
+        self._attach(part, math.ceil(_size(part.get("seconds")) * PER_SECOND))
 
     def visit_document(self, part: dict) -> None:
-        self._attach(part, (part.get("pages") or 0) * PER_PAGE)
+        self._attach(part, _size(part.get("pages")) * PER_PAGE)
 
 
-def flatten(parts: list[dict]) -> Flattened:
+def flatten(parts: list[dict | None]) -> Flattened:
     visitor = PartVisitor()
     for part in parts:
-        visitor.visit(part)
+        if part is not None:
+            visitor.visit(part)
     return visitor.out
 
 

@@ -69,6 +69,37 @@ def test_license_places_equal_brute_force(spark):
     assert got[6].labels == "apache-2.0" and got[7].labels == "apache-2.0" and got[6].score == 1.0
 
 
+def _places(words, phrase):
+    return sum(words[i : i + len(phrase)] == phrase for i in range(len(words)))
+
+
+def test_phrases_of_one_word_and_of_hundreds(spark):
+    rng = random.Random(5)
+    long = {n: [f"w{rng.randrange(n)}" for _ in range(n)] for n in (63, 64, 65, 80, 129, 300)}
+    base = {"Warranty": "one"} | {" ".join(p): f"long{n}" for n, p in long.items()}
+    texts = ["warranty, WARRANTY no", "no-warranty.", "", None, " ".join(long[300][:-1])]
+    for n, p in long.items():
+        texts += [" ".join(["x", *p, "y", *p]), " ".join([*p[: n // 2], "put", "in", *p[n // 2 :]]), " ".join(p[1:])]
+    some = dict(enumerate(texts))
+    rows = license_scan.scan(_frame(spark, texts), base=base, notices={}).collect()
+    for r in rows:
+        words = [w for w in re.split(license_scan.SEPARATORS, (some[r.id] or "").lower()) if w]
+        found = {label: _places(words, phrase.lower().split()) for phrase, label in base.items()}
+        assert r.n_words == len(words) and r.n_base == sum(found.values())
+        assert r.base_labels == ",".join(sorted(k for k, v in found.items() if v))
+
+
+def test_long_notices_are_scored_by_their_covered_words(spark):
+    notice = [f"n{i}" for i in range(300)]
+    changed = [("other" if i % 50 == 7 else w) for i, w in enumerate(notice)]
+    some = {0: " ".join(notice), 1: " ".join(["a", *changed, "b"]), 2: " ".join(notice[:150]), 3: " ".join([*notice[:100], "put", "in", *notice[100:]])}
+    got = {r.id: r for r in license_scan.scan(_frame(spark, list(some.values())), base={}, notices={" ".join(notice): "long"}).collect()}
+    assert [got[n].labels for n in range(4)] == ["long", "long", "", "long"]
+    assert got[0].score == 1.0 and got[1].score == pytest.approx(294 / 300) and got[3].score == 1.0
+    with pytest.raises(ValueError):
+        license_scan.scan(_frame(spark, list(some.values())), base={" - ": "none"})
+
+
 def test_text_statistics_equal_brute_force(spark, texts):
     some = [*ODD, *texts.values()]
     got = {r.doc_id: r for r in outliers.text_statistics(_frame(spark, some), "text", ["doc_id"]).collect()}
@@ -262,6 +293,14 @@ def test_chat_text_comes_back_whatever_it_says(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
 
 
+def test_chat_parts_without_a_proper_size_count_nothing():
+    odd = [None, {"type": None, "text": "a"}, {"type": "audio", "seconds": float("nan")}, {"type": "audio", "seconds": float("inf")}, {"type": "image", "width": -5, "height": 30}, {"type": "document", "pages": None}]
+    flat = chat.flatten(odd)
+    assert flat.tokens == 0 and "".join(flat.pieces) == "a<|audio|><|audio|><|image|><|document|>"
+    with pytest.raises(ValueError, match="video"):
+        chat.flatten([{"type": "video"}])
+
+
 def test_chat_parts_become_placeholders_with_token_counts(spark):
     parts = [{"type": "text", "text": "see <|image|>"}, {"type": "image", "ref": "s3", "width": 56, "height": 57}, {"type": "audio", "ref": "a", "seconds": 1.5}, {"type": "document", "ref": "d", "pages": 2}]
     flat = chat.flatten(parts)
