@@ -1,22 +1,29 @@
 """Toxicity: a support vector machine over a gapped subsequence kernel, with Nyström landmarks.
 
-Kernel: a string is described by all its subsequences of three letters that lie within ``SPAN``
-characters, each weighted by ``DECAY`` to the power of the characters it skips; strings are
-compared by the cosine-like product of these weights. Letters put in, left out or replaced
-thus change only some of the subsequences. The features of a string are its kernel values with
-``LANDMARKS`` strings, whitened by the landmarks' own kernel matrix (Nyström); a linear machine
-with squared hinge loss is trained on them. As the kernel is a product of weights, the trained
-machine is one weight per letter triple, and scoring needs no comparison with the landmarks.
-
-Training: labels mark whole documents. Sentences of toxic documents are searched for
-the strings that tell them from clean sentences (a greedy cover of the toxic
-documents); sentences that hold one are positive, sentences of clean documents negative, and
-the negatives that the machine finds hardest are added in rounds. The sample is bounded: at most
-``SAMPLE`` toxic and ``SAMPLE_CLEAN`` other labelled rows, of at most ``SAMPLE_CHARS`` characters, in the order of a hash.
-
-Scoring: every word of a whole text, with marks inside words removed, digits as gaps, long words in
-overlapping windows and single letters set apart by spaces joined. The largest decision of
-a text's sentences is turned into a probability.
+Kernel: a stretch of a sentence is described by all its subsequences of three symbols that lie
+within ``SPAN`` characters, each weighted by ``DECAY`` to the power of the characters it skips;
+stretches are compared by the product of these weights over the roots of their sums of
+squares. Letters put in, left out or replaced, and spaces put between letters, change only some of
+the subsequences. The features of a stretch are its kernel values with the landmarks, whitened by the
+landmarks' own kernel matrix (Nyström); a linear machine with squared hinge loss is trained on them. As
+the kernel is a product of weights, the trained machine is one weight per symbol triple, and
+scoring needs no comparison with the landmarks.
+
+Sentences end at a line break or at ``.!?`` before white space. Their symbols are lower-case
+letters, a word border (any white space) and a gap (digits); marks are left out. Runs of single letters
+set apart by spaces stand once more as one word, a sentence of its own. A sentence's
+decision is the largest among its stretches of ``STRETCH`` symbols, over word borders (triples that begin in
+the last five symbols belong to later stretches); a shorter sentence is one stretch.
+
+Training: labels mark documents, so sentences are labelled in rounds (multiple instances). Each
+toxic document puts forward the ``BAG`` sentences with the largest decisions as positive, each with the stretch
+that decides it; sentences of clean documents are negative, the hardest first. The first round takes, in
+place of decisions, how much oftener toxic documents hold a run of a sentence's letters. The landmarks of a round are
+deciding stretches of both sides. Copies of positive stretches with a letter, gap or space put in or changed are positive, too. The sample is bounded: at most ``SAMPLE`` toxic and ``SAMPLE_CLEAN``
+other labelled rows in the order of a hash, and ``SAMPLE_CHARS`` characters of a row, from four places of longer texts.
+
+Scoring: all sentences of a whole text. The ``POOL`` largest decisions of a document are turned into a
+probability by logistic regression.
 
 Defined cases: null, empty and wordless texts get the score of a text without any insult;
 repeated rows score alike; an empty table gives no rows; without labels of both classes every
@@ -26,164 +33,268 @@ score is 0; further columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm.tables import ship
+from spanweave.llm.textscan import U64, mix
 
 SPAN = 6
 DECAY = 0.6
-WIDTH = 9
-STEP = 3
-LANDMARKS = 200
+STRETCH = 14
+BAG = 12
+LEVELS = (0.98, 0.998)
+POOL = 3
+LANDMARKS = 800
 SAMPLE = 1500
 SAMPLE_CLEAN = 3000
+NEGATIVES = 6000
+COST = 2.0
+DISTURBED = 3000
+FIRST_RUNS = (5, 6, 7)
 ROUNDS = 6
 SAMPLE_CHARS = 20_000
-REMEMBERED = 500_000
-_decided: dict[int, dict[str, tuple[float, str]]] = {}
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
-_MARKS = re.compile(r"[^\w]|_")
-_SENTENCE = re.compile(r"[.!?\n]+")
+#: Texts are scored in lots of about this many characters.
+CHARS_AT_ONCE = 1_000_000
+_SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
 _GAPS = [(i, j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
+_BORDER = 27
+#: What each code point below 0x3000 is; all beyond are letters. 255 is left out, 254 ends a line, 253 a sentence.
+_KIND = np.array([29 + c % 35 if chr(c).isalnum() else _BORDER if chr(c).isspace() else 255 for c in range(0x3000)], np.uint8)
+_KIND[ord("a") : ord("z") + 1] = np.arange(1, 27)
+_KIND[ord("0") : ord("9") + 1] = 0
+_KIND[ord("\n")] = 254
+_KIND[[ord(c) for c in ".!?"]] = 253
 
 
-def strings(word: str) -> list[str]:
-    """What is compared of a word: letters and digits between ^ and $, in windows if it is long."""
-    bare = f"^{_MARKS.sub('', word)}$"
-    if len(bare) <= WIDTH:
-        return [bare]
-    return [bare[n : n + WIDTH] for n in range(0, len(bare) - WIDTH + STEP, STEP)]
-
-
-def words_of(text: str) -> list[str]:
-    """Lower-case words, and runs of single characters set apart by spaces as one word."""
-    low = text.lower()
-    return low.split() + [m.replace(" ", "") for m in _SPACED.findall(low)]
-
-
-def _symbols(some: list[str]) -> np.ndarray:
-    """[string, place]: a to z are 1 to 26, ^ and $ 27 and 28, other letters up to 63, the rest 0."""
-    codes = np.array(some, dtype=f"<U{WIDTH}").view(np.uint32).reshape(len(some), WIDTH).astype(np.int32)
-    out = np.where(codes >= 128, 29 + codes % 35, 0)
-    out = np.where(codes == ord("^"), 27, np.where(codes == ord("$"), 28, out))
-    return np.where((codes >= 97) & (codes <= 122), codes - 96, out)
-
-
-def _triples(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+@dataclass
+class Sentences:
+    """Symbols of many sentences, ``SPAN`` gaps apart; ``doc`` names each one's text."""
+
+    symbols: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    doc: np.ndarray
+
+
+def sentences(texts: list[str | None]) -> Sentences:
+    low = [(t or "").lower() for t in texts]
+    low = ["\n".join([t, *(run.replace(" ", "") for run in _SPACED.findall(t))]) for t in low]
+    codes = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in low]) if low else np.zeros(0, np.int64)
+    kind = np.where(codes < 0x3000, _KIND[np.minimum(codes, 0x2FFF)], 29 + codes % 35).astype(np.uint8)
+    space = (kind == _BORDER) | (kind == 254)
+    stop = kind == 253
+    # Of several marks in a row the last one decides.
+    ends_here = (kind == 254) | (stop & np.append(space[1:], True))
+    kind[stop] = 255
+    kind[ends_here] = 254
+    at = np.flatnonzero(kind != 255)
+    kind = kind[at]
+    border = (kind == _BORDER) | (kind == 254)
+    # A run of borders is one; it ends a sentence if any of them does.
+    begin = border & ~np.append(False, border[:-1])
+    run = np.cumsum(begin) - 1
+    breaks = np.zeros(int(begin.sum()), bool)
+    breaks[run[kind == 254]] = True
+    kept = ~border | begin
+    symbols, at, run = kind[kept], at[kept], run[kept]
+    border = border[kept]
+    symbols[border] = _BORDER
+    cut = np.zeros(len(symbols), bool)
+    cut[border] = breaks[run[border]]
+    # A break is the border that ends a sentence, SPAN gaps, and the border that begins the next one.
+    width = np.where(cut, SPAN + 2, 1)
+    place = np.cumsum(width) - width + 1
+    out = np.zeros(int(width.sum()) + 2, np.uint8)
+    out[0] = _BORDER
+    out[place] = symbols
+    stops = place[cut]
+    out[stops + SPAN + 1] = _BORDER
+    first = np.append(0, stops + SPAN + 1)[: len(stops)]
+    doc = np.searchsorted(ends, at[cut], "right")
+    full = stops + 1 - first > 2
+    return Sentences(out, first[full], stops[full] + 1, doc[full])
+
+
+def _triples(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """Codes of the triples that begin at each place, by gaps; 0 if one of the symbols is a gap."""
+    wide = symbols.astype(np.int32)
+    there = np.where(wide > 0, 1, 0).astype(np.int32)
     for i, j in _GAPS:
-        a, b, c = symbols[:, : WIDTH - i - j], symbols[:, i : WIDTH - j], symbols[:, i + j :]
-        yield a * 4096 + b * 64 + c, (a > 0) & (b > 0) & (c > 0), DECAY ** (i + j - 2)
-
-
-def _norms(symbols: np.ndarray) -> np.ndarray:
-    total = sum(there.sum(axis=1) * weight**2 for _, there, weight in _triples(symbols))
-    return 1.0 / np.sqrt(np.maximum(total, 1e-9)) * (total > 0)
+        n = len(wide) - i - j
+        code = wide[:n] << 12
+        code += wide[i : i + n] << 6
+        code += wide[i + j :]
+        code *= there[:n] & there[i : i + n] & there[i + j :]
+        yield code, DECAY ** (i + j - 2)
+
+
+def _sums(symbols: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums, over the places before each, of triple weights and of squared decays."""
+    value, square = np.zeros(len(symbols) + 1), np.zeros(len(symbols) + 1)
+    for code, decay in _triples(symbols):
+        value[1 : len(code) + 1] += decay * weights[code]
+        square[1 : len(code) + 1] += decay**2 * (code > 0)
+    return np.cumsum(value), np.cumsum(square)
+
+
+#: The triples of a stretch begin in its first places, so that none ends beyond it. As sentences are ``SPAN`` gaps
+#: apart and have three symbols at least, a short one's stretch meets no other sentence.
+_INNER = STRETCH - SPAN + 1
+
+
+def best_stretches(found: Sentences, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(largest normed sum of each sentence, where its stretch begins)."""
+    if not len(found.first):
+        return np.zeros(0, np.float32), np.zeros(0, np.int64)
+    value, square = _sums(found.symbols, weights)
+    n = len(found.symbols)
+    upto = np.minimum(np.arange(n) + _INNER, n)
+    normed = (value[upto] - value[:n]) / np.sqrt(np.maximum(square[upto] - square[:n], 1.0))
+    # The last stretch of a sentence, and with it the only one of a short one, ends where the sentence does.
+    size = np.maximum(found.last - found.first - _INNER, 0) + 1
+    offset = np.cumsum(size) - size
+    places = np.repeat(found.first - offset, size) + np.arange(int(size.sum()))
+    own = normed[places].astype(np.float32)
+    top = np.maximum.reduceat(own, offset)
+    hit = np.flatnonzero(own == np.repeat(top, size))
+    return top, places[hit[np.searchsorted(hit, offset)]]
+
+
+def stretch_rows(found: Sentences, begin: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """[stretch, place]: symbols from ``begin`` in sentences ``which``, gaps beyond their ends."""
+    at = begin[:, None] + np.arange(STRETCH)
+    inside = at < found.last[which][:, None]
+    return np.where(inside, found.symbols[np.minimum(at, len(found.symbols) - 1)], 0)
+
+
+def _row_triples(rows: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    flat = np.hstack([rows, np.zeros((len(rows), SPAN), np.uint8)]).ravel()
+    for code, decay in _triples(np.append(flat, np.zeros(SPAN, np.uint8))):
+        yield code[: len(flat)].reshape(len(rows), -1)[:, :_INNER], decay
 
 
 class Landmarks:
-    """Kernel values with a list of strings; ``rows`` numbers the triples that they hold."""
+    """Kernel values with a list of stretches; ``rows`` numbers the triples that they hold."""
 
-    def __init__(self, some: list[str]):
-        symbols = _symbols(some)
-        codes = np.unique(np.concatenate([code[there] for code, there, _ in _triples(symbols)]))
+    def __init__(self, some: np.ndarray):
+        codes = np.unique(np.concatenate([code.ravel() for code, _ in _row_triples(some)]))
+        codes = codes[codes > 0]
         self.rows = np.zeros(64**3, np.int32)
         self.rows[codes] = np.arange(1, len(codes) + 1)
         self.profile = np.zeros((len(codes) + 1, len(some)), np.float32)
-        for code, there, weight in _triples(symbols):
-            row, place = np.nonzero(there)
-            np.add.at(self.profile, (self.rows[code[row, place]], row), weight)
-        self.profile *= _norms(symbols).astype(np.float32)
+        for code, decay in _row_triples(some):
+            row, place = np.nonzero(code)
+            np.add.at(self.profile, (self.rows[code[row, place]], row), decay)
+        self.profile *= _norms(some)
 
-    def products(self, some: list[str]) -> np.ndarray:
+    def products(self, some: np.ndarray) -> np.ndarray:
         out = np.zeros((len(some), self.profile.shape[1]), np.float32)
-        symbols = _symbols(some)
-        for code, there, weight in _triples(symbols):
-            at = np.where(there, self.rows[code], 0)
+        for code, decay in _row_triples(some):
+            at = self.rows[code]
             for place in range(code.shape[1]):
                 hit = np.flatnonzero(at[:, place])
-                out[hit] += weight * self.profile[at[hit, place]]
-        return out * _norms(symbols).astype(np.float32)[:, None]
+                out[hit] += np.float32(decay) * self.profile[at[hit, place]]
+        return out * _norms(some)[:, None]
 
     def weights(self, by_landmark: np.ndarray) -> np.ndarray:
         """One weight per triple code of a linear combination of the landmarks."""
         return (self.profile @ by_landmark).astype(np.float32)[self.rows]
 
 
+def _norms(rows: np.ndarray) -> np.ndarray:
+    square = sum(decay**2 * (code > 0).sum(axis=1) for code, decay in _row_triples(rows))
+    return (1.0 / np.sqrt(np.maximum(square, 1.0))).astype(np.float32)
+
+
 @dataclass
 class Model:
-    """One weight per letter triple, and the line that turns a decision into a probability."""
+    """One weight per symbol triple, and the line that turns a document's decisions into a probability."""
 
     weights: np.ndarray
     bias: float
-    slope: float
-    offset: float
-
-    def decide(self, some: list[str]) -> np.ndarray:
-        out = np.empty(len(some), np.float32)
-        for n in range(0, len(some), 50_000):
-            symbols = _symbols(some[n : n + 50_000])
-            total = np.zeros(len(symbols), np.float32)
-            for code, there, weight in _triples(symbols):
-                total += weight * np.where(there, self.weights[code], 0).sum(axis=1)
-            out[n : n + 50_000] = total * _norms(symbols) + self.bias
-        return out
-
-    def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * decision + self.offset, -30, 30)))
-
-
-def _parts(strings_of: set[str]) -> set[str]:
-    return {s[n : n + k] for s in strings_of for k in range(4, WIDTH + 1) for n in range(len(s) - k + 1)}
-
-
-def _telling(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """Parts of strings that cover the toxic documents and hardly stand in clean ones."""
-    least = max(3, len(toxic) // 100)
-    df = Counter(p for d in toxic for p in _parts(d))
-    df = {p: n for p, n in df.items() if n >= least}
-    clean_df: Counter[str] = Counter()
-    for d in clean:
-        clean_df.update(_parts(d) & df.keys())
-    good = {p for p, n in df.items() if clean_df[p] * len(toxic) * 20 <= n * len(clean)}
-    # Each string of each toxic document that holds a good part shall hold a chosen one.
-    left = Counter(s for d in toxic for s in d)
-    left = {s: (n, _parts({s}) & good) for s, n in left.items()}
-    left = {s: x for s, x in left.items() if x[1]}
-    chosen: list[str] = []
-    while left:
-        gain: Counter[str] = Counter()
-        for n, parts in left.values():
-            for p in parts:
-                gain[p] += n
-        part = max(gain, key=lambda p: (gain[p] - 3 * clean_df[p], len(p), p))
-        if gain[part] < 2 * least:
-            break
-        chosen.append(part)
-        left = {s: x for s, x in left.items() if part not in x[1]}
-    return chosen
-
-
-def _unlike(docs: list[set[str]]) -> list[set[str]]:
-    """Without documents that are nearly copies of earlier ones, which would count twice."""
-    one = {tuple(min(zlib.crc32(s.encode(), salt) for s in d) for salt in (1, 2, 3)): d for d in reversed(docs) if d}
-    return list(one.values())
-
-
-def _disturbed(some: list[str], rng: np.random.Generator, times: int) -> list[str]:
-    """Copies with one character put in or made a gap, inside the string."""
-    out = []
-    for s in (s for s in some for _ in range(times)):
-        at = int(rng.integers(2, max(3, len(s) - 1)))
-        mark = "0" if rng.random() < 0.5 else chr(97 + int(rng.integers(26)))
-        out.append((s[:at] + mark + s[at + (rng.random() < 0.3) :])[:WIDTH])
+    line: np.ndarray
+
+    def decide(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
+        """([text, n]: the ``POOL`` largest decisions of its sentences; the stretch that decides most)."""
+        found = sentences(texts)
+        top, begin = best_stretches(found, self.weights)
+        pooled, most = _pool(top, found.doc, len(texts), self.bias)
+        told = stretch_rows(found, begin, np.arange(len(begin)))
+        return pooled, [_spell(told[n]) if n >= 0 else "" for n in most]
+
+    def probability(self, pooled: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(pooled @ self.line[:-1] + self.line[-1], -30, 30)))
+
+
+def _spell(row: np.ndarray) -> str:
+    return "".join("*" if s == 0 else chr(96 + s) if s < 27 else " " if s == _BORDER else "#" for s in row.tolist()).strip("* ")
+
+
+def _pool(top: np.ndarray, doc: np.ndarray, n: int, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """Largest decisions by text, -1 or the bias where there are fewer, and the sentence of the first one."""
+    order = np.lexsort((-top, doc))
+    rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+    pooled, most = np.full((n, POOL), min(bias, -1.0)), np.full(n, -1)
+    near = rank < POOL
+    pooled[doc[order][near], rank[near]] = np.clip(top[order][near] + bias, -3, 3)
+    most[doc[order][rank == 0]] = order[rank == 0]
+    return pooled, most
+
+
+def _first_guess(found: Sentences, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``best_stretches``, by how far the documents that hold a run of letters differ between the labels.
+
+    Runs have ``FIRST_RUNS`` symbols and are counted once a document, in 2**24 cells of their hash; the measure is
+    the difference of the two shares over its standard error.
+    """
+    n = [max(int((toxic == side).sum()), 1) for side in (0, 1)]
+    size = found.last - found.first
+    own = np.repeat(np.arange(len(size)), size)
+    at = np.arange(int(size.sum())) + np.repeat(found.first - (np.cumsum(size) - size), size)
+    best = np.zeros(len(at), np.float32)
+    wide = found.symbols.astype(np.int64)
+    for length in FIRST_RUNS:
+        room = len(wide) - length + 1
+        code, there = np.zeros(room, np.int64), np.ones(room, bool)
+        for k in range(length):
+            code = code << 6 | wide[k : k + room]
+            there &= wide[k : k + room] > 0
+        fits = np.flatnonzero(at < room)
+        fits = fits[there[at[fits]]]
+        cell = (mix(code[at[fits]].astype(np.uint64)) >> U64(40)).astype(np.int64)
+        pairs = np.unique(cell << 32 | found.doc[own[fits]])
+        df = [np.bincount(pairs[toxic[pairs & (2**32 - 1)] == side] >> 32, minlength=2**24) for side in (0, 1)]
+        share = (df[0] + df[1]) / (n[0] + n[1])
+        error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
+        measure = ((df[1] / n[1] - df[0] / n[0]) / error).astype(np.float32)
+        best[fits] = np.maximum(best[fits], measure[cell])
+    offset = np.cumsum(size) - size
+    top = np.maximum.reduceat(best, offset)
+    hit = np.flatnonzero(best == np.repeat(top, size))
+    return top, np.maximum(at[hit[np.searchsorted(hit, offset)]] - 1, found.first)
+
+
+def _unlike(found: Sentences, n: int) -> np.ndarray:
+    """Which of ``n`` texts are not near copies of an earlier one, which would count twice."""
+    marks = np.zeros((n, 3), np.uint64)
+    code, _ = next(iter(_triples(found.symbols)))
+    four = code.astype(np.uint64)
+    four[:-3] |= four[3:] << U64(18)
+    for salt in range(3):
+        hashed = np.append(mix(four + U64(salt << 40)), np.full(len(found.symbols) - len(four), 2**64 - 1, np.uint64))
+        low = np.minimum.reduceat(hashed, np.stack([found.first, found.last], axis=1).ravel())[::2]
+        marks[:, salt] = 2**64 - 1
+        np.minimum.at(marks[:, salt], found.doc, low)
+    _, first = np.unique(marks, axis=0, return_index=True)
+    out = np.zeros(n, bool)
+    out[first] = True
     return out
 
 
@@ -203,110 +314,130 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray
     return w
 
 
+def _bags(top: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The ``BAG`` sentences of largest decision of each document, the first of each ahead."""
+    order = np.lexsort((-top, doc))
+    rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+    near = rank < BAG
+    return order[near][np.argsort(rank[near], kind="stable")]
+
+
+def _spread(rows: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` different rows, the most frequent first, then in their order."""
+    _, at, times = np.unique(rows, axis=0, return_index=True, return_counts=True)
+    return rows[at[np.lexsort((at, -times))][:n]]
+
+
+def _disturbed(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Copies with a letter, a gap or a border at one place, put in or in place of what is there."""
+    at = rng.integers(2, STRETCH - 3, len(rows))[:, None]
+    mark = rng.choice(np.concatenate([np.arange(1, 27), np.repeat([0, _BORDER], 13)]), len(rows))[:, None]
+    place = np.arange(STRETCH)
+    shift = (place > at) & (rng.random(len(rows)) < 0.6)[:, None]
+    moved = np.take_along_axis(rows, place - shift, axis=1)
+    return np.where(place == at, mark, moved).astype(np.uint8)
+
+
 def fit(rows: list[tuple[str, int]]) -> Model | None:
     """A model from (text, label) rows; None without rows of both labels."""
     rows = sorted(set(rows))
-    # Sentences are cut first, so that no string reaches over two of them.
-    docs = [({s for part in _SENTENCE.split(t) for w in set(words_of(part)) for s in strings(w)}, y) for t, y in rows]
-    toxic, clean = _unlike([d for d, y in docs if y]), [d for d, y in docs if not y]
-    told = _telling(toxic, clean) if toxic and clean else []
-    if not told:
+    found = sentences([t for t, _ in rows])
+    if not len(found.first):
         return None
+    new = _unlike(found, len(rows))
+    rows = [r for r, keep in zip(rows, new) if keep]
+    found = sentences([t for t, _ in rows])
+    label = np.array([y for _, y in rows], np.int64)
+    bad = label[found.doc] == 1
+    if not bad.any() or bad.all():
+        return None
+    toxic, clean = np.flatnonzero(bad), np.flatnonzero(~bad)
     rng = np.random.default_rng(5)
-    # Positive strings: those of the toxic sentences that hold a telling part.
-    seen = Counter(s for d in toxic for s in d if any(p in s for p in told))
-    positive = sorted(seen, key=lambda s: (-seen[s], s))[: 20 * LANDMARKS]
-    pool = sorted({s for d in clean for s in d})
-    marks = Landmarks(told)
-    closest = np.concatenate([marks.products(pool[n : n + 50_000]).max(axis=1) for n in range(0, max(len(pool), 1), 50_000)])
-    ranked = np.argsort(-closest, kind="stable").tolist()
-    chosen = set(rng.permutation(len(pool))[:4000].tolist()) | set(ranked[:3000])
-    gapped = _disturbed(positive[:LANDMARKS], rng, 4)
-    spread = [pool[n] for n in rng.permutation(len(pool))[: LANDMARKS // 4]]
-    model, hard = None, ranked[:LANDMARKS]
+    held = rng.permutation(clean)[: NEGATIVES // 3]
+    held_rows = stretch_rows(found, found.first[held], held)
+    n_docs = len(np.unique(found.doc[toxic]))
+    (top, begin), bias = _first_guess(found, label), -np.inf
     for _ in range(ROUNDS):
-        # The landmarks follow what is hard to tell apart so far.
-        listed = list(dict.fromkeys(told + positive[:LANDMARKS] + [pool[n] for n in hard] + spread))
-        marks = Landmarks(listed)
-        kernel = marks.products(listed).astype(float)
+        # Few sentences of clean documents lie above these levels; the first of a document needs less.
+        lower, upper = np.quantile(top[clean], LEVELS)
+        bag = toxic[_bags(top[toxic], found.doc[toxic])]
+        bag = bag[top[bag] > np.where(np.arange(len(bag)) < n_docs, lower, upper)]
+        if not len(bag):
+            return None
+        positive = stretch_rows(found, begin[bag], bag)
+        hard = clean[np.argsort(-top[clean], kind="stable")][: NEGATIVES // 3]
+        hard = hard[top[hard] + bias > -1] if np.isfinite(bias) else hard
+        hard_rows = stretch_rows(found, begin[hard], hard)
+        held_rows = np.unique(np.vstack([held_rows, hard_rows]), axis=0)
+        listed = np.vstack([_spread(positive, LANDMARKS // 2), _spread(hard_rows, LANDMARKS // 4), rng.permutation(held_rows)[: LANDMARKS // 4]])
+        marks = Landmarks(np.unique(listed, axis=0))
+        kernel = marks.products(np.unique(listed, axis=0)).astype(float)
         values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
-        good = values > 1e-4 * values.max()
+        good = values > 1e-3 * values.max()
         whiten = vectors[:, good] / np.sqrt(values[good])
-        negative = [pool[n] for n in sorted(chosen)]
-        x = marks.products(positive + gapped + negative) @ whiten
-        y = np.append(np.ones(len(positive) + len(gapped)), -np.ones(len(negative)))
-        cost = np.concatenate([np.full(len(positive), 2.0), np.full(len(gapped), 0.5), np.full(len(negative), 2.0)])
-        w = _squared_hinge(x, y, cost)
-        model = Model(marks.weights(whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
-        decisions = model.decide(pool)
-        wrong = sorted(set(np.flatnonzero(decisions > -0.5).tolist()), key=lambda n: (-decisions[n], n))
-        if not set(wrong) - chosen:
-            break
-        chosen |= set(wrong[:4000])
-        hard = list(dict.fromkeys(wrong[: LANDMARKS // 2] + hard))[:LANDMARKS]
-    some = sorted({s for d, _ in docs for s in d})
-    own = dict(zip(some, model.decide(some).tolist()))
-    top = np.array([max((own[s] for s in d), default=model.bias) for d, _ in docs])
-    model.slope, model.offset = _line(top, np.array([y for _, y in docs], float))
-    return model
-
-
-def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of a label on a decision, slightly drawn to zero."""
-    w, rows = np.array([1.0, 0.0]), np.stack([x, np.ones(len(x))], axis=1)
+        odd = _disturbed(positive[rng.permutation(len(positive))[:DISTURBED]], rng)
+        x = marks.products(np.vstack([positive, odd, held_rows])).astype(float) @ whiten
+        y = np.repeat([1.0, -1.0], [len(positive) + len(odd), len(held_rows)])
+        w = _squared_hinge(x, y, np.full(len(y), COST))
+        weights, bias = marks.weights(whiten @ w[:-1]), float(w[-1])
+        top, begin = best_stretches(found, weights)
+    pooled, _ = _pool(top, found.doc, len(rows), bias)
+    return Model(weights, bias, _line(pooled, label.astype(float)))
+
+
+def _line(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression of a label on decisions, slightly drawn to zero; the offset is last."""
+    rows = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(rows.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
         grad = rows.T @ (p - y) + 0.1 * w
-        hess = (rows * (p * (1 - p))[:, None]).T @ rows + 0.1 * np.eye(2)
+        hess = (rows * (p * (1 - p))[:, None]).T @ rows + 0.1 * np.eye(len(w))
         move = np.linalg.solve(hess, grad)
         w = w - move / max(1.0, np.abs(move).max() / 3)
         if np.abs(move).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
+
+
+def _stretch_of(text_col: str):
+    """A text, or of a long one four stretches from its whole length, as lines."""
+    part = SAMPLE_CHARS // 4
+    places = [F.substring(F.col(text_col), F.floor((F.length(text_col) - part) * n / 3).cast("int") + 1, F.lit(part)) for n in range(4)]
+    return F.when(F.length(text_col) > SAMPLE_CHARS, F.concat_ws("\n", *places)).otherwise(F.col(text_col))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fits on the bounded sample; only its ids are broadcast."""
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    place = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64(id_col), id_col))
-    some = known.withColumn("_place", place).where(F.col("_place") <= F.when(F.col("_label") == 1, SAMPLE).otherwise(SAMPLE_CLEAN)).where(F.col("_place") <= max(SAMPLE, SAMPLE_CLEAN)).select(id_col, "_label")
-    texts = docs.select(id_col, text_col).where(F.length(text_col) <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(some), id_col).select(text_col, "_label").collect()
+    take = lambda label, n: known.where(F.col("_label") == label).orderBy(F.xxhash64(id_col), id_col).limit(n)
+    some = take(1, SAMPLE).unionByName(take(0, SAMPLE_CLEAN))
+    rows = docs.select(id_col, text_col).join(F.broadcast(some), id_col).select(_stretch_of(text_col).alias("_text"), "_label").where("_text is not null").collect()
     return fit([(r[0], int(r[1])) for r in rows])
 
 
+def _lots(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    begin, held = 0, 0
+    for n, text in enumerate(texts):
+        held += len(text or "")
+        if held >= CHARS_AT_ONCE or n + 1 == len(texts):
+            yield begin, n + 1
+            begin, held = n + 1, 0
+
+
 def score(docs: DataFrame, model: Model | None, *, text_col: str = "text", carry: list[str]) -> DataFrame:
-    """``carry``, score, and ``worst``: the string of the text that decided it."""
-    name = zlib.crc32(model.weights.tobytes()) if model is not None else 0
+    """``carry``, score, and ``worst``: the stretch of the text that decided it."""
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A Python worker serves many tasks and keeps the decisions of one model.
-        if name not in _decided:
-            _decided.clear()
-        known = _decided.setdefault(name, {})
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                decisions, worst = [], []
+                scores, worst = np.zeros(some.num_rows), [""] * some.num_rows
                 if model is not None:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    texts = [words_of(t or "") for t in some.column(len(carry)).to_pylist()]
-                    new = list({w for words in texts for w in words if w not in known})
-                    parts = [strings(w) for w in new]
-                    flat = model.decide([s for p in parts for s in p]) if new else np.zeros(0)
-                    n = 0
-                    for w, p in zip(new, parts):
-                        own = flat[n : n + len(p)]
-                        known[w] = (float(own.max()), p[int(own.argmax())])
-                        n += len(p)
-                    for words in texts:
-                        top = max(map(known.__getitem__, words), default=(model.bias, ""))
-                        decisions.append(top[0])
-                        worst.append(top[1])
-                    scores = model.probability(np.array(decisions, float)).round(6)
-                else:
-                    scores, worst = np.zeros(some.num_rows), [""] * some.num_rows
+                    texts = some.column(len(carry)).to_pylist()
+                    for begin, end in _lots(texts):
+                        pooled, worst[begin:end] = model.decide(texts[begin:end])
+                        scores[begin:end] = model.probability(pooled).round(6)
                 own = [some.column(c) for c in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(scores), pa.array(worst, pa.string())], [*carry, "score", "worst"])
 

@@ -271,10 +271,10 @@ def test_toxicity_is_learned_from_labels(spark):
     found = toxicity.score(docs.join(labels, "doc_id"), model, carry=["toxic", "lang"]).collect()
     english = [r for r in found if r.lang == "en"]
     assert np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in english]) > 0.9
-    # Gaps and letters put in keep a string closer to an insult than to plain words.
-    plain = float(model.decide(toxicity.strings("oronthe"))[0])
-    assert all(model.decide(toxicity.strings(w)).max() > plain for w in ("idiiot", "idi0t", "i.d.i.o.t"))
-    assert "idiot" in toxicity.words_of("you i d i o t now")
+    # Gaps and letters put in keep a sentence closer to an insult than to plain words.
+    first = lambda t: float(model.decide([t])[0][0, 0])
+    plain = first("you oronthe now")
+    assert all(first(f"you {w} now") > plain for w in ("idiiot", "idi0t", "i.d.i.o.t", "id iot", "i d i o t"))
 
 
 def test_chat_text_comes_back_whatever_it_says(spark):
