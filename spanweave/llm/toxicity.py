@@ -57,10 +57,12 @@ NEGATIVES = 6000
 COST = 2.0
 DISTURBED = 3000
 FIRST_RUNS = (5, 6, 7)
+CELLS = 22
+ROWS = 1000
 ROUNDS = 6
 SAMPLE_CHARS = 20_000
-#: Texts are scored in lots of about this many characters.
-CHARS_AT_ONCE = 1_000_000
+#: Texts are worked on in lots of about this many characters; a longer one is cut at a line break, or at a space.
+CHARS_AT_ONCE = 250_000
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
 _GAPS = [(i, j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
 _BORDER = 27
@@ -122,6 +124,51 @@ def sentences(texts: list[str | None]) -> Sentences:
     return Sentences(out, first[full], stops[full] + 1, doc[full])
 
 
+def _lots(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """(numbers of the texts, pieces of them) of about ``CHARS_AT_ONCE`` characters."""
+    numbers, held, size = [], [], 0
+    for n, text in enumerate(texts):
+        text, begin = text or "", 0
+        while True:
+            end = min(begin + CHARS_AT_ONCE, len(text))
+            if end < len(text):
+                end = max(text.rfind("\n", begin, end), begin - 1) + 1 or end
+                end = end if end > begin else text.rfind(" ", begin, begin + CHARS_AT_ONCE) + 1
+                end = end if end > begin else begin + CHARS_AT_ONCE
+            numbers.append(n)
+            held.append(text[begin:end])
+            size, begin = size + end - begin, end
+            if size >= CHARS_AT_ONCE:
+                yield numbers, held
+                numbers, held, size = [], [], 0
+            if begin >= len(text):
+                break
+    if numbers:
+        yield numbers, held
+
+
+def _all_sentences(texts: list[str | None]) -> Sentences:
+    made, size = [], 0
+    for numbers, held in _lots(texts):
+        own = sentences(held)
+        made.append((own.symbols, own.first + size, own.last + size, np.array(numbers)[own.doc]))
+        size += len(own.symbols) + SPAN
+        made[-1] = (np.append(own.symbols, np.zeros(SPAN, np.uint8)), *made[-1][1:])
+    return Sentences(*(np.concatenate(c) for c in zip(*made))) if made else sentences([])
+
+
+def _parts(found: Sentences) -> Iterator[tuple[Sentences, slice]]:
+    """Views of whole documents, of about ``CHARS_AT_ONCE`` symbols, and their place."""
+    if not len(found.doc):
+        return
+    begins = np.flatnonzero(np.append(True, found.doc[1:] != found.doc[:-1]))
+    lots = found.first[begins] // CHARS_AT_ONCE
+    cuts = [*begins[np.flatnonzero(np.append(True, lots[1:] != lots[:-1]))].tolist(), len(found.doc)]
+    for a, b in zip(cuts, cuts[1:]):
+        low = found.first[a]
+        yield Sentences(found.symbols[low : found.last[b - 1] + SPAN], found.first[a:b] - low, found.last[a:b] - low, found.doc[a:b]), slice(a, b)
+
+
 def _triples(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
     """Codes of the triples that begin at each place, by gaps; 0 if one of the symbols is a gap."""
     wide = symbols.astype(np.int32)
@@ -151,8 +198,14 @@ _INNER = STRETCH - SPAN + 1
 
 def best_stretches(found: Sentences, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(largest normed sum of each sentence, where its stretch begins)."""
-    if not len(found.first):
-        return np.zeros(0, np.float32), np.zeros(0, np.int64)
+    top, begin = np.zeros(len(found.first), np.float32), np.zeros(len(found.first), np.int64)
+    for part, at in _parts(found):
+        top[at], begin[at] = _best_of(part, weights)
+        begin[at] += found.first[at.start]
+    return top, begin
+
+
+def _best_of(found: Sentences, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     value, square = _sums(found.symbols, weights)
     n = len(found.symbols)
     upto = np.minimum(np.arange(n) + _INNER, n)
@@ -223,11 +276,20 @@ class Model:
 
     def decide(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
         """([text, n]: the ``POOL`` largest decisions of its sentences; the stretch that decides most)."""
-        found = sentences(texts)
-        top, begin = best_stretches(found, self.weights)
-        pooled, most = _pool(top, found.doc, len(texts), self.bias)
-        told = stretch_rows(found, begin, np.arange(len(begin)))
-        return pooled, [_spell(told[n]) if n >= 0 else "" for n in most]
+        pooled, told = np.full((len(texts), POOL), min(self.bias, -1.0)), [""] * len(texts)
+        for numbers, held in _lots(texts):
+            found = sentences(held)
+            found.doc = np.array(numbers)[found.doc]
+            top, begin = best_stretches(found, self.weights)
+            first = numbers[0]
+            own, most = _pool(top, found.doc - first, numbers[-1] + 1 - first, self.bias)
+            ahead = np.flatnonzero((most >= 0) & ((own[:, 0] > pooled[first : numbers[-1] + 1, 0]) | (np.array([told[n] == "" for n in range(first, numbers[-1] + 1)]))))
+            rows = stretch_rows(found, begin[most[ahead]], most[ahead])
+            for n, row in zip(ahead.tolist(), rows):
+                told[first + n] = _spell(row)
+            both = np.hstack([pooled[first : numbers[-1] + 1], own])
+            pooled[first : numbers[-1] + 1] = -np.sort(-both, axis=1)[:, :POOL]
+        return pooled, told
 
     def probability(self, pooled: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(pooled @ self.line[:-1] + self.line[-1], -30, 30)))
@@ -251,63 +313,78 @@ def _pool(top: np.ndarray, doc: np.ndarray, n: int, bias: float) -> tuple[np.nda
 def _first_guess(found: Sentences, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As ``best_stretches``, by how far the documents that hold a run of letters differ between the labels.
 
-    Runs have ``FIRST_RUNS`` symbols and are counted once a document, in 2**24 cells of their hash; the measure is
+    Runs have ``FIRST_RUNS`` symbols and are counted once a document, in 2**``CELLS`` cells of their hash; the measure is
     the difference of the two shares over its standard error.
     """
     n = [max(int((toxic == side).sum()), 1) for side in (0, 1)]
-    size = found.last - found.first
-    own = np.repeat(np.arange(len(size)), size)
-    at = np.arange(int(size.sum())) + np.repeat(found.first - (np.cumsum(size) - size), size)
-    best = np.zeros(len(at), np.float32)
-    wide = found.symbols.astype(np.int64)
+    best = [np.zeros(len(part.symbols), np.float32) for part, _ in _parts(found)]
     for length in FIRST_RUNS:
-        room = len(wide) - length + 1
-        code, there = np.zeros(room, np.int64), np.ones(room, bool)
-        for k in range(length):
-            code = code << 6 | wide[k : k + room]
-            there &= wide[k : k + room] > 0
-        fits = np.flatnonzero(at < room)
-        fits = fits[there[at[fits]]]
-        cell = (mix(code[at[fits]].astype(np.uint64)) >> U64(40)).astype(np.int64)
-        pairs = np.unique(cell << 32 | found.doc[own[fits]])
-        df = [np.bincount(pairs[toxic[pairs & (2**32 - 1)] == side] >> 32, minlength=2**24) for side in (0, 1)]
-        share = (df[0] + df[1]) / (n[0] + n[1])
-        error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
-        measure = ((df[1] / n[1] - df[0] / n[0]) / error).astype(np.float32)
-        best[fits] = np.maximum(best[fits], measure[cell])
-    offset = np.cumsum(size) - size
-    top = np.maximum.reduceat(best, offset)
-    hit = np.flatnonzero(best == np.repeat(top, size))
-    return top, np.maximum(at[hit[np.searchsorted(hit, offset)]] - 1, found.first)
+        df = np.zeros((2, 2**CELLS), np.int32)
+        for part, _ in _parts(found):
+            cell, begin = _cells(part, length)
+            doc = part.doc[np.searchsorted(part.first, begin, "right") - 1]
+            pairs = np.unique(cell << 32 | doc)
+            for side in (0, 1):
+                np.add.at(df[side], pairs[toxic[pairs & (2**32 - 1)] == side] >> 32, 1)
+        share = (df[0] + df[1]) / np.float32(n[0] + n[1])
+        error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * np.float32(1 / n[0] + 1 / n[1]))
+        measure = ((df[1] / np.float32(n[1]) - df[0] / np.float32(n[0])) / error).astype(np.float32)
+        for (part, _), own in zip(_parts(found), best):
+            cell, begin = _cells(part, length)
+            own[begin] = np.maximum(own[begin], measure[cell])
+    top, start = np.zeros(len(found.first), np.float32), np.zeros(len(found.first), np.int64)
+    for (part, at), own in zip(_parts(found), best):
+        size = part.last - part.first
+        offset = np.cumsum(size) - size
+        places = np.arange(int(size.sum())) + np.repeat(part.first - offset, size)
+        top[at] = np.maximum.reduceat(own[places], offset)
+        hit = np.flatnonzero(own[places] == np.repeat(top[at], size))
+        start[at] = np.maximum(places[hit[np.searchsorted(hit, offset)]] - 1, part.first) + found.first[at.start]
+    return top, start
+
+
+def _cells(found: Sentences, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash cell, place) of all runs of ``length`` symbols without a gap."""
+    wide = found.symbols.astype(np.uint64)
+    room = max(len(wide) - length + 1, 0)
+    code, there = np.zeros(room, np.uint64), np.ones(room, bool)
+    for k in range(length):
+        code = code << U64(6) | wide[k : k + room]
+        there &= wide[k : k + room] > 0
+    begin = np.flatnonzero(there)
+    begin = begin[(begin >= found.first[0]) & (begin < found.last[-1])]
+    return (mix(code[begin]) >> U64(64 - CELLS)).astype(np.int64), begin
 
 
 def _unlike(found: Sentences, n: int) -> np.ndarray:
     """Which of ``n`` texts are not near copies of an earlier one, which would count twice."""
-    marks = np.zeros((n, 3), np.uint64)
-    code, _ = next(iter(_triples(found.symbols)))
-    four = code.astype(np.uint64)
-    four[:-3] |= four[3:] << U64(18)
-    for salt in range(3):
-        hashed = np.append(mix(four + U64(salt << 40)), np.full(len(found.symbols) - len(four), 2**64 - 1, np.uint64))
-        low = np.minimum.reduceat(hashed, np.stack([found.first, found.last], axis=1).ravel())[::2]
-        marks[:, salt] = 2**64 - 1
-        np.minimum.at(marks[:, salt], found.doc, low)
+    marks = np.full((n, 3), 2**64 - 1, np.uint64)
+    for part, _ in _parts(found):
+        four = next(iter(_triples(part.symbols)))[0].astype(np.uint64)
+        four[:-3] |= four[3:] << U64(18)
+        for salt in range(3):
+            hashed = np.append(mix(four + U64(salt << 40)), np.full(len(part.symbols) - len(four), 2**64 - 1, np.uint64))
+            low = np.minimum.reduceat(hashed, np.stack([part.first, part.last], axis=1).ravel())[::2]
+            np.minimum.at(marks[:, salt], part.doc, low)
     _, first = np.unique(marks, axis=0, return_index=True)
     out = np.zeros(n, bool)
     out[first] = True
     return out
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Weights with the bias last, by Newton's steps on the rows inside the margin."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+def _squared_hinge(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights with the bias last, by Newton's steps on the rows inside the margin, ``ROWS`` at a time."""
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(30):
-        inside = y * (x @ w) < 1
-        rows, c = x[inside], cost[inside]
-        new = np.linalg.solve(ridge + (rows * c[:, None]).T @ rows, rows.T @ (c * y[inside]))
+        gram, right = ridge.copy(), np.zeros(len(w))
+        for n in range(0, len(x), ROWS):
+            rows = np.hstack([x[n : n + ROWS], np.ones((len(x[n : n + ROWS]), 1))])
+            rows, own = (c[y[n : n + ROWS] * (rows @ w) < 1] for c in (rows, y[n : n + ROWS]))
+            gram += COST * rows.T @ rows
+            right += COST * rows.T @ own
+        new = np.linalg.solve(gram, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -341,12 +418,12 @@ def _disturbed(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 def fit(rows: list[tuple[str, int]]) -> Model | None:
     """A model from (text, label) rows; None without rows of both labels."""
     rows = sorted(set(rows))
-    found = sentences([t for t, _ in rows])
+    found = _all_sentences([t for t, _ in rows])
     if not len(found.first):
         return None
     new = _unlike(found, len(rows))
     rows = [r for r, keep in zip(rows, new) if keep]
-    found = sentences([t for t, _ in rows])
+    found = _all_sentences([t for t, _ in rows])
     label = np.array([y for _, y in rows], np.int64)
     bad = label[found.doc] == 1
     if not bad.any() or bad.all():
@@ -376,9 +453,10 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
         good = values > 1e-3 * values.max()
         whiten = vectors[:, good] / np.sqrt(values[good])
         odd = _disturbed(positive[rng.permutation(len(positive))[:DISTURBED]], rng)
-        x = marks.products(np.vstack([positive, odd, held_rows])).astype(float) @ whiten
+        every = np.vstack([positive, odd, held_rows])
+        x = np.vstack([(marks.products(every[n : n + ROWS]) @ whiten).astype(np.float32) for n in range(0, len(every), ROWS)])
         y = np.repeat([1.0, -1.0], [len(positive) + len(odd), len(held_rows)])
-        w = _squared_hinge(x, y, np.full(len(y), COST))
+        w = _squared_hinge(x, y)
         weights, bias = marks.weights(whiten @ w[:-1]), float(w[-1])
         top, begin = best_stretches(found, weights)
     pooled, _ = _pool(top, found.doc, len(rows), bias)
@@ -416,15 +494,6 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit([(r[0], int(r[1])) for r in rows])
 
 
-def _lots(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    begin, held = 0, 0
-    for n, text in enumerate(texts):
-        held += len(text or "")
-        if held >= CHARS_AT_ONCE or n + 1 == len(texts):
-            yield begin, n + 1
-            begin, held = n + 1, 0
-
-
 def score(docs: DataFrame, model: Model | None, *, text_col: str = "text", carry: list[str]) -> DataFrame:
     """``carry``, score, and ``worst``: the stretch of the text that decided it."""
 
@@ -435,9 +504,8 @@ def score(docs: DataFrame, model: Model | None, *, text_col: str = "text", carry
                 scores, worst = np.zeros(some.num_rows), [""] * some.num_rows
                 if model is not None:
                     texts = some.column(len(carry)).to_pylist()
-                    for begin, end in _lots(texts):
-                        pooled, worst[begin:end] = model.decide(texts[begin:end])
-                        scores[begin:end] = model.probability(pooled).round(6)
+                    pooled, worst = model.decide(texts)
+                    scores = model.probability(pooled).round(6)
                 own = [some.column(c) for c in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(scores), pa.array(worst, pa.string())], [*carry, "score", "worst"])
 
