@@ -87,11 +87,11 @@ def test_decisions_equal_the_largest_kernel_combination():
 def test_lots_do_not_change_scores(spark, monkeypatch):
     marks = toxicity.Landmarks(_landmarks())
     model = toxicity.Model(marks.weights(np.array([1.0, 0.5, -0.7])), -0.25, np.array([4.0, 1.0, 1.0, 0.0]))
-    docs = spark.createDataFrame(list(enumerate([*TEXTS, "you idiot " * 5000])), "doc_id long, text string")
+    docs = spark.createDataFrame(list(enumerate([*TEXTS, "you idiot\n" * 5000])), "doc_id long, text string")
     whole = {r.doc_id: r.score for r in toxicity.score(docs, model, carry=["doc_id"]).collect()}
     # Lots of a few characters also cut texts at their line breaks, which end sentences anyway.
     monkeypatch.setattr(toxicity, "CHARS_AT_ONCE", 40_000)
-    apart = model.probability(np.vstack([model.decide([t])[0] for t in [*TEXTS, "you idiot " * 5000]])).round(6)
+    apart = model.probability(np.vstack([model.decide([t])[0] for t in [*TEXTS, "you idiot\n" * 5000]])).round(6)
     assert whole == pytest.approx(dict(enumerate(apart.tolist())))
 
 
