@@ -9,8 +9,8 @@ MCD over a distributed table: start from medians and median deviations, then C-s
 measures the distance of every row, keeps the ``SUPPORT`` share of each group with the least
 distances, and takes mean and covariance of these. The share's limit comes from exact counts
 of the distances in bins of 1/16 of an octave, so no group is sorted or collected: all sums
-are combined before the shuffle and a hot group costs no more than others. Steps end when no
-group's determinant falls any more, at ``STEPS`` at the latest.
+are combined before the shuffle and a hot group costs no more than others. A group rests once its own
+determinant falls no more, and keeps the estimate of the least one; steps go on with the others, as many as it takes.
 
 Groups: (language, source) if it has ``MIN_ROWS`` rows, else all such rows of the language,
 if enough, else all such rows; with fewer than ``MIN_ROWS`` rows in that last one nothing is rejected.
@@ -36,7 +36,8 @@ from spanweave.llm.textscan import U64, Hasher, mix, per_text, pieces, repeated,
 
 WINDOW = 5
 SUPPORT = 0.75
-STEPS = 8
+#: A group's log determinant falls if it does by this much.
+LEAST_FALL = 1e-3
 MIN_ROWS = 200
 #: Least standard deviation of: log word length, symbol, line and repetition rates.
 RESOLUTION = (0.05, 0.25, 0.25, 0.05)
@@ -140,7 +141,7 @@ def _distance(p: int) -> Column:
     return sum(F.col("inverse")[i * p + j] * off[i] * off[j] for i in range(p) for j in range(p))
 
 
-def mcd(rows: DataFrame, p: int, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
+def mcd(rows: DataFrame, p: int, support: float = SUPPORT) -> DataFrame:
     """(grp, centre, inverse, logdet) for rows (grp, x); ``inverse`` is scaled for consistency."""
     mids = rows.groupBy("grp").agg(*[F.percentile_approx(F.col("x")[i], 0.5, 1000).alias(f"m{i}") for i in range(p)], F.count(F.lit(1)).alias("n"))
     mids = keep(mids, "mcd-start")
@@ -152,9 +153,10 @@ def mcd(rows: DataFrame, p: int, support: float = SUPPORT, steps: int = STEPS) -
         F.array(*[F.col(f"m{i}") for i in range(p)]).alias("centre"),
         F.array(*[F.pow(1.4826 * F.col(f"d{i}"), F.lit(2)) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]).alias("cov"),
     )
-    state, before = keep(_with_inverse(start, p), "mcd-state"), None
-    for _ in range(steps):
-        measured = near(state.select("grp", "centre", "inverse")).select("grp", "x", F.floor(F.log2(_distance(p) + 1e-6) * 16).alias("bin"))
+    # The first step is always taken; each further one lowers every moving group's determinant, which is bounded.
+    state = keep(_with_inverse(start, p).withColumn("moves", F.lit(True)).withColumn("logdet", F.lit(float("inf"))), "mcd-state")
+    while not state.where("moves").isEmpty():
+        measured = near(state.where("moves").select("grp", "centre", "inverse")).select("grp", "x", F.floor(F.log2(_distance(p) + 1e-6) * 16).alias("bin"))
         bins = measured.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
         upto = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy("grp")
@@ -166,16 +168,15 @@ def mcd(rows: DataFrame, p: int, support: float = SUPPORT, steps: int = STEPS) -
             F.array(*mean).alias("centre"),
             F.array(*[F.covar_pop(F.col("x")[i], F.col("x")[j]) for i in range(p) for j in range(p)]).alias("cov"),
         )
-        state = keep(_with_inverse(moved, p), "mcd-state")
-        total = state.agg(F.sum("logdet")).first()[0] or 0.0
-        if before is not None and before - total < 1e-3:
-            break
-        before = total
+        new = _with_inverse(moved, p).select("grp", F.struct("centre", "inverse", "logdet").alias("new"))
+        falls = F.coalesce(F.col("new.logdet") < F.col("logdet") - LEAST_FALL, F.lit(False))
+        taken = [F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "inverse", "logdet")]
+        state = keep(state.join(F.broadcast(new) if few else new, "grp", "left").select("grp", *taken, falls.alias("moves")), "mcd-state")
     # The covariance of the inner part of a normal distribution is too small by this factor.
     measured = near(state.select("grp", "centre", "inverse")).select("grp", _distance(p).alias("d"))
     scale = measured.groupBy("grp").agg(F.percentile_approx("d", support, 1000).alias("at"))
     scale = scale.select("grp", F.greatest(F.lit(1.0), F.col("at") / CHI_SUPPORT).alias("scale"))
-    return keep(state.join(scale, "grp"), "mcd-scaled")
+    return keep(state.drop("moves").join(scale, "grp"), "mcd-scaled")
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str]) -> DataFrame:
