@@ -94,14 +94,25 @@ def overlap_by_start(
 
 def _band(c: DataFrame, t: DataFrame, side: str, bound_ms: int) -> DataFrame:
     """Pairs of one id whose starts or ends lie within the bound, joined on (id, cell of that time)."""
-    width = max(1, 10 * bound_ms)
-    at = millis(f"call_{side}")
-    first, last = _floor_div(at - bound_ms, width), _floor_div(at + bound_ms, width)
-    c = c.withColumn("_cell", F.explode(F.sequence(first, last)))
-    t = t.withColumn("_cell", _floor_div(millis(f"tower_{side}"), width))
+    c = c.withColumn("_cell", F.explode(_cells(f"call_{side}", bound_ms)))
+    t = t.withColumn("_cell", _cell(f"tower_{side}", bound_ms))
     return c.join(t, ["unique_id", "_cell"]).where(near(f"tower_{side}", f"call_{side}", bound_ms))
 
 
+def end_cells(calls: DataFrame, towers: DataFrame, end: str, bound_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Calls and towers with ``_cell``, in which those meet whose ends lie within the bound."""
+    return calls.withColumn("_cell", F.explode(_cells(end, bound_ms))), towers.withColumn("_cell", _cell(end, bound_ms))
+
+
+def _cells(time: str, bound_ms: int) -> Column:
+    width, at = max(1, 10 * bound_ms), millis(time)
+    return F.sequence(_floor_div(at - bound_ms, width), _floor_div(at + bound_ms, width))
+
+
+def _cell(time: str, bound_ms: int) -> Column:
+    return _floor_div(millis(time), max(1, 10 * bound_ms))
+
+
 def _sides(calls: DataFrame, towers: DataFrame, connected_only: bool) -> tuple[DataFrame, DataFrame]:
     if connected_only:
         calls = calls.where(is_connected())

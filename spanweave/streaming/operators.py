@@ -11,16 +11,21 @@ does not follow the size of the cluster.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions.predicates import is_connected, is_end, is_start, near, partly_overlaps
 from spanweave.functions.times import millis
-from spanweave.operators.overlap import bounded_overlap
+from spanweave.operators.overlap import bounded_overlap, end_cells
 from spanweave.operators.sessions import CALL_FIELDS
-from spanweave.streaming.processors import GapProcessor, PairProcessor
+from spanweave.streaming.processors import GapProcessor, NearProcessor, PairProcessor
 
 BUCKETS = 64
+# Joins hold both sides, so their buckets are smaller.
+JOIN_BUCKETS = 128
 
 
 def gaps_from_calls(
@@ -89,25 +94,67 @@ def pair_towers(
     return _pairs(events, delay, buckets, PairProcessor({"tower": "string"}, {}, max_open_ms))
 
 
-def match_calls(events: DataFrame, *, delay: str, max_open_ms: int) -> DataFrame:
+def match_calls(
+    events: DataFrame, *, delay: str, max_open_ms: int, fields: tuple[str, ...] = CALL_FIELDS, buckets: int = JOIN_BUCKETS
+) -> DataFrame:
     """Call spans as an interval join of START and END events, for ids with one call each.
 
-    Runs in the JVM: an END waits for its START and the other way round, and either is dropped
+    An END waits for its START and the other way round, and either is dropped
     once the watermark has passed the time in which its partner could come. Equal to
     ``pair_calls`` where an id has one START and one END; an id with several gets every END paired
-    with every START up to ``max_open_ms`` before it.
+    with every START up to ``max_open_ms`` before it. ``fields`` are taken from the END.
+    """
+    rows = events.withWatermark("ts", delay).where(F.col("unique_id").isNotNull() & F.col("ts").isNotNull() & (is_start() | is_end()))
+    carried = {n: "string" for n in ("row_id", *fields)}
+    rows = rows.select(
+        _bucket("unique_id", buckets),
+        "unique_id",
+        is_end().alias("is_right"),
+        "ts",
+        millis("ts").alias("at_ms"),
+        F.col("row_id").cast("string").alias("row_id"),
+        *(F.when(is_end(), F.col(n).cast("string")).alias(n) for n in fields),
+    )
+    wanted = ["left_row_id", "right_row_id", *(f"right_{n}" for n in fields)]
+    pairs = _near(rows, NearProcessor(["unique_id"], carried, wanted, 0, int(max_open_ms), "end_ts"))
+    after = (F.col("right_ms") > F.col("left_ms")) | (F.col("right_row_id").cast("long") > F.col("left_row_id").cast("long"))
+    return pairs.where(after).select(
+        "unique_id",
+        *(F.col(f"right_{n}").cast(events.schema[n].dataType).alias(n) for n in fields),
+        _instant("left_ms").alias("start_ts"),
+        "end_ts",
+    )
+
+
+def join_near(left: DataFrame, right: DataFrame, keys: list[str], *, bound_ms: int, wanted: list[str], buckets: int = JOIN_BUCKETS) -> DataFrame:
+    """Pairs of equal keys whose times ``at`` lie at most ``bound_ms`` apart.
+
+    Both sides have the ``keys`` (whole numbers), ``at`` with a watermark, ``name`` (string or null) and
+    ``start_ms``. The rows of a bucket are joined as whole columns, so a row costs a few
+    microseconds; a native stream-stream join reads and writes its state row by row. Rows are kept until the
+    watermark has passed ``at`` by the bound. The result has ``left_ms``, ``right_ms`` (the times) and the ``wanted``
+    among ``left_name, left_start_ms, right_name, right_start_ms``.
     """
-    rows = events.where(F.col("unique_id").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", delay)
-    starts = rows.where(is_start()).select(
-        F.col("unique_id").alias("_id"), F.col("ts").alias("_opened"), F.col("row_id").alias("_first")
+    sides = [
+        side.where(reduce(and_, [F.col(c).isNotNull() for c in (*keys, "at")])).select(
+            F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket"),
+            *keys,
+            F.lit(is_right).alias("is_right"),
+            "at",
+            millis("at").alias("at_ms"),
+            F.col("name").cast("string").alias("name"),
+            "start_ms",
+        )
+        for side, is_right in ((left, False), (right, True))
+    ]
+    return _near(sides[0].unionByName(sides[1]), NearProcessor(keys, {"name": "string", "start_ms": "long"}, wanted, -int(bound_ms), int(bound_ms)))
+
+
+def _near(rows: DataFrame, processor: NearProcessor) -> DataFrame:
+    named = {"eventTimeColumnName": processor.event_time} if processor.event_time else {}
+    return rows.groupBy("bucket").transformWithStateInPandas(
+        processor, processor.output_schema, outputMode="append", timeMode="eventTime", **named
     )
-    ends = rows.where(is_end()).select("unique_id", F.col("ts").alias("end_ts"), "row_id", *CALL_FIELDS)
-    longest = F.expr(f"INTERVAL {int(max_open_ms)} MILLISECONDS")
-    within = (F.col("end_ts") >= F.col("_opened")) & (F.col("end_ts") <= F.col("_opened") + longest)
-    after = (F.col("end_ts") > F.col("_opened")) | (F.col("row_id") > F.col("_first"))
-    pairs = ends.join(starts, (F.col("unique_id") == F.col("_id")) & within & after)
-    # Only one event time may go on to the next operator: the end's.
-    return pairs.select("unique_id", *CALL_FIELDS, F.timestamp_millis(millis("_opened")).alias("start_ts"), "end_ts")
 
 
 def overlap_of_sessions(
@@ -123,17 +170,28 @@ def overlap_of_sessions(
     """Pair both event streams into spans, then join the spans on their ends.
 
     The paired ``end_ts`` carries the watermark on, so the join can drop old rows. With
-    ``one_call_per_id`` (needs ``max_open_ms``) calls are paired by ``match_calls``.
+    ``one_call_per_id`` (needs ``max_open_ms``) calls are paired by ``match_calls`` and both
+    sides joined by ``join_near``, on the id and cell of end time as in ``bounded_overlap``.
     """
-    if one_call_per_id:
-        calls = match_calls(call_events, delay=delay, max_open_ms=max_open_ms)
-    else:
+    towers = pair_towers(tower_events, delay=delay, max_open_ms=max_open_ms, buckets=buckets)
+    if not one_call_per_id:
         calls = pair_calls(call_events, delay=delay, max_open_ms=max_open_ms, buckets=buckets)
-    return bounded_overlap(
-        calls,
-        pair_towers(tower_events, delay=delay, max_open_ms=max_open_ms, buckets=buckets),
-        bound_ms=bound_ms,
+        return bounded_overlap(calls, towers, bound_ms=bound_ms)
+    calls = match_calls(call_events, delay=delay, max_open_ms=max_open_ms, fields=("caller",))
+    c, t = end_cells(calls, towers, "end_ts", bound_ms)
+    c = c.select("unique_id", F.col("_cell").alias("cell"), F.col("end_ts").alias("at"), F.col("caller").alias("name"), millis("start_ts").alias("start_ms"))
+    t = t.select("unique_id", F.col("_cell").alias("cell"), F.col("end_ts").alias("at"), F.col("tower").alias("name"), millis("start_ts").alias("start_ms"))
+    wanted = ["left_name", "left_start_ms", "right_name", "right_start_ms"]
+    pairs = join_near(c, t, ["unique_id", "cell"], bound_ms=bound_ms, wanted=wanted).select(
+        "unique_id",
+        F.col("left_name").alias("caller"),
+        F.col("right_name").alias("tower"),
+        _instant("left_start_ms").alias("call_start"),
+        _instant("left_ms").alias("call_end"),
+        _instant("right_start_ms").alias("tower_start"),
+        _instant("right_ms").alias("tower_end"),
     )
+    return pairs.where(partly_overlaps("tower_start", "tower_end", "call_start", "call_end"))
 
 
 def overlap_of_rebuilt(

@@ -1,4 +1,5 @@
-"""Keyed state for streams: one processor for gaps, one for pairing events into spans.
+"""Keyed state for streams: processors for gaps, for pairing events into spans, and for joining
+two sides that lie close in time.
 
 A processor works on a bucket of keys and on whole columns: the rows of a bucket in a
 micro-batch are sorted, folded and compared by vector operations, and no loop runs over rows or
@@ -211,3 +212,76 @@ class PairProcessor(_Kept):
                 **{f: both[f][ends] for f in self.end_fields},
             }
         )
+
+
+class NearProcessor(_Kept):
+    """Pairs of a left and a right row with equal keys whose times lie close together.
+
+    Input rows: the ``keys`` (whole numbers), ``is_right``, ``at_ms`` (the event time) and the
+    ``fields`` of either side. A pair is found if ``low_ms <= right - left <= high_ms``, in the
+    micro-batch in which its later row arrives. A row is kept until the watermark has passed the time
+    in which a partner could come. Output: keys, ``left_ms``, ``right_ms`` and the fields as ``left_...``
+    and ``right_...``, of which ``wanted`` names those needed. ``event_time`` adds the right row's
+    time as event time, for operators that follow (needs ``low_ms >= 0``).
+    """
+
+    #: Pairs are handed on in pieces of about this size, as one key may have very many.
+    piece = 200_000
+
+    def __init__(self, keys: list[str], fields: dict[str, str], wanted: list[str], low_ms: int, high_ms: int, event_time: str | None = None):
+        self.keys, self.fields, self.wanted = tuple(keys), tuple(fields), tuple(wanted)
+        self.low_ms, self.high_ms, self.event_time = low_ms, high_ms, event_time
+        self.keep_ms = high_ms - low_ms
+        kinds = {"string": pa.string(), "long": pa.int64()}
+        self.layout = pa.schema(
+            [*((k, pa.int64()) for k in keys), ("is_right", pa.bool_()), ("at_ms", pa.int64()), ("since_ms", pa.int64()), *((n, kinds[t]) for n, t in fields.items())]
+        )
+        out = [*(f"{k} long" for k in keys), "left_ms long", "right_ms long", *(f"{w} {fields[w.partition('_')[2]]}" for w in wanted)]
+        self.output_schema = ", ".join([*out, *([f"{event_time} timestamp"] if event_time else [])])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows), ignore_index=True)
+        state, due = self._load()
+        n = len(state["at_ms"])
+        names = [*self.keys, "is_right", "at_ms", *self.fields]
+        both = {c: np.concatenate([state[c], rows[c].to_numpy().astype(state[c].dtype)]) for c in names}
+        group = pd.factorize(both[self.keys[0]])[0]
+        for k in self.keys[1:]:
+            # Numbers stay below the count of rows, so their product cannot overflow.
+            group = pd.factorize(group.astype(np.int64) * (len(group) + 1) + pd.factorize(both[k])[0])[0]
+        is_new, right, at = np.arange(len(group)) >= n, both["is_right"], both["at_ms"]
+        for left_side, right_side in ((~right, right & is_new), (~right & is_new, right & ~is_new)):
+            yield from self._found(both, group, np.flatnonzero(left_side), np.flatnonzero(right_side))
+        both["since_ms"] = np.where(right, at - self.high_ms, at + self.low_ms)
+        left = both["since_ms"] > timerValues.getCurrentWatermarkInMs() - self.keep_ms
+        self._store({c: v[left] for c, v in both.items()}, due, timerValues)
+
+    def _found(self, both: dict[str, np.ndarray], group: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pd.DataFrame]:
+        if not len(left) or not len(right):
+            return
+        at = both["at_ms"]
+        right = right[np.lexsort((at[right], group[right]))]
+        # The right rows and the limits of each left row in one order: how many lie before a limit.
+        m, k = len(left), len(right)
+        whose = np.concatenate([group[left], group[right], group[left]])
+        when = np.concatenate([at[left] + self.low_ms, at[right], at[left] + self.high_ms])
+        kind = np.repeat(np.array([0, 1, 2], np.int8), [m, k, m])
+        order = np.lexsort((kind, when, whose))
+        before = np.empty(len(order), np.int64)
+        before[order] = np.cumsum(kind[order] == 1)
+        first, count = before[:m], before[m + k :] - before[:m]
+        total = np.cumsum(count)
+        begin = 0
+        while begin < m:
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + self.piece, side="right")))
+            c = count[begin:end]
+            le = np.repeat(left[begin:end], c)
+            ri = right[np.repeat(first[begin:end] - (np.cumsum(c) - c), c) + np.arange(len(le))]
+            begin = end
+            if len(le):
+                side = {"left": le, "right": ri}
+                out = {k: both[k][le] for k in self.keys} | {"left_ms": at[le], "right_ms": at[ri]}
+                out |= {w: both[w.partition("_")[2]][side[w.partition("_")[0]]] for w in self.wanted}
+                if self.event_time:
+                    out[self.event_time] = pd.to_datetime(at[ri], unit="ms", utc=True)
+                yield pd.DataFrame(out)
