@@ -52,11 +52,12 @@ def run_carried(
     table = carry_table(spark, folder, step, buckets)
 
     def one_batch(batch: DataFrame, number: int) -> None:
+        if not carries:
+            # Read once, so nothing is kept.
+            step(to_zone_free(batch), None)[0].write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
+            return
         rows = to_zone_free(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            if not carries:
-                step(rows, None)[0].write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
-                return
             table.forget_replaced(number)
             versions, touched = table.versions(number - 1), table.touched(rows)
             if getattr(step, "forgets", False):

@@ -15,7 +15,8 @@ from spanweave.schemas import to_instants
 from spanweave.session import new_folder
 from spanweave.sources.signals import read_signal, write_signal
 
-_ROWS_PER_FILE = 2_000_000
+# A file is sorted, written and read by one task each.
+_ROWS_PER_FILE = 250_000
 _ROWS_PER_SLICE = 50_000_000
 
 
