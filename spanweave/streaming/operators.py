@@ -14,14 +14,14 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.functions.predicates import is_connected, is_end, is_start, near, partly_overlaps
+from spanweave.functions.predicates import is_connected, is_end, is_start, partly_overlaps
 from spanweave.functions.times import millis
 from spanweave.operators.overlap import bounded_overlap, end_cells
 from spanweave.operators.sessions import CALL_FIELDS
-from spanweave.streaming.processors import GapProcessor, NearProcessor, PairProcessor
+from spanweave.streaming.processors import CLOSED_AFTER_MS, GapProcessor, NearProcessor, PairProcessor, SpanProcessor
 
 BUCKETS = 64
 # Joins hold both sides, so their buckets are smaller.
@@ -209,24 +209,37 @@ def overlap_of_rebuilt(
     result equals the batch form if the events of a key lie closer together than that.
     ``bound_ms`` limits how far the last events of call and tower may lie apart.
     """
-    c = _rebuilt(call_events, ["unique_id"], delay, max_span, "call")
-    t = _rebuilt(tower_events, ["unique_id", "tower"], delay, max_span, "tower")
-    t = t.withColumnRenamed("unique_id", "_tower_id")
-    return c.join(
-        t,
-        (F.col("unique_id") == F.col("_tower_id"))
-        & near("_tower_closed", "_call_closed", bound_ms)
-        & partly_overlaps("tower_start", "tower_end", "call_start", "call_end", tolerance_ms),
-    ).select("unique_id", "tower", "call_start", "call_end", "tower_start", "tower_end")
-
-
-def _rebuilt(events: DataFrame, keys: list[str], delay: str, max_span: str, name: str) -> DataFrame:
-    session = F.session_window("ts", max_span).alias("_s")
-    spans = events.withWatermark("ts", delay).groupBy(*keys, session).agg(
-        F.min("ts").alias(f"{name}_start"), F.max("ts").alias(f"{name}_end")
+    c = _rebuilt(call_events, [], delay, max_span).withColumn("name", F.lit(None).cast("string"))
+    t = _rebuilt(tower_events, ["tower"], delay, max_span).withColumnRenamed("tower", "name")
+    wanted = ["left_start_ms", "right_name", "right_start_ms"]
+    pairs = join_near(c, t, ["unique_id"], bound_ms=bound_ms, wanted=wanted).select(
+        "unique_id",
+        F.col("right_name").alias("tower"),
+        _instant("left_start_ms").alias("call_start"),
+        F.timestamp_millis(F.col("left_ms") - CLOSED_AFTER_MS).alias("call_end"),
+        _instant("right_start_ms").alias("tower_start"),
+        F.timestamp_millis(F.col("right_ms") - CLOSED_AFTER_MS).alias("tower_end"),
     )
-    # Only window_time() hands the watermark to the next operator.
-    return spans.select(*keys, f"{name}_start", f"{name}_end", F.window_time("_s").alias(f"_{name}_closed"))
+    return pairs.where(partly_overlaps("tower_start", "tower_end", "call_start", "call_end", tolerance_ms))
+
+
+def _rebuilt(events: DataFrame, names: list[str], delay: str, max_span: str, buckets: int = JOIN_BUCKETS) -> DataFrame:
+    """Sessions of an id (and ``names``): ``start_ms``, and ``at``, which is just behind the last event."""
+    spark = events.sparkSession
+    # As in a session window, an event is late once ``max_span`` after it lies before the watermark.
+    delay_ms, span_ms = (_millis_of(spark, text) for text in (delay, max_span))
+    rows = events.withWatermark("ts", f"{delay_ms + span_ms} milliseconds").where(F.col("unique_id").isNotNull() & F.col("ts").isNotNull())
+    rows = rows.select(_bucket("unique_id", buckets), "unique_id", *names, "ts", millis("ts").alias("at_ms"))
+    processor = SpanProcessor(names, span_ms)
+    spans = rows.groupBy("bucket").transformWithStateInPandas(
+        processor, processor.output_schema, outputMode="append", timeMode="eventTime", eventTimeColumnName="closed"
+    )
+    return spans.select("unique_id", *names, F.col("first_ms").alias("start_ms"), F.col("closed").alias("at"))
+
+
+def _millis_of(spark: SparkSession, length: str) -> int:
+    """An interval such as ``2 days`` in milliseconds."""
+    return spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + CAST('{length}' AS INTERVAL)) AS ms").first()["ms"]
 
 
 def _gaps(rows: DataFrame, processor: GapProcessor) -> DataFrame:

@@ -1,5 +1,5 @@
-"""Keyed state for streams: processors for gaps, for pairing events into spans, and for joining
-two sides that lie close in time.
+"""Keyed state for streams: processors for gaps, for pairing events into spans, for first and last
+events, and for joining two sides that lie close in time.
 
 A processor works on a bucket of keys and on whole columns: the rows of a bucket in a
 micro-batch are sorted, folded and compared by vector operations, and no loop runs over rows or
@@ -43,6 +43,9 @@ _SHIFT = 2**46
 #: A value is forgotten at most this fraction of the keeping time after it is due.
 SLOTS = 16
 
+#: A session is handed on so long after its last event, as timers fire a little behind the watermark.
+CLOSED_AFTER_MS = 2
+
 
 class _Kept(StatefulProcessor):
     """State of a bucket: a table of keys with ``since_ms``, the time of each value, and more columns."""
@@ -285,3 +288,53 @@ class NearProcessor(_Kept):
                 if self.event_time:
                     out[self.event_time] = pd.to_datetime(at[ri], unit="ms", utc=True)
                 yield pd.DataFrame(out)
+
+
+class SpanProcessor(_Kept):
+    """First and last event of each session: events of a key no further than ``gap_ms`` apart.
+
+    Input rows: ``unique_id``, the ``names`` (strings) and ``at_ms``, the event time. A session is
+    handed on once its last event lies two milliseconds behind the watermark, with that time as event time
+    ``closed``: timers fire a millisecond behind the watermark, and what is handed on must not lie before
+    the watermark of the micro-batch before.
+    """
+
+    keep_ms = 0
+
+    def __init__(self, names: list[str], gap_ms: int):
+        self.names, self.gap_ms = tuple(names), gap_ms
+        self.layout = pa.schema([("unique_id", pa.int64()), *((n, pa.string()) for n in names), ("first_ms", pa.int64()), ("since_ms", pa.int64())])
+        self.output_schema = ", ".join(["unique_id long", *(f"{n} string" for n in names), "first_ms long", "last_ms long", "closed timestamp"])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows), ignore_index=True)
+        state, due = self._load()
+        keys = ("unique_id", *self.names)
+        both = {c: np.concatenate([state[c], rows[c].to_numpy().astype(state[c].dtype)]) for c in keys}
+        at = rows["at_ms"].to_numpy()
+        first, last = np.concatenate([state["first_ms"], at]), np.concatenate([state["since_ms"], at])
+        group = pd.factorize(both["unique_id"])[0]
+        for k in self.names:
+            group = pd.factorize(group.astype(np.int64) * (len(group) + 1) + pd.factorize(both[k], use_na_sentinel=False)[0])[0]
+        order = np.lexsort((first, group))
+        group, first, last = group[order], first[order], last[order]
+        reached = _greatest_so_far(group, last)
+        begins = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (first[1:] - reached[:-1] > self.gap_ms)))
+        spans = {c: v[order][begins] for c, v in both.items()}
+        yield from self._close(spans | {"first_ms": first[begins], "since_ms": np.maximum.reduceat(last, begins)}, due, timerValues)
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._close(self._load()[0], 0, timerValues)
+
+    def _close(self, spans: dict[str, np.ndarray], due: int, timers) -> Iterator[pd.DataFrame]:
+        closed = spans["since_ms"] + CLOSED_AFTER_MS <= timers.getCurrentWatermarkInMs()
+        left = {c: v[~closed] for c, v in spans.items()}
+        if due and len(left["since_ms"]) and left["since_ms"].min() + 1 < due:
+            # An event that came out of order ends before the others.
+            self._handle.deleteTimer(due)
+            due = 0
+        self._store(left, due, timers)
+        if closed.any():
+            out = {c: v[closed] for c, v in spans.items()}
+            out["last_ms"] = out.pop("since_ms")
+            yield pd.DataFrame(out | {"closed": pd.to_datetime(out["last_ms"] + CLOSED_AFTER_MS, unit="ms", utc=True)})
